@@ -35,8 +35,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.pii import pii
+
+    return pii(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op6_language_id, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op6_language_id, op8_best_fit_packing, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
