@@ -23,12 +23,24 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.langid import language_id
 
     return language_id(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.decontaminate import matches
+
+    return matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.packing import best_fit_pack
 
@@ -41,9 +53,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(_table(spark, sf_dir, "documents"))
 
 
+#: Queries that SQL can express, over the same whole tables.
+ORACLES = {
+    "op4_exact_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        q as (select vec_id as query_id, min(v) as v from v where vec_id % 50 = 0 group by vec_id),
+        s as (
+            select query_id, vec_id, list_dot_product(q.v, v.v)::bigint as score
+            from q join v on q.query_id <> v.vec_id and len(q.v) = len(v.v)),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 5""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op6_language_id, op8_best_fit_packing, op10_pii)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
