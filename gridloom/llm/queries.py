@@ -29,6 +29,12 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.near_dedup import classes
+
+    return classes(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.langid import language_id
 
@@ -47,6 +53,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.pii import pii
 
