@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textkern as tk
-from gridloom.llm.toxicity import IS_TERM
+from gridloom.llm.toxicity import IS_TERM, fresh
 
 ERRORS = 0.2
 BLOCK_BYTES = 8 << 20
@@ -138,10 +138,10 @@ def _scan(items: Items):
     return run
 
 
-def _keep(items: Items):
+def _keep(items: Items, folded: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = tk.buffers(b.column("__folded"))
+            data, off = tk.buffers(b.column(folded))
             stays = np.ones(b.num_rows, bool)
             for lo, hi in tk.slices(off):
                 for r, *_ in items.search(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]):
@@ -173,7 +173,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block
 
 def clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs whose text holds no item, in one scan for each block of items."""
-    out = docs.withColumn("__folded", F.lower(F.coalesce("text", F.lit(""))))
+    folded = fresh(docs, "folded")
+    out = docs.withColumn(folded, F.lower(F.coalesce("text", F.lit(""))))
     for items in _blocks(benchmark, errors, block_bytes):
-        out = out.mapInArrow(_keep(items), out.schema)
+        out = out.mapInArrow(_keep(items, folded), out.schema)
     return out.select(*docs.columns)

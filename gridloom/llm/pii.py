@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.toxicity import fresh
+
 CONTEXT_CHARS = 40
 KEEP_SCORE = 0.6
 
@@ -68,13 +70,12 @@ def _spans(kind: Kind, text: str) -> Column:
 
 def detect(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """docs with ``out``: array of (kind, start, end, score) by kind as listed, then start."""
-    each = {f"__{k.name}": _spans(k, "__text") for k in KINDS}
-    found = docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumns(each)
-    base = F.concat(*(F.col(f"__{k}") for k in BASE))
-    found = found.withColumn("__base", base)
-    more = [k for k in KINDS if k.name not in BASE]
-    kept = [F.expr(f"filter(__{k.name}, s -> s.score >= {KEEP_SCORE}D and not exists(__base, b -> b.start < s.end and s.start < b.end))") for k in more]
-    return found.withColumn(out, F.concat(F.col("__base"), *kept)).drop("__text", "__base", *each)
+    whole, known = fresh(docs, "pii_text"), fresh(docs, "pii_base")
+    names = {k.name: fresh(docs, f"pii_{k.name}") for k in KINDS}
+    found = docs.withColumn(whole, F.coalesce(F.col(text), F.lit(""))).withColumns({names[k.name]: _spans(k, whole) for k in KINDS})
+    found = found.withColumn(known, F.concat(*(F.col(names[k]) for k in BASE)))
+    kept = [F.expr(f"filter({names[k.name]}, s -> s.score >= {KEEP_SCORE}D and not exists({known}, b -> b.start < s.end and s.start < b.end))") for k in KINDS if k.name not in BASE]
+    return found.withColumn(out, F.concat(F.col(known), *kept)).drop(whole, known, *names.values())
 
 
 def as_text(spans: str, only_base: bool = False) -> Column:
@@ -94,14 +95,16 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; of spans that overlap
     the first gives the name.  n_chars, where there is one, follows the text; a text
     without spans, null too, stays as it is."""
-    found = detect(docs, out="__spans")
-    cut = F.expr("""aggregate(array_sort(transform(__spans, s -> struct(s.start as start, s.end as end, s.kind as kind))),
+    spans = fresh(docs, "spans")
+    found = detect(docs, out=spans)
+    cut = F.expr(f"""aggregate(array_sort(transform({spans}, s -> struct(s.start as start, s.end as end, s.kind as kind))),
         named_struct('at', 0, 'out', ''),
         (a, s) -> case when s.start >= a.at then named_struct('at', s.end, 'out', concat(a.out, substring(text, a.at + 1, s.start - a.at), '<', upper(s.kind), '>'))
                        when s.end > a.at then named_struct('at', s.end, 'out', a.out) else a end,
         a -> concat(a.out, substring(text, a.at + 1)))""")
-    out = found.withColumn("text", F.when(F.size("__spans") > 0, cut).otherwise(F.col("text")))
+    some = F.size(spans) > 0
+    out = found.withColumn("text", F.when(some, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
+        out = out.withColumn("n_chars", F.when(some, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
     return out.select(*docs.columns)

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridloom.llm import textkern as tk
 
@@ -39,6 +40,14 @@ for _lo, _hi in ("09", "AZ", "az"):
     IS_TERM[ord(_lo) : ord(_hi) + 1] = True
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs do not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(column: str = "doc_id", parts: int = 5):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
@@ -162,29 +171,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, inputs: int =
     return train(x[order], got["y"].to_numpy(np.float32)[order], chosen)
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The columns of docs and score."""
-    docs = docs.select("*", F.lower(F.coalesce("text", F.lit(""))).alias("__text"))
+def score(docs: DataFrame, machine: Machine, out: str = "score") -> DataFrame:
+    """The columns of docs and the score, in a column of a name that docs do not have."""
+    folded = fresh(docs, "folded")
+    rows = docs.withColumn(folded, F.lower(F.coalesce("text", F.lit(""))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = _places(machine.inputs)
         for b in batches:
-            data, off = tk.buffers(b.column("__text"))
-            out = np.zeros(b.num_rows)
+            data, off = tk.buffers(b.column(folded))
+            z = np.zeros(b.num_rows)
             for lo, hi in tk.slices(off):
                 row, bucket = _terms(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 k = at[bucket] >= 0
                 row, bucket = _distinct(row[k], bucket[k])
-                out[lo:hi] = machine.score(hi - lo, row, at[bucket])
-            keep = [i for i, c in enumerate(b.schema.names) if c != "__text"]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in keep] + [pa.array(out)], names=[b.schema.names[i] for i in keep] + ["__score"])
+                z[lo:hi] = machine.score(hi - lo, row, at[bucket])
+            keep = [c for c in b.schema.names if c != folded]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(z)], names=[*keep, out])
+
+    return rows.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
+
 
-    fields = [f for f in docs.schema.fields if f.name != "__text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.mapInArrow(run, f"{schema}, __score double")
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents that score below the threshold."""
+    name = fresh(docs, "score")
+    return score(docs, fit(docs, labels), name).where(F.col(name) < threshold).select(*docs.columns)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels, parts=parts))
-    return scored.select("doc_id", (fold(parts=parts) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", (fold(parts=parts) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
