@@ -66,9 +66,9 @@ def peaks_prominence(t: Tables) -> DataFrame:
 
 @query("""with w as (select user_id, event_id, value / 10 as v, lead(value / 10) over (partition by user_id order by event_id) as nv, lead(event_id) over (partition by user_id order by event_id) as ne from events),
     l as (select user_id, event_id, v, nv, ne, unnest(range(cast(ceil(least(v, nv)) as bigint), cast(floor(greatest(v, nv)) as bigint) + 1)) as level from w where nv is not null)
-    select user_id, level, round(case when nv <> v then event_id + (ne - event_id) * ((level - v) / (nv - v)) else event_id end, 4) as at from l where level > least(v, nv) or v = level""")
+    select user_id, level, cast(floor(1000 * (case when nv <> v then event_id + (ne - event_id) * ((level - v) / (nv - v)) else event_id end)) as bigint) as at from l where level > least(v, nv) or v = level""")
 def level_crossings(t: Tables) -> DataFrame:
-    return rays.crossings(t.events.select("user_id", "event_id", (F.col("value") / 10).alias("v")), "user_id", "event_id", "v").select("user_id", "level", F.round("at", 4).alias("at"))
+    return rays.crossings(t.events.select("user_id", "event_id", (F.col("value") / 10).alias("v")), "user_id", "event_id", "v").select("user_id", "level", F.floor(F.col("at") * 1000).alias("at"))
 
 
 @query("""with c as (select distinct l_orderkey % 60 as a, l_partkey % 60 as b, max(floor(l_quantity)) as v from lineitem where l_orderkey % 41 = 0 group by 1, 2)
