@@ -65,7 +65,9 @@ class Model:
 
     def __init__(self, langs: list[str], counts: dict[tuple[int, str], dict[int, int]], totals: dict[tuple[int, int], int], kinds: dict[tuple[int, int], int]) -> None:
         self.langs = langs
-        base = {n: np.array([np.log(ALPHA / (totals.get((n, i), 0) + ALPHA * (kinds.get((n, i), 0) + 1))) for i in range(len(langs))], np.float32) for n in (0, *ORDERS)}
+        # one number of kinds for all languages, so that a small vocabulary is no advantage
+        most = {n: 1 + max((k for (m, _), k in kinds.items() if m == n), default=0) for n in (0, *ORDERS)}
+        base = {n: np.array([np.log(ALPHA / (totals.get((n, i), 0) + ALPHA * most[n])) for i in range(len(langs))], np.float32) for n in (0, *ORDERS)}
         self.tables: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *ORDERS)}
         for (n, gram), by in counts.items():
             v = base[n].copy()

@@ -1,0 +1,511 @@
+"""Text operators against brute force, and on odd inputs."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.llm import decontaminate, html_extract, interpolation, langid, near_dedup, packing, pii, rlz_dedup, textkern, topk, toxicity
+
+DIR = "/root/testdata/sf0.001"
+
+
+# -- 1: substring dedup ------------------------------------------------------------------
+
+
+def windows_removed(rows: list[tuple[int, str]], n: int = 20) -> dict[int, tuple]:
+    seen, out = set(), {}
+    for d, text in sorted(rows, key=lambda r: r[0]):
+        w = (text or "").encode().split()
+        gone = [False] * len(w)
+        for i in range(len(w) - n + 1):
+            k = tuple(w[i : i + n])
+            if k in seen:
+                gone[i : i + n] = [True] * n
+            seen.add(k)
+        left = [x for x, g in zip(w, gone) if not g]
+        out[d] = (len(w), len(w) - len(left), hashlib.sha256(b" ".join(left)).hexdigest())
+    return out
+
+
+def test_substring_dedup_brute_force(spark, small):
+    rng = random.Random(1)
+    made = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 90)))) for i in range(60)]
+    for rows, n in ((made, 4), ([(r["doc_id"], r["text"]) for r in small.collect()], 20)):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rlz_dedup.substring_dedup(df, n).collect()}
+        assert got == windows_removed(rows, n)
+
+
+def test_factors_point_to_equal_earlier_text(spark):
+    words = [str(i) for i in range(60)]
+    rows = [(1, " ".join(words)), (2, "x y " + " ".join(words[10:50]) + " z"), (3, " ".join(words[5:40]))]
+    found = rlz_dedup.factors(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = {d: t.split() for d, t in rows}
+    assert found
+    for f in found:
+        assert (f["ref_id"], f["ref_start"]) < (f["id"], f["start"]) and f["n_words"] >= 20
+        assert text[f["id"]][f["start"] : f["start"] + f["n_words"]] == text[f["ref_id"]][f["ref_start"] : f["ref_start"] + f["n_words"]]
+
+
+def test_substring_dedup_odd(odd, none, wide):
+    got = rlz_dedup.substring_dedup(odd).collect()
+    assert len(got) == odd.count()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append((r["n_words"], r["n_removed"]))
+    assert by[2] == [(0, 0)] and by[1] == [(0, 0)] and by[8][0][1] == 30_000 - 1
+    # identical rows: neither start is earlier, so both keep what is new in them
+    assert Counter(by[10]) == Counter({(28, 8): 2, (6, 0): 1})
+    assert rlz_dedup.substring_dedup(none).count() == 0 and rlz_dedup.substring_dedup(wide).count() == odd.count()
+
+
+# -- 2: language-model scores ------------------------------------------------------------
+
+
+def tokens(text):
+    return [*(text or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split(), None]
+
+
+def test_interpolation_brute_force(small):
+    rows = {r["doc_id"]: tokens(r["text"]) for r in small.collect()}
+    part = {d: zlib.crc32(str(d).encode()) % 10 for d in rows}
+    got = {r["doc_id"]: r for r in interpolation.scores(small, 1 << 16, 1 << 16).collect()}
+
+    def count(parts):
+        one, two, n = Counter(), Counter(), 0
+        for d, t in rows.items():
+            if part[d] in parts:
+                n += 1
+                one.update(t)
+                two.update(zip(["<s>", *t[:-1]], t))
+        total = sum(one.values())
+        one["<s>"] = n
+        return one, two, total
+
+    one, two, n = count(set(range(1, 10)))
+    vocabulary = len(one) - 1
+    rest, pairs, m = count(set(range(2, 10)))
+    bucket = lambda c: 1 + int(math.log2(c)) if c else 0
+    seen: dict[int, Counter] = {}
+    for d, t in rows.items():
+        if part[d] == 1:
+            for c, w in zip(["<s>", *t[:-1]], t):
+                seen.setdefault(bucket(rest[c]), Counter())[pairs[c, w] / max(1, rest[c]), rest[w] / m] += 1
+    weights = {}
+    for b, cells in seen.items():
+        p = np.array([[*k, 1 / (vocabulary + 1)] for k in cells])
+        k, lam = np.array(list(cells.values())), np.full(3, 1 / 3)
+        for _ in range(interpolation.EM_ROUNDS):
+            share = lam * p
+            share *= (k / share.sum(1))[:, None]
+            lam = share.sum(0) / share.sum()
+        weights[b] = lam
+    compared = 0
+    for d, t in rows.items():
+        r = got[d]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(t), sum(one[w] > 0 for w in t), n, part[d] == 0)
+        assert math.isclose(r["base_score"], sum(math.log10((one[w] + 0.1) / (n + 0.1 * (vocabulary + 1))) for w in t), rel_tol=1e-9)
+        want = 0.0
+        for c, w in zip(["<s>", *t[:-1]], t):
+            lam = weights.get(bucket(one[c]))
+            if lam is None:
+                break
+            want += math.log10(lam[0] * two[c, w] / max(1, one[c]) + lam[1] * one[w] / n + lam[2] / (vocabulary + 1))
+        else:
+            compared += 1
+            assert abs(r["score"] - want) < 0.01 * len(t)
+    assert compared > 50
+    held = [d for d in rows if part[d] == 0]
+    assert sum(got[d]["score"] for d in held) > sum(got[d]["base_score"] for d in held)
+
+
+def test_interpolation_sums_to_one():
+    w = interpolation.learn(np.array([[3, 8, 16, 10], [3, -1, 40, 5], [0, -1, 24, 7]]), 99)
+    assert np.allclose(w.sum(1), 1) and (w > 0).all()
+
+
+def test_interpolation_odd(odd, none, wide):
+    got = interpolation.scores(odd).collect()
+    assert len(got) == odd.count() and all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got)
+    assert interpolation.scores(none).count() == 0 and interpolation.scores(wide).count() == odd.count()
+
+
+@pytest.mark.parametrize("values", [[], [0], [255, 1], [256], [1 << 20], [1 << 40, 3]])
+def test_packed_counts_round_trip(values):
+    v = np.array(values, np.int64)
+    assert (interpolation._unpacked(interpolation._packed(v), len(v)) == v).all()
+
+
+def test_packed_keys_round_trip():
+    k = np.unique(np.random.default_rng(0).integers(1 << 62, (1 << 63) - 1, 500, dtype=np.uint64))
+    assert (interpolation._unpack_keys(interpolation._pack_keys(k, 1 << 61), 1 << 61) == k).all()
+
+
+# -- 3 and 6: classifiers ----------------------------------------------------------------
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    got = toxicity.toxicity(spark.read.parquet(f"{d}/documents.parquet"), labels)
+    held = got.join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r["predicted"] == r["toxic"] for r in held]) > 0.95
+    assert sum(r["predicted"] for r in held) > 0 and all(0 <= r["score"] <= 1 for r in held)
+
+
+def test_machine_learns_a_pair():
+    """Two terms that are harmless alone and count together: no additive model fits this."""
+    rng = np.random.default_rng(3)
+    x = (rng.random((800, 6)) < 0.5).astype(np.float32)
+    y = (x[:, 0] * x[:, 1]).astype(np.float32)
+    m = toxicity.train(x, y, np.arange(6), rounds=400)
+    at = np.nonzero(x)
+    assert ((m.score(len(x), at[0], at[1]) >= 0.5) == y).mean() > 0.99
+
+
+def test_toxicity_odd(spark, odd, none, wide):
+    labels = spark.createDataFrame([(4, 1), (5, 0), (7, None), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(odd, labels).collect()
+    assert len(got) == odd.count()
+    assert toxicity.toxicity(none, labels).count() == 0 and toxicity.toxicity(odd, labels.limit(0)).select("score").distinct().count() == 1
+    assert toxicity.clean(wide, labels).columns == wide.columns
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = langid.language_id(docs).join(docs, "doc_id").where("held_out").collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in held]) > 0.98
+
+
+def test_language_backoff():
+    m = langid.Model(["a", "b"], {(0, "known"): {0: 9}, (3, "xyz"): {1: 5}, (1, "q"): {0: 3}}, {(0, 0): 9, (3, 1): 5, (1, 0): 3}, {(0, 0): 1, (3, 1): 1, (1, 0): 1})
+    got = m.predict(["known", "axyzb", "q", "", "123 --"])
+    assert [g[0] for g in got] == ["a", "b", "a", "und", "und"] and got[3][1] == 0.0
+
+
+def test_language_odd(odd, none, wide):
+    got = {}
+    for r in langid.language_id(odd).collect():
+        got.setdefault(r["doc_id"], []).append(r["lang_pred"])
+    assert got[1] == got[2] == got[3] == ["und"] and len(got[10]) == 3
+    assert langid.language_id(none).count() == 0 and langid.language_id(wide).count() == odd.count()
+    assert {r["lang_pred"] for r in langid.language_id(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+# -- 4: top-k ----------------------------------------------------------------------------
+
+
+def test_topk_ties_and_odd_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 8) / 4]) for i in range(400)]
+    rows += [(400, None), (401, [None] * 8), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (None, [1.0] * 8), (404, [1.0, 1.0]), (450, [0.5, 0.25]), (405, []), (7, [0.25] * 8), (50, [0.9] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    sound = [(i, tuple(math.floor(256 * float(np.float32(x))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ask = {}
+    for i, v in rows:
+        if i is not None and i % 50 == 0 and (i, tuple(math.floor(256 * float(np.float32(x))) for x in (v or []) if x is not None)) in sound:
+            ask[i] = min(ask.get(i, (9e9,)), tuple(math.floor(256 * float(np.float32(x))) for x in v))
+    want = []
+    for q, v in ask.items():
+        best = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in sound if i != q and len(w) == len(v)))[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    for shard in (10_000, 64):
+        got = [tuple(r) for r in topk.top_k(df, shard=shard, block=4).collect()]
+        assert sorted(got) == sorted(want)
+    assert topk.top_k(df.limit(0)).count() == 0
+
+
+# -- 5: near-duplicates ------------------------------------------------------------------
+
+
+def j_p(a: Counter, b: Counter) -> float:
+    return sum(1 / sum(max(a[y] / a[x], b[y] / b[x]) for y in a.keys() | b.keys()) for x in a.keys() & b.keys())
+
+
+def test_probability_jaccard():
+    rng = random.Random(6)
+    for _ in range(50):
+        a, b = (Counter(rng.choices(range(12), k=rng.randrange(1, 30))) for _ in range(2))
+        got = near_dedup.probability_jaccard(*((np.array(sorted(c)), np.array([c[k] for k in sorted(c)])) for c in (a, b)))
+        assert math.isclose(got, j_p(a, b), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_signatures_estimate_it():
+    a, b = Counter(dict.fromkeys(range(0, 100), 1) | {3: 9}), Counter(dict.fromkeys(range(20, 120), 1) | {30: 7})
+    row = np.repeat([0, 1], [sum(a.values()), sum(b.values())])
+    gram = textkern.mix(np.array([*a.elements(), *b.elements()], np.uint64))
+    sig, some = near_dedup.signatures(row, gram, 3, 4000)
+    assert some.tolist() == [True, True, False]
+    assert abs((sig[0] == sig[1]).mean() - j_p(a, b)) < 0.03
+
+
+def groups(df) -> dict:
+    return {r["doc_id"]: r["class_id"] for r in df.collect()}
+
+
+def test_near_duplicates_brute_force(spark):
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(500)]
+    base = [[rng.choice(vocabulary) for _ in range(120)] for _ in range(8)]
+    rows = []
+    for b in base:
+        for _ in range(30):
+            t = list(b)
+            for _ in range(rng.randrange(0, 5)):
+                t[rng.randrange(len(t))] = rng.choice(vocabulary)
+            rows.append(t)
+    rng.shuffle(rows)
+    shingle = [Counter(tuple(t[i : i + 5]) for i in range(len(t) - 4)) for t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(shingle[i].keys() & shingle[j].keys()) > 50 and j_p(shingle[i], shingle[j]) >= 0.8:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    for small in (16, 2):
+        assert groups(near_dedup.classes(df, small=small)) == {i: find(i) for i in range(len(rows))}
+
+
+def test_components_of_a_long_path(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+    got = {r["node"]: r["root"] for r in near_dedup.components(e).collect()}
+    assert got == {i: 0 for i in range(1, 61)} | {101: 100}
+
+
+def test_near_duplicates_odd(odd, none, wide):
+    got = near_dedup.classes(odd)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["doc_id"], set()).add(r["class_id"])
+    assert by[1] == {1} and by[2] == {2} and by[3] == {3} and by[6] == {5} and by[None] == {None} and by[10] == {10}
+    kept = [r["doc_id"] for r in near_dedup.clean(wide).collect()]
+    assert kept.count(10) == 1 and 6 not in kept and {1, 2, 3, 5, None} <= set(kept) and near_dedup.clean(wide).columns == wide.columns
+    assert near_dedup.classes(none).count() == 0 and near_dedup.clean(none).count() == 0
+
+
+# -- 7: decontamination ------------------------------------------------------------------
+
+
+def distance(p, t):
+    row = [0] * (len(t) + 1)
+    for i, c in enumerate(p):
+        new = [i + 1]
+        for j, d in enumerate(t):
+            new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_matches_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(40)}"
+    items = [(i, " ".join(word() for _ in range(rng.randrange(1, 30)))) for i in range(12)] + [(90, ""), (91, None)]
+    docs = []
+    for d in range(60):
+        t = [word() for _ in range(rng.randrange(0, 60))]
+        if d % 2:
+            p = items[rng.randrange(12)][1].split()
+            for _ in range(rng.randrange(0, 7)):
+                k = rng.randrange(len(p) + 1)
+                p[k : k + rng.randrange(2)] = [word()] * rng.randrange(2)
+            t[len(t) // 2 : len(t) // 2] = p
+        docs.append((d, ", ".join(t).upper()))
+    want = set()
+    for d, text in docs:
+        w = re.findall(r"\w+", text.lower())
+        for i, item in items:
+            p = re.findall(r"\w+", (item or "").lower())
+            if p and distance(p, w) <= int(len(p) * 0.2 + 1e-9):
+                want.add((d, i, distance(p, w)))
+    x, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.matches(x, y).collect()}
+    assert got == want and {r["doc_id"] for r in decontaminate.clean(x, y, block_bytes=200).collect()} == {d for d, _ in docs} - {d for d, _, _ in want}
+
+
+def test_matches_odd(spark, odd, none, wide):
+    items = spark.createDataFrame([(1, "no id here"), (None, "one"), (2, None)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(odd, items).collect()} == {(None, 1), (4, None)}
+    assert decontaminate.matches(none, items).count() == 0 and decontaminate.matches(odd, items.limit(0)).count() == 0
+    assert decontaminate.clean(wide, items).count() == wide.count() - 2 and decontaminate.clean(wide, items).columns == wide.columns
+
+
+# -- 8: packing --------------------------------------------------------------------------
+
+
+def test_packing_round_trip(spark, small):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = {r["doc_id"]: r["text"] for r in small.collect()}
+    text[9_000] = "a <|endoftext|> b"
+    df = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    got = packing.best_fit_pack(df, capacity=256).toPandas()
+    for d, x in got.groupby("doc_id"):
+        ids = np.array([*t.encode(text[d], add_special_tokens=False).ids, 0], "<u4")
+        x = x.sort_values("piece")
+        assert x["piece"].tolist() == list(range(len(x))) and x["length"].sum() == len(ids)
+        assert (x["length"].iloc[1:] == 256).all() and len(x) == -(-len(ids) // 256)
+        for r in x.itertuples():
+            assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    for _, x in got.groupby("sequence_id"):
+        x = x.sort_values("offset")
+        assert x["length"].sum() <= 256 and (x["offset"] == x["length"].cumsum() - x["length"]).all()
+    assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 256) * 1.02
+
+
+def test_local_search_empties_a_sequence():
+    """Best fit needs four sequences here, exchanges bring it to three."""
+    rng = np.random.default_rng(9)
+    better = 0
+    for _ in range(200):
+        sizes = rng.integers(10, 60, 24)
+        plain = packing._Bins(sizes, 100)
+        number, _ = packing.pack(sizes, 100, rounds=6)
+        fill = np.bincount(number, sizes)
+        assert fill.max() <= 100 and number.max() + 1 <= len(plain.items)
+        better += number.max() + 1 < len(plain.items)
+    assert better > 0
+
+
+def test_packing_odd(odd, none, wide):
+    got = packing.best_fit_pack(odd)
+    assert got.select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
+    assert got.where("doc_id = 2").select("length").first()[0] == 1
+    assert packing.best_fit_pack(none).count() == 0 and packing.best_fit_pack(wide).count() == got.count()
+
+
+# -- 9: html -----------------------------------------------------------------------------
+
+
+def test_extraction_of_labelled_pages():
+    m = html_extract.trained()
+    right = total = 0
+    for page in html_extract.training_pages(seed=1234, n=40):
+        got = set(re.findall(r"[bc]\d+x*", html_extract.main_text(page, m)))
+        words = set(re.findall(r"\b[bc]\d+x*", re.sub(r"<title>.*?</title>", "", page)))
+        total += len(words)
+        right += sum((w in got) == (w[0] == "c") for w in words)
+    assert right > 0.98 * total
+
+
+def test_marginals_by_enumeration():
+    """Both sweeps give the marginals that summing over all states gives."""
+    import itertools
+
+    rng = np.random.default_rng(2)
+    model = html_extract.Model(rng.normal(size=html_extract.N_FEATURES), rng.normal(size=(len(html_extract.EDGES) + 1, 2, 2)))
+    parent, kinds, active = [-1, 0, 0, 1, 1, 2, 5], [0, 1, 2, 0, 3, 4, 2], [[1], [2, 3], [4], [5], [1, 6], [7], [8, 2]]
+    p = np.zeros((7, 2))
+    for s in itertools.product((0, 1), repeat=7):
+        z = sum(model.weight[a].sum() * v for a, v in zip(active, s)) + sum(model.edge[kinds[i], s[parent[i]], s[i]] for i in range(1, 7))
+        for i, v in enumerate(s):
+            p[i, v] += np.exp(z)
+    assert np.allclose(model.beliefs(active, kinds, parent)[0], np.log(p[:, 1] / p[:, 0]))
+
+
+def test_extraction_text_rules(spark):
+    page = "<html><body><nav><a href=/>menu</a></nav><article><h1>Main  title here</h1><p>First &amp; <b>bold</b>\n text &eacute; runs on.<br>next line of it.</p><script>var x='<p>no</p>'</script><p>Second block of text.<ul><li>item one is here.<li>item two is here.</ul><form>name <input></form><div class='comments'><p>first!</p><p>me too</p></div></article><footer>&copy; foot</footer>"
+    assert html_extract.main_text(page, html_extract.trained()) == "Main title here\nFirst & bold text é runs on. next line of it.\nSecond block of text.\nitem one is here.\nitem two is here."
+    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (None, "u", "<" * 5000), (4, "u", "<div>" * 3000), (1, "u", page)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 6 and all(r["n_chars"] == len(r["text"]) for r in got) and [r["text"] for r in got if r["page_id"] in (2, 3)] == ["", ""]
+
+
+def test_extraction_of_the_table(spark):
+    import html
+
+    pages = spark.read.parquet(f"{DIR}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    for r in pages.collect():
+        a = re.search(r"<article>(.*?)(?:</article>|$)", r["html"], re.S)[1]
+        a = re.sub(r"<[^>]+>", "", re.sub(r"<br>", " ", re.sub(r"</?(?:p|h1)[^>]*>", "\0", a)))
+        assert got[r["page_id"]] == "\n".join(y for x in a.split("\0") if (y := re.sub(r"[ \t\n\r\f\v]+", " ", html.unescape(x)).strip()))
+
+
+# -- 10: personal data -------------------------------------------------------------------
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(int(c) for c in reversed(d))) % 10 == 0
+
+
+def base_spans(text):
+    digits = lambda m: re.sub(r"[^0-9]", "", m)
+    kinds = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    )
+    return [(k, m.start(), m.end()) for k, p, ok in kinds for m in re.finditer(p, text or "") if ok(m.group())]
+
+
+def test_pii_brute_force(spark, odd):
+    rng = random.Random(10)
+    bits = ["a@b.co", "@", ".", "-", " ", "+", "1", "255", "256", "4111 1111 1111 1111", "(", ")", "12", "é", "x_y", "00", "+49 30 1234567", "10.0.0.1"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(0, 40)))) for i in range(400)] + [(r["doc_id"], r["text"]) for r in odd.where("doc_id is not null and doc_id < 8 and doc_id > 0").collect()]
+    rows = [(1000 + k, t) for k, (_, t) in enumerate(rows)]
+    got = {r["doc_id"]: r for r in pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows:
+        want, r = base_spans(text), got[d]
+        shown = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest(), text
+        assert r["spans"].startswith(shown) and r["n_phone"] == sum(k == "phone" for k, _, _ in want)
+
+
+def test_pii_context_and_checksums(spark):
+    text = "iban DE89370400440532013000, not DE89370400440532013001; call 377-555-0271, code 377-555-0271xx and much more text than forty characters before 377-555-0272; ssn 123-45-6789"
+    r = pii.pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [s.split(":")[0] for s in r["spans"].split(",")].count("iban") == 1 and "ssn" in r["spans"]
+    places = [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s.startswith("phone_local")]
+    assert text.index("377-555-0271") in [a for a, _ in places] and text.index("377-555-0272") not in [a for a, _ in places]
+
+
+def test_redaction(spark, wide, none):
+    rows = [(1, "mail a@b.co and +49 30 1234567 é", 32), (2, None, None), (3, "clean", 5)]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    assert got == {1: ("mail <EMAIL> and <PHONE> é", 26), 2: (None, None), 3: ("clean", 5)}
+    assert pii.redact(wide).columns == wide.columns and pii.redact(wide).count() == wide.count() and pii.redact(none).count() == 0
+
+
+def test_pii_stays_in_the_jvm(small):
+    assert not re.search("Python|Arrow|Pandas", pii.pii(small)._jdf.queryExecution().executedPlan().toString())
+
+
+# -- kernels -----------------------------------------------------------------------------
+
+
+def test_words_equal_split():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ab \t\n\x0b\x0c\r\x1c\xa0é😀") for _ in range(rng.randrange(0, 30))) for _ in range(200)] + [None]
+    data, off = textkern.buffers(pa.array(texts))
+    w = textkern.Words(data, off)
+    h = w.hashes()
+    for i, t in enumerate(texts):
+        want = (t or "").encode().split()
+        k = slice(w.first[i], w.first[i + 1])
+        assert [bytes(data[a:b]) for a, b in zip(w.start[k], w.end[k])] == want
+        one = textkern.Words(*textkern.buffers(pa.array(["x " + (t or "")])))
+        assert (one.hashes()[1:] == h[k]).all()
+
+
+def test_sliding_min():
+    x = np.random.default_rng(0).integers(0, 99, 50)
+    for n in range(1, 51):
+        assert textkern.sliding_min(x, n).tolist() == [min(x[i : i + n]) for i in range(51 - n)]
