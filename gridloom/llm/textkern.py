@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one kernel call works on; one longer document is a call of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -56,6 +56,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; nulls are empty."""
+    pa.default_memory_pool().release_unused()  # what the batch before took
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
