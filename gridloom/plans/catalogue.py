@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans import commands, core, kernels  # noqa: F401  (they register themselves)
+from gridloom.plans import commands, core, kernel_sql, kernels  # noqa: F401  (they register themselves)
 from gridloom.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
