@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A relation of so many rows of a few numbers may be broadcast.
+KNOTS = 10_000
+
+
 def bucket(c: Column, width: float) -> Column:
     return F.floor(c / width).cast("long")
 
@@ -61,12 +65,18 @@ def nearest(a: DataFrame, b: DataFrame, axes: list[str], id_a: str, id_b: str, r
 def lerp_on(points: DataFrame, knots: DataFrame, at: str, knot: str, values: list[str], width: float) -> DataFrame:
     """Values interpolated between sorted knots, clamped beyond both ends.
 
-    Knots are a short relation of a known bound (a control polyline)."""
+    Up to ``KNOTS`` knots (a control polyline) are broadcast; more are joined by bucket."""
     order = Window.orderBy(knot)
     ends = knots.select(F.col(knot).cast("double").alias("k0"), *values).withColumns({"k1": F.lead(F.col("k0")).over(order.orderBy("k0")), "before": F.lag("k0").over(order.orderBy("k0"))} | {f"{v}_1": F.lead(v).over(order.orderBy("k0")) for v in values})
-    low = F.when(F.col("before").isNull(), F.lit(float("-inf"))).otherwise(F.col("k0"))
-    spans = ends.withColumn("lo", low).withColumn("hi", F.coalesce("k1", F.lit(float("inf"))))
-    got = points.join(F.broadcast(spans), (F.col(at) >= F.col("lo")) & (F.col(at) < F.col("hi")))
+    if knots.limit(KNOTS + 1).count() <= KNOTS:
+        low = F.when(F.col("before").isNull(), F.lit(float("-inf"))).otherwise(F.col("k0"))
+        spans = ends.withColumn("lo", low).withColumn("hi", F.coalesce("k1", F.lit(float("inf"))))
+        got = points.join(F.broadcast(spans), (F.col(at) >= F.col("lo")) & (F.col(at) < F.col("hi")))
+    else:
+        reach = points.agg(F.min(at).alias("__lo"), F.max(at).alias("__hi")).first()
+        low = F.when(F.col("before").isNull(), F.least("k0", F.lit(reach["__lo"]).cast("double"))).otherwise(F.col("k0"))
+        spans = ends.withColumn("lo", low).withColumn("hi", F.coalesce("k1", F.greatest("k0", F.lit(reach["__hi"]).cast("double")) + 1))
+        got = interval_join(points, spans, at, "lo", "hi", width)
     t = F.greatest(F.lit(0.0), (F.col(at) - F.col("k0")) / (F.col("k1") - F.col("k0")))
     return got.select(*points.columns, *(F.when(F.col("k1").isNull(), F.col(v)).otherwise(F.col(v) + t * (F.col(f"{v}_1") - F.col(v))).alias(v) for v in values))
 

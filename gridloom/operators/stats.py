@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.graph import checkpoint
+
 
 def _by(keys: list[str]):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -71,12 +73,22 @@ def otsu(hist: DataFrame, value: str, count: str) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, keys: list[str] | None = None, out: str = "rank") -> DataFrame:
-    """Ranks with ties averaged, from one row a distinct value: no window holds all rows."""
+    """Ranks with ties averaged, from one row a distinct value.
+
+    Without keys the distinct values are dealt by range, summed up within each range and
+    shifted by the totals of the ranges before, so that no task holds them all."""
     keys = keys or []
     each = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(_by(keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = each.select(*keys, value, (before + (F.col("__n") + 1) / 2.0).alias(out))
-    return df.join(ranks, [*keys, value])
+    if keys:
+        before = F.coalesce(F.sum("__n").over(_by(keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranks = each.select(*keys, value, (before + (F.col("__n") + 1) / 2.0).alias(out))
+        return df.join(ranks, [*keys, value])
+    dealt = checkpoint(each.repartitionByRange(value).withColumn("__p", F.spark_partition_id()))
+    totals = dealt.groupBy("__p").agg(F.sum("__n").alias("__t"))  # one row a range
+    shift = totals.select("__p", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = dealt.withColumn("__b", before).join(F.broadcast(shift), "__p").select(value, (F.col("__s") + F.col("__b") + (F.col("__n") + 1) / 2.0).alias(out))
+    return df.join(ranks, value)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -267,14 +267,6 @@ sql("fit_compare", """
 sql("gap_compare", """
     with r as (select user_id, count(*) as n, avg(value) as s from {events} where value > 0 group by 1)
     select cast(floor(s / 20) as bigint) as bin, cast(count(*) as bigint) as cells, round(avg(log2(n / s)), 6) as ratio from r group by 1""")
-sql("wrapdist", """
-    with q as (select c_custkey as id, c_acctbal as a from {customer}), t as (select s_acctbal as b from {supplier}),
-    n as (select id, a, (select max(b) from t where b <= a) as lo, (select min(b) from t where b >= a) as hi from q)
-    select id, round(least(coalesce(a - lo, 1e9), coalesce(hi - a, 1e9)), 6) as d from n""",
-    """
-    with u as (select c_custkey as id, c_acctbal as a, cast(null as double) as b from {customer} union all select null, s_acctbal, s_acctbal from {supplier}),
-    n as (select id, a, max(b) over (order by a range between unbounded preceding and current row) as lo, min(b) over (order by a range between current row and unbounded following) as hi from u)
-    select id, round(least(coalesce(a - lo, 1e9), coalesce(hi - a, 1e9)), 6) as d from n where id is not null""")
 sql("priority_dedup", """
     with r as (select doc_id, source, text, row_number() over (partition by text order by n_chars desc, doc_id) as i from {documents})
     select doc_id, source from r where i = 1""",

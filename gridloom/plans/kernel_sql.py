@@ -49,6 +49,15 @@ def phase_raster(t: Tables) -> DataFrame:
     return side(0).join(side(1), "id").select("id", F.round(F.col("d0") / (F.col("d0") + F.col("d1")), 6).alias("phase"))
 
 
+@query("""with q as (select c_custkey as id, c_acctbal as a from customer), t as (select s_acctbal as b from supplier)
+    select id, round((select min(abs(a - b)) from t where abs(a - b) <= 400), 6) as d from q""")
+def wrapdist(t: Tables) -> DataFrame:
+    """Distance to the nearest labelled value, null beyond the largest distance asked for."""
+    q = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("a"))
+    near = joins.nearest(q, t.supplier.select(F.col("s_suppkey").alias("near"), F.col("s_acctbal").alias("a")), ["a"], "id", "near", 400.0)
+    return q.join(near, "id", "left").select("id", F.round(F.sqrt("d2"), 6).alias("d"))
+
+
 # -- lines and rays ----------------------------------------------------------------------
 
 

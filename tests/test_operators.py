@@ -58,6 +58,21 @@ def test_lerp_clamps(spark):
     assert got == {0: 1.0, 10: 1.0, 15: 2.0, 20: 3.0, 99: 3.0}
 
 
+def test_many_knots_join_by_bucket(spark, monkeypatch):
+    knots = spark.range(0, 50).select(F.col("id").alias("k"), (F.col("id") * 2.0).alias("v"))
+    points = spark.range(-5, 60).select(F.col("id").alias("z"))
+    want = {r["z"]: r["v"] for r in joins.lerp_on(points, knots, "z", "k", ["v"], 8).collect()}
+    monkeypatch.setattr(joins, "KNOTS", 10)
+    assert {r["z"]: r["v"] for r in joins.lerp_on(points, knots, "z", "k", ["v"], 8).collect()} == want and len(want) == 65
+
+
+def test_ranks_over_ranges(spark):
+    rng = random.Random(12)
+    v = [rng.randrange(50) for _ in range(400)]
+    got = stats.average_ranks(spark.createDataFrame([(x,) for x in v], "v int"), "v").distinct().collect()
+    assert {r["v"]: r["rank"] for r in got} == {x: sum(y < x for y in v) + (v.count(x) + 1) / 2 for x in v}
+
+
 def test_switches(spark):
     rows = [(1, i, v) for i, v in enumerate([0.0, 0.2, 0.9, 1.1, 1.0, 0.1])]
     r = windows.switches(spark.createDataFrame(rows, "k int, o int, v double"), ["k"], "o", "v", 0.6).first()
