@@ -73,6 +73,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Queries that SQL can express, over the same whole tables.
 ORACLES = {
+    "op1_substring_dedup": r"""
+        with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        p as (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20),
+        k as (select doc_id, i, row_number() over (partition by md5(array_to_string(list_slice(w, i, i + 19), ' ')) order by doc_id, i) as r from p),
+        gone as (select distinct doc_id, unnest(range(i, i + 20)) as j from k where r > 1),
+        x as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as j from d),
+        g as (select x.doc_id, count(*) filter (where gone.j is not null) as n_removed, string_agg(word, ' ' order by x.j) filter (where gone.j is null) as kept
+            from x left join gone on x.doc_id = gone.doc_id and x.j = gone.j group by x.doc_id)
+        select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join g on d.doc_id = g.doc_id""",
     "op4_exact_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
