@@ -78,3 +78,60 @@ def jacobian(df: DataFrame, key: str, span: int = 1) -> DataFrame:
     root = F.sqrt(F.pow(e - h, 2) + 4 * f * f)
     s1, s2 = F.sqrt((e + h + root) / 2), F.sqrt(F.greatest(F.lit(0.0), (e + h - root) / 2))
     return g.withColumns({"s1": s1, "s2": s2}).withColumns({"distortion": F.greatest(F.col("s1"), F.try_divide(F.lit(1.0), F.col("s2"))) - 1, "area": F.col("s1") * F.col("s2")})
+
+
+def erode(df: DataFrame, radius: int, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """Cells whose whole ball is set (cells that are not listed are not set)."""
+    n = len(ball(radius, len(axes)))
+    offsets = F.array(*(F.struct(*(F.lit(v).alias(a) for a, v in zip(axes, o, strict=True))) for o in ball(radius, len(axes))))
+    hit = df.select(*axes, F.explode(offsets).alias("o")).groupBy(*((F.col(a) + F.col(f"o.{a}")).alias(a) for a in axes)).agg(F.count("*").alias("n"))
+    return hit.where(F.col("n") == n).select(*axes)
+
+
+def close(df: DataFrame, radius: int, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """Dilation, then erosion, by a ball."""
+    return erode(dilate(df.select(*axes).distinct().withColumn("s", F.lit(1)), "s", radius, axes).select(*axes), radius, axes)
+
+
+def touching(df: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """Pairs (cell, other) of ids of set cells that share a face; id is a column of df."""
+    pairs = None
+    for a in axes:
+        right = df.select(F.col("id").alias("other"), *((F.col(c) - (1 if c == a else 0)).alias(c) for c in axes))
+        p = df.select(F.col("id").alias("cell"), *axes).join(right, list(axes)).select("cell", "other")
+        pairs = p if pairs is None else pairs.unionByName(p)
+    return pairs
+
+
+def drop_small(df: DataFrame, least: int, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """Set cells of face-connected components of at least so many cells."""
+    from gridloom.operators.graph import components
+
+    cells = df.select(*axes).distinct().withColumn("id", F.concat_ws(",", *axes))
+    part = cells.join(components(touching(cells, axes), "cell", "other").withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    big = part.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return part.join(big, "component", "left_semi").select(*axes)
+
+
+def largest_rectangle(df: DataFrame, key: str, good: str) -> DataFrame:
+    """Largest axis-parallel rectangle of good cells of each grid (key, row, col); ties go to
+    the topmost, then leftmost.  A grid is one bounded group."""
+
+    def one(k: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        g = np.zeros((int(x["row"].max()) + 1, int(x["col"].max()) + 1), bool)
+        g[x["row"], x["col"]] = x[good]
+        height = np.zeros(g.shape[1] + 1, int)
+        best = (0, 0, 0, 0, 0)
+        for r in range(g.shape[0]):
+            height[:-1] = np.where(g[r], height[:-1] + 1, 0)
+            stack: list[tuple[int, int]] = []
+            for c, h in enumerate(height.tolist()):
+                start = c
+                while stack and stack[-1][1] >= h:
+                    start, tall = stack.pop()
+                    best = max(best, (tall * (c - start), -(r - tall + 1), -start, tall, c - start))
+                stack.append((start, h))
+        area, top, left, tall, wide = best
+        return pd.DataFrame({key: [k[0]], "area": [area], "row": [-top], "col": [-left], "rows": [tall], "cols": [wide]})
+
+    return df.groupBy(key).applyInPandas(one, f"{key} {dict(df.dtypes)[key]}, area long, row long, col long, rows long, cols long")

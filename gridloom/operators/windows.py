@@ -59,3 +59,9 @@ def switches(df: DataFrame, keys: list[str], order: str, value: str, slack: floa
         return F.struct((a["base"] + k).alias("base"), (a["turns"] + F.abs(k)).alias("turns"))
 
     return line.select(*keys, F.size("rows").cast("long").alias("n"), F.aggregate("rows", start, step, lambda a: a["turns"]).alias("switches"))
+
+
+def median_filter(df: DataFrame, keys: list[str], order: str, value: str, reach: int, least: int = 1) -> Column:
+    """Upper median of the known values within reach; null below ``least`` of them."""
+    near = F.sort_array(F.collect_list(value).over(_over(keys, order).rowsBetween(-reach, reach)))
+    return F.when(F.size(near) >= least, F.element_at(near, F.floor(F.size(near) / 2).cast("int") + 1))

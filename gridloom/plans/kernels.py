@@ -8,11 +8,10 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators import graph, grid, rays, stats
+from gridloom.operators import graph, grid, rays, stats, windows
 from gridloom.plans.base import Tables, query
 from gridloom.streaming import frontier
 
-_EDGES = "(select least(c_nationkey, c_custkey % 97 + 100) as a, greatest(c_nationkey, c_custkey % 97 + 100) as b, c_custkey from customer where c_custkey % 13 = 0)"
 
 
 def _edges(t: Tables) -> DataFrame:
@@ -149,3 +148,53 @@ def _folder(t: Tables) -> str:
     if not base:
         return tempfile.mkdtemp(prefix="gridloom-")
     return f"{base}/stream-{t.spark.sparkContext.applicationId}-{abs(hash(json.dumps([t.dir])))}"
+
+
+@query("""with c as (select distinct l_orderkey % 50 as a, l_partkey % 50 as b from lineitem where l_orderkey % 37 = 0),
+    o as (select i, j from range(-1, 2) as x(i), range(-1, 2) as y(j) where i * i + j * j <= 1),
+    d as (select distinct a + i as a, b + j as b from c, o), e as (select a + i as a, b + j as b, count(*) as n from d, o group by 1, 2)
+    select a, b from e where n = 5""")
+def scanprep_close(t: Tables) -> DataFrame:
+    c = t.lineitem.where("l_orderkey % 37 = 0").select((F.col("l_orderkey") % 50).alias("a"), (F.col("l_partkey") % 50).alias("b"))
+    return grid.close(c, 1, ("a", "b"))
+
+
+@query()
+def scanprep_drop_small(t: Tables) -> DataFrame:
+    c = t.lineitem.where("l_orderkey % 19 = 0").select((F.col("l_orderkey") % 40).alias("a"), (F.col("l_partkey") % 40).alias("b"))
+    return grid.drop_small(c, 3, ("a", "b"))
+
+
+@query()
+def sheet_cut(t: Tables) -> DataFrame:
+    g = t.customer.select(F.lit(0).alias("sheet"), F.floor(F.col("c_custkey") / 30).cast("int").alias("row"), (F.col("c_custkey") % 30).cast("int").alias("col"), (F.col("c_acctbal") > 0).alias("good"))
+    return grid.largest_rectangle(g, "sheet", "good")
+
+
+@query("""with s as (select d from range(-3, 4) as r(d)), a as (select l_suppkey as z, avg(l_quantity) as v from lineitem where l_linenumber % 2 = 0 group by 1), b as (select l_suppkey as z, avg(l_quantity) as v from lineitem where l_linenumber % 2 = 1 group by 1),
+    c as (select d, corr(a.v, b.v) as r from s, a join b on true where b.z = a.z + d group by d)
+    select cast(d as bigint) as shift, round(r, 9) as ncc from c""")
+def reg_ncc(t: Tables) -> DataFrame:
+    """Normalised cross-correlation of two profiles under integer shifts."""
+    side = lambda n: t.lineitem.where(f"l_linenumber % 2 = {n}").groupBy(F.col("l_suppkey").alias("z")).agg(F.avg("l_quantity").alias("v"))
+    a = side(0).select("z", F.col("v").alias("va"), F.explode(F.sequence(F.lit(-3).cast("long"), F.lit(3).cast("long"))).alias("shift")).withColumn("z", F.col("z") + F.col("shift"))
+    return a.join(side(1), "z").groupBy("shift").agg(F.round(F.corr("va", "v"), 9).alias("ncc"))
+
+
+@query("""with w as (select user_id, event_id, list_sort(list(value) over (partition by user_id order by event_id rows between 2 preceding and 2 following)) as near from events)
+    select event_id, round(near[len(near) // 2 + 1], 6) as med from w""")
+def faces_median(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.round(windows.median_filter(t.events, ["user_id"], "event_id", "value", 2), 6).alias("med"))
+
+
+@query()
+def recto_cls(t: Tables) -> DataFrame:
+    """Boosted or bagged trees over interval features: the confusion matrix on held-out rows."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    rows = t.lineitem.select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", (F.col("l_orderkey") % 5 == 0).alias("held"))
+    rows = VectorAssembler(inputCols=["l_quantity", "l_extendedprice", "l_discount", "l_tax"], outputCol="features").transform(rows)
+    rows = StringIndexer(inputCol="l_returnflag", outputCol="label", stringOrderType="alphabetAsc").fit(rows).transform(rows)
+    model = RandomForestClassifier(numTrees=8, maxDepth=4, maxBins=32, seed=5).fit(rows.where("not held"))
+    return model.transform(rows.where("held")).groupBy(F.col("label").cast("int").alias("truth"), F.col("prediction").cast("int").alias("predicted")).agg(F.count("*").alias("n"))

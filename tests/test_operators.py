@@ -192,3 +192,27 @@ def test_ready_chunks_stream(spark, tmp_path):
         q.awaitTermination()
     out = pd.concat([pd.read_csv(p) for p in sorted(tmp_path.glob("out*.csv"))])
     assert sorted(out["chunk"].tolist()) == [0, 1]
+
+
+def test_raw_store_round_trip(spark, tmp_path):
+    from gridloom.sources import rawstore
+
+    rng = random.Random(13)
+    cells = {(rng.randrange(20), rng.randrange(9), rng.randrange(7)): rng.randrange(1, 255) for _ in range(90)}
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "z long, y long, x long, v long")
+    rawstore.write_raw(df, str(tmp_path / "a"), (20, 9, 7), (8, 4, 4))
+    spark.dataSource.register(rawstore.RawStore)
+    read = lambda **o: {tuple(r)[:3]: r["v"] for r in spark.read.format("rawstore").options(**o).load(str(tmp_path / "a")).collect()}
+    assert read() == cells
+    assert read(low="3,2,1", size="9,4,5") == {k: v for k, v in cells.items() if 3 <= k[0] < 12 and 2 <= k[1] < 6 and 1 <= k[2] < 6}
+    assert len(rawstore.RawReader({"path": str(tmp_path / "a"), "low": "0,0,0", "size": "8,4,4"}).partitions()) <= 1
+
+
+def test_drop_small_and_rectangle(spark):
+    cells = [(0, 0), (0, 1), (1, 1), (5, 5), (8, 8), (8, 9)]
+    assert {tuple(r) for r in grid.drop_small(spark.createDataFrame(cells, "a int, b int"), 3, ("a", "b")).collect()} == {(0, 0), (0, 1), (1, 1)}
+    rng = random.Random(14)
+    g = [[rng.random() < 0.7 for _ in range(7)] for _ in range(6)]
+    best = max((h * w, -r, -c) for r in range(6) for c in range(7) for h in range(1, 7 - r) for w in range(1, 8 - c) if all(g[i][j] for i in range(r, r + h) for j in range(c, c + w)))
+    got = grid.largest_rectangle(spark.createDataFrame([(1, r, c, g[r][c]) for r in range(6) for c in range(7)], "k int, row int, col int, good boolean"), "k", "good").first()
+    assert got["area"] == best[0] and all(g[i][j] for i in range(got["row"], got["row"] + got["rows"]) for j in range(got["col"], got["col"] + got["cols"]))
