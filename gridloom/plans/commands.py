@@ -29,8 +29,8 @@ sql("tifxyz_shards", """
     select distinct cast(floor(a / 128) as bigint) as sa, cast(floor(b / 128) as bigint) as sb from m""")
 sql("tifxyz_orient", """
     with g as (select l_orderkey as r, l_linenumber as c, l_quantity as x, l_extendedprice / 1000 as y, l_discount * 100 as z, l_partkey as k1, l_suppkey as k2 from {lineitem}),
-    n as (select r, c, x, y, lead(x) over (partition by r order by c, k1, k2) - x as ux, lead(y) over (partition by r order by c, k1, k2) - y as uy, lead(z) over (partition by r order by c, k1, k2) - z as uz,
-        lead(x) over (partition by c order by r, k1, k2) - x as vx, lead(y) over (partition by c order by r, k1, k2) - y as vy, lead(z) over (partition by c order by r, k1, k2) - z as vz from g),
+    n as (select r, c, x, y, lead(x) over (partition by r order by c, k1, k2, x, z) - x as ux, lead(y) over (partition by r order by c, k1, k2, x, z) - y as uy, lead(z) over (partition by r order by c, k1, k2, x, z) - z as uz,
+        lead(x) over (partition by c order by r, k1, k2, x, z) - x as vx, lead(y) over (partition by c order by r, k1, k2, x, z) - y as vy, lead(z) over (partition by c order by r, k1, k2, x, z) - z as vz from g),
     k as (select x * (uy * vz - uz * vy) + y * (uz * vx - ux * vz) as d from n where ux is not null and vx is not null)
     select cast(count(*) as bigint) as n, round(avg(case when d > 0 then 1e0 else 0e0 end), 9) as outward from k""")
 sql("wrap_dump", """
@@ -68,7 +68,7 @@ sql("phase_gate", """
     g as (select user_id, event_id, value, least(1e0, greatest(0e0, (q - 10) / 40)) as t from d)
     select event_id, round(t * t * (3 - 2 * t), 6) as g, round(t * t * (3 - 2 * t) * value + (1 - t * t * (3 - 2 * t)) * 7, 6) as mixed from g""")
 sql("merge_flag", """
-    with f as (select l_orderkey, l_linenumber, l_returnflag, avg(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows between 1 preceding and 1 following) as a, avg(l_discount) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows between 1 preceding and 1 following) as b from {lineitem})
+    with f as (select l_orderkey, l_linenumber, l_returnflag, avg(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount rows between 1 preceding and 1 following) as a, avg(l_discount) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount rows between 1 preceding and 1 following) as b from {lineitem})
     select l_orderkey, l_linenumber, round(1 / (1 + exp(-(a * 5e-2 + b * 3 - 15e-1))), 6) as p from f""")
 sql("void_pool", """
     select cast(floor(z / 4) as bigint) as z, cast(floor(y / 4) as bigint) as y, round(avg(case when v < 25 then 1e0 else 0e0 end) * 255, 4) as share from {voxels} group by 1, 2""")
@@ -176,17 +176,17 @@ sql("phase_check", """
     select cast(count(*) as bigint) as n, round(avg(case when ((n - code + 126) % 252 + 252) % 252 - 126 > 0 then 1e0 else 0e0 end), 9) as rising from d where n is not null""")
 sql("side_gate", """
     with s as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_quantity >= 25 then 1 else 0 end as m from {lineitem}),
-    c as (select l_orderkey, l_linenumber, m, case when lag(m) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) = m then 0 else 1 end as nw from s),
+    c as (select l_orderkey, l_linenumber, m, case when lag(m) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, m) = m then 0 else 1 end as nw from s),
     r as (select l_orderkey, cast(sum(nw) as bigint) as runs, cast(sum(m) as bigint) as len from c group by 1)
     select runs, len, cast(count(*) as bigint) as n, cast(sum(case when runs between 1 and 3 and len between 1 and 4 then 1 else 0 end) as bigint) as kept from r group by 1, 2""")
 sql("ink_seam", """
-    with d as (select l_orderkey as z, abs(lead(l_quantity) over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) - l_quantity) as dv from {lineitem})
+    with d as (select l_orderkey as z, abs(lead(l_quantity) over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity) - l_quantity) as dv from {lineitem})
     select case when z % 512 = 0 then 'seam' else 'interior' end as part, cast(count(*) as bigint) as n, round(avg(dv), 6) as mean from d where dv is not null group by 1""")
 sql("ink_cover", """
-    with g as (select l_orderkey, l_linenumber, l_returnflag, l_quantity as v, lag(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as p, lead(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as n from {lineitem})
+    with g as (select l_orderkey, l_linenumber, l_returnflag, l_quantity as v, lag(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as p, lead(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as n from {lineitem})
     select l_returnflag, round(avg(case when v >= 40 then 1e0 else 0e0 end), 9) as share, round(avg(v), 6) as mean, round(avg(abs(2 * v - p - n)), 6) as contrast from g group by 1""")
 sql("phase_packing", """
-    with g as (select l_suppkey, l_quantity * 5 as a, lead(l_quantity * 5) over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) - l_quantity * 5 as d1, lead(l_quantity * 5, 2) over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) - l_quantity * 5 as d2 from {lineitem})
+    with g as (select l_suppkey, l_quantity * 5 as a, lead(l_quantity * 5) over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity) - l_quantity * 5 as d1, lead(l_quantity * 5, 2) over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity) - l_quantity * 5 as d2 from {lineitem})
     select l_suppkey, cast(count(*) as bigint) as n, round(avg(case when sqrt(d1 * d1 + d2 * d2) > 100 then 1e0 else 0e0 end), 9) as packed from g where d2 is not null group by 1""")
 sql("field_diag", """
     with f as (select user_id, event_id, value, code, lead(code) over (partition by user_id order by event_id) as n from {phases} where code is not null)

@@ -100,7 +100,7 @@ sql("wrap_repair", """
     select ray, cast(sum(case when p is null or place - p >= 2 then 1 else 0 end) as bigint) as kept, cast(sum(case when place - p < 2 then 1 else 0 end) as bigint) as repaired from r group by 1""")
 sql("gt_trans", """
     with r as (select l_suppkey as ray, cast(floor(l_partkey / 100) as bigint) as turn, case when l_quantity >= 25 then 1 else 0 end as side, l_orderkey, l_linenumber, l_partkey from {lineitem}),
-    f as (select ray, turn, case when side <> lag(side) over (partition by ray, turn order by l_orderkey, l_linenumber, l_partkey) then 1 else 0 end as flip from r)
+    f as (select ray, turn, case when side <> lag(side) over (partition by ray, turn order by l_orderkey, l_linenumber, l_partkey, side) then 1 else 0 end as flip from r)
     select turn, cast(sum(flip) as bigint) as flips, cast(count(*) as bigint) as n from f group by 1""")
 sql("gt_gate", """
     with c as (select cast(floor(l_orderkey / 200) as bigint) as cell, avg(case when l_quantity >= 20 then 1e0 else 0e0 end) as support from {lineitem} group by 1)
@@ -147,7 +147,7 @@ sql("sr_pairs", """
 sql("weighted_sample", """
     select o_orderkey, o_totalprice from {orders} where (o_orderkey * 2654435761) % 4294967296 < o_totalprice * 2000""")
 sql("trace_prep_seeds", """
-    with r as (select l_suppkey as ray, l_orderkey as place, l_quantity as p, lag(l_quantity) over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) as b, lead(l_quantity) over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) as n from {lineitem}),
+    with r as (select l_suppkey as ray, l_orderkey as place, l_quantity as p, lag(l_quantity) over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity) as b, lead(l_quantity) over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity) as n from {lineitem}),
     m as (select ray, place, p from r where p >= 40 and (b is null or p > b) and (n is null or p >= n))
     select ray, place, p from m order by (place * 2654435761 + ray * 40503) % 4294967296, ray, place, p limit 64""")
 sql("fiber_raster", """
