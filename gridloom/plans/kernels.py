@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,7 +136,7 @@ def frontier_window_agg(t: Tables) -> DataFrame:
     """Daily windows of a file stream, closed ones only: those that the watermark passed."""
     stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.dir}/events.parquet*")
     agg = frontier.windowed(stream, "ts", "1 day", "1 hour", F.count("*").alias("n"), F.sum("value").alias("total"))
-    name = "frontier_window_agg"
+    name = f"frontier_window_agg_{uuid4().hex[:8]}"
     q = agg.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", _folder(t)).start()
     q.awaitTermination()
     return t.spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", F.round("total", 4).alias("total"))
@@ -147,7 +147,7 @@ def _folder(t: Tables) -> str:
     base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         return tempfile.mkdtemp(prefix="gridloom-")
-    return f"{base}/stream-{t.spark.sparkContext.applicationId}-{abs(hash(json.dumps([t.dir])))}"
+    return f"{base}/stream-{uuid4().hex}"
 
 
 @query("""with c as (select distinct l_orderkey % 50 as a, l_partkey % 50 as b from lineitem where l_orderkey % 37 = 0),
