@@ -281,6 +281,27 @@ def test_near_duplicates_brute_force(spark):
         assert groups(near_dedup.classes(df, small=small)) == {i: find(i) for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 20_000])
+def test_large_buckets_of_many_classes(spark, block):
+    passage = [f"p{k}" for k in range(60)]
+    texts = []
+    for g in range(60):
+        own = [f"g{g}w{k}" for k in range(25)]
+        texts += [" ".join(passage + own), " ".join(passage + own[:-1] + ["other"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert groups(near_dedup.classes(docs, bands=5, rows=1, block=block)) == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_bound_of_common_mass():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        a, b = (Counter(rng.integers(0, 12, rng.integers(1, 40)).tolist()) for _ in range(2))
+        cells = sorted((g, r, n) for r, c in enumerate((a, b)) for g, n in c.items())
+        col, row, weight = (np.array(x) for x in zip(*cells, strict=True))
+        u, v = near_dedup.common_mass(row, col, weight, np.array([0]), np.array([1]), step=5)
+        assert not u[0, 0] and not j_p(a, b) or 1 / (1 / u[0, 0] + 1 / v[0, 0] - 1) >= j_p(a, b) - 1e-5
+
+
 def test_components_of_a_long_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in near_dedup.components(e).collect()}
