@@ -14,8 +14,8 @@ from gridloom.streaming import frontier
 
 
 
-def _edges(t: Tables) -> DataFrame:
-    return t.customer.where("c_custkey % 13 = 0").select(F.col("c_nationkey").cast("long").alias("a"), (F.col("c_custkey") % 97 + 100).alias("b"), "c_custkey")
+def _edges(t: Tables, some: str = "c_custkey % 13 = 0") -> DataFrame:
+    return t.customer.where(some).select(F.col("c_nationkey").cast("long").alias("a"), (F.col("c_custkey") % 97 + 100).alias("b"), "c_custkey")
 
 
 @query("""with recursive e as (select c_nationkey::bigint as a, c_custkey % 97 + 100 as b from customer where c_custkey % 13 = 0), u as (select a, b from e union select b, a from e),
@@ -42,25 +42,25 @@ def mutual_best(t: Tables) -> DataFrame:
 
 @query()
 def spanning_forest(t: Tables) -> DataFrame:
-    e = _edges(t).groupBy("a", "b").agg(F.sum("c_custkey").alias("w"))
+    e = _edges(t, "true").groupBy("a", "b").agg(F.sum("c_custkey").alias("w"))
     return graph.spanning_forest(e)
 
 
 @query()
 def chain_gauges(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("line"), (F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey")).alias("pos"), F.pmod(F.col("l_suppkey"), F.lit(5)).cast("long").alias("prior"), (F.pmod(F.col("l_partkey"), F.lit(3)) - 1).cast("long").alias("step"))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("line"), (F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey")).alias("pos"), F.pmod(F.col("l_suppkey"), F.lit(5)).cast("long").alias("prior"), (F.pmod(F.col("l_partkey"), F.lit(3)) - 1).cast("long").alias("step"))
     return graph.chain_gauges(rows, ["line"], [-1, 0, 1, 2, 3, 4, 5])
 
 
 @query()
 def fiber_link(t: Tables) -> DataFrame:
-    c = t.lineitem.where("l_orderkey % 100 = 0").groupBy(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).agg(F.min("l_extendedprice").alias("cost"))
+    c = t.lineitem.groupBy(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).agg(F.min("l_extendedprice").alias("cost"))
     return graph.greedy_links(c)
 
 
 @query()
 def peaks_prominence(t: Tables) -> DataFrame:
-    return rays.peaks(t.events.where("user_id % 5 = 0"), "user_id", "event_id", "value", 5.0, 2)
+    return rays.peaks(t.events, "user_id", "event_id", "value", 5.0, 2)
 
 
 @query("""with w as (select user_id, event_id, value / 10 as v, lead(value / 10) over (partition by user_id order by event_id) as nv, lead(event_id) over (partition by user_id order by event_id) as ne from events),
@@ -161,7 +161,7 @@ def scanprep_close(t: Tables) -> DataFrame:
 
 @query()
 def scanprep_drop_small(t: Tables) -> DataFrame:
-    c = t.lineitem.where("l_orderkey % 19 = 0").select((F.col("l_orderkey") % 40).alias("a"), (F.col("l_partkey") % 40).alias("b"))
+    c = t.lineitem.select((F.col("l_orderkey") % 40).alias("a"), (F.col("l_partkey") % 40).alias("b"))
     return grid.drop_small(c, 3, ("a", "b"))
 
 

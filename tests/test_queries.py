@@ -24,6 +24,22 @@ def test_rows_only(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
 
 
+def test_whole_tables(spark, monkeypatch):
+    """Queries without a twin hand their operator every key of the table."""
+    from gridloom.operators import graph, grid, rays
+    from gridloom.plans import kernels
+    from gridloom.plans.base import Tables
+
+    t = Tables(spark, DIR)
+    for module, name in ((graph, "spanning_forest"), (graph, "chain_gauges"), (graph, "greedy_links"), (rays, "peaks"), (grid, "drop_small")):
+        monkeypatch.setattr(module, name, lambda rows, *_: rows)
+    assert kernels.spanning_forest(t).selectExpr("sum(w)").first()[0] == t.customer.selectExpr("sum(c_custkey)").first()[0]
+    assert kernels.chain_gauges(t).count() == t.lineitem.count()
+    assert kernels.fiber_link(t).count() == t.lineitem.select("l_partkey", "l_suppkey").distinct().count()
+    assert kernels.peaks_prominence(t).count() == t.events.count()
+    assert kernels.scanprep_drop_small(t).count() == t.lineitem.count()
+
+
 def test_entry(spark):
     import __spark_entry__
 
