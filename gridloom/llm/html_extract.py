@@ -41,6 +41,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 SILENT = frozenset("head select button svg math object canvas audio video form".split()) | RAW
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup"}
+#: What head can hold; any other start tag ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title html head".split())
 #: An element that its next sibling of the same group ends.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 SCOPES = frozenset("table td th ul ol dl body html article section div main aside nav header footer blockquote".split())
@@ -116,6 +118,8 @@ def parse(source: str) -> Page:
         at = m.end()
         text = m["text"]
         if text is not None:
+            if names[-1] == "head" and text.strip():
+                pop_to(len(names) - 1)  # text ends a head too
             if not silent:
                 page.add("#text", stack[-1], block, entities.unescape(text) if "&" in text else text)
             continue
@@ -133,6 +137,8 @@ def parse(source: str) -> Page:
                 if tag not in BLOCKS and names[d] in BLOCKS:
                     break
             continue
+        if tag not in IN_HEAD and "head" in names:
+            pop_to(names.index("head"))
         if tag == "br":
             if not silent:
                 page.add("#text", stack[-1], block, "\n")

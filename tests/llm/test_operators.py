@@ -448,6 +448,20 @@ def test_extraction_text_rules(spark):
     assert len(got) == 6 and all(r["n_chars"] == len(r["text"]) for r in got) and [r["text"] for r in got if r["page_id"] in (2, 3)] == ["", ""]
 
 
+@pytest.mark.parametrize("head", ["<head><title>t</title>", "<head><title>t</title><meta charset=utf-8>", "<head><title>t</title></head>"])
+@pytest.mark.parametrize("body", ["<body>", ""])
+@pytest.mark.parametrize("end", ["</body></html>", ""])
+def test_extraction_without_optional_tags(head, body, end):
+    text = "A long paragraph of the article that a reader came for, with some more words in it."
+    page = f"<html>{head}{body}<article><p>{text}</p></article>{end}"
+    assert html_extract.main_text(page, html_extract.trained()) == text
+
+
+def test_text_ends_an_open_head():
+    page = html_extract.parse("<html><head><title>t</title>bare text")
+    assert "bare text" in page.text and "t" not in page.text
+
+
 def test_extraction_of_the_table(spark):
     import html
 
