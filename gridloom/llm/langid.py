@@ -6,9 +6,8 @@ known, down to single letters.  Log likelihoods add up over the text; ``score``
 posterior of the best language under equal priors, with evidence damped to one n-th root
 so that it stays informative.
 
-Training counts words and n-grams over at most ``SAMPLE`` documents in order of a hash,
-and keeps at most ``KEEP_WORDS`` words and ``KEEP_GRAMS`` n-grams an order in each of at
-most ``LANGS`` languages (the most frequent): the model's size has that bound.
+Training counts words and n-grams over at most ``SAMPLE`` documents in order of a hash and
+keeps all of them, in every language: the sample alone bounds the model.
 
 Defined cases: ``und`` with score 0 for a null text or one without a letter, and for all
 if nothing was learned; null languages teach nothing; ties go to the smaller language
@@ -24,15 +23,16 @@ from itertools import count as counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.toxicity import fold
 
 SAMPLE = 10_000
-KEEP_WORDS, KEEP_GRAMS, LANGS = 30_000, 10_000, 64
 ORDERS = (5, 4, 3, 2, 1)
 ALPHA = 0.05
+#: Tables of at most so many numbers are held in full, larger ones row by row as asked.
+DENSE = 8_000_000
 _CACHE = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -61,34 +61,58 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequency of words (order 0) and n-grams, a row of languages each."""
+    """Log frequency of words (order 0) and n-grams: what their languages add to the base
+    that a language gives unknown ones, in one run of ``lang`` and ``gain`` each."""
 
     def __init__(self, langs: list[str], counts: dict[tuple[int, str], dict[int, int]], totals: dict[tuple[int, int], int], kinds: dict[tuple[int, int], int]) -> None:
         self.langs = langs
         # one number of kinds for all languages, so that a small vocabulary is no advantage
         most = {n: 1 + max((k for (m, _), k in kinds.items() if m == n), default=0) for n in (0, *ORDERS)}
-        base = {n: np.array([np.log(ALPHA / (totals.get((n, i), 0) + ALPHA * most[n])) for i in range(len(langs))], np.float32) for n in (0, *ORDERS)}
-        self.tables: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *ORDERS)}
-        for (n, gram), by in counts.items():
-            v = base[n].copy()
-            for i, c in by.items():
-                v[i] += np.float32(np.log((c + ALPHA) / ALPHA))
-            self.tables[n][gram] = v
+        self.base = {n: np.array([np.log(ALPHA / (totals.get((n, i), 0) + ALPHA * most[n])) for i in range(len(langs))], np.float32) for n in (0, *ORDERS)}
+        self.place: dict[int, dict[str, int]] = {n: {} for n in (0, *ORDERS)}
+        for k, (n, gram) in enumerate(counts):
+            self.place[n][gram] = k
+        self.start = np.cumsum([0, *map(len, counts.values())])
+        size = int(self.start[-1])
+        self.lang = np.fromiter((i for by in counts.values() for i in by), np.int32, size)
+        self.gain = np.log((np.fromiter((c for by in counts.values() for c in by.values()), np.float64, size) + ALPHA) / ALPHA).astype(np.float32)
+        self.order = np.fromiter((n for n, _ in counts), np.int32, len(counts))
+        self.full: np.ndarray | None = None
         self.known: dict[str, np.ndarray] = {}
 
+    @property
+    def room(self) -> int:
+        """Width of a row in steps of 64 languages."""
+        return 1 + max(len(self.langs) - 1, 0) // 64
+
+    def row(self, n: int, gram: str) -> np.ndarray | None:
+        k = self.place[n].get(gram)
+        if k is None:
+            return None
+        if self.full is None and len(self.order) * len(self.langs) <= DENSE:  # made where it is used, not sent
+            self.full = np.stack([self.base[m] for m in range(1 + max(ORDERS))])[self.order]
+            self.full[np.repeat(np.arange(len(self.order)), np.diff(self.start)), self.lang] += self.gain
+        if self.full is not None:
+            return self.full[k]
+        v = self.base[n].copy()
+        at = slice(self.start[k], self.start[k + 1])
+        v[self.lang[at]] += self.gain[at]
+        return v
+
     def word(self, w: str) -> np.ndarray:
-        v = self.tables[0].get(w)
-        if v is not None:
-            return v
         v = self.known.get(w)
         if v is None:
-            v = np.zeros(len(self.langs), np.float32)
-            for n in ORDERS:
-                hits = [x for g in grams(w, n) if (x := self.tables[n].get(g)) is not None]
+            v = self.row(0, w)
+            if v is not None and self.full is not None:
+                return v
+            for n in ORDERS if v is None else ():
+                hits = [x for g in grams(w, n) if (x := self.row(n, g)) is not None]
                 if hits:
                     v = np.mean(hits, axis=0)
                     break
-            if len(self.known) >= _CACHE:
+            if v is None:
+                v = np.zeros(len(self.langs), np.float32)
+            if len(self.known) >= _CACHE // self.room:
                 self.known.clear()
             self.known[w] = v
         return v
@@ -118,23 +142,22 @@ def fit(docs: DataFrame, sample: int = SAMPLE, parts: int = 5) -> Model:
         return Model([], {}, {}, {})
     taken = known.where(order <= F.lit(bound)).select("lang", "text")
     sums = taken.mapInArrow(_count, "lang string, n int, gram string, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
-    by = Window.partitionBy("lang", "n")
-    kept = sums.withColumns({"total": F.sum("count").over(by), "kinds": F.count("*").over(by), "place": F.row_number().over(by.orderBy(F.desc("count"), "gram"))})
-    kept = kept.where(F.col("place") <= F.when(F.col("n") == 0, KEEP_WORDS).otherwise(KEEP_GRAMS)).drop("place")
-    langs = sorted(r["lang"] for r in taken.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect())
+    langs = sorted(r["lang"] for r in taken.select("lang").distinct().collect())
     at = {x: i for i, x in enumerate(langs)}
     counts: dict = defaultdict(dict)
-    totals, kinds = {}, {}
-    for x in kept.where(F.col("lang").isin(langs)).toArrow().to_batches():
-        for lang, n, gram, c, total, kind in zip(*(x.column(k).to_pylist() for k in ("lang", "n", "gram", "count", "total", "kinds")), strict=True):
+    totals: dict = defaultdict(int)
+    kinds: dict = defaultdict(int)
+    for x in sums.select("lang", "n", "gram", "count").toArrow().to_batches():
+        for lang, n, gram, c in zip(*(x.column(k).to_pylist() for k in ("lang", "n", "gram", "count")), strict=True):
             counts[n, gram][at[lang]] = c
-            totals[n, at[lang]], kinds[n, at[lang]] = total, kind
-    return Model(langs, dict(counts), totals, kinds)
+            totals[n, at[lang]] += c
+            kinds[n, at[lang]] += 1
+    return Model(langs, dict(counts), dict(totals), dict(kinds))
 
 
 def identify(docs: DataFrame, model: Model, parts: int = 5) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by KEEP_WORDS, KEEP_GRAMS and LANGS
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -143,7 +166,7 @@ def identify(docs: DataFrame, model: Model, parts: int = 5) -> DataFrame:
             lo, size = 0, 0
             for i in range(b.num_rows):
                 size += len(text[i].as_py())
-                if size > 2_000_000 or i + 1 == b.num_rows:
+                if size > 2_000_000 // m.room or i + 1 == b.num_rows:
                     got += m.predict(text.slice(lo, i + 1 - lo).to_pylist())
                     lo, size = i + 1, 0
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])

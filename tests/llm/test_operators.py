@@ -191,6 +191,27 @@ def test_language_backoff():
     assert [g[0] for g in got] == ["a", "b", "a", "und", "und"] and got[3][1] == 0.0
 
 
+def test_language_rows_dense_or_not(monkeypatch):
+    args = ["a", "b"], {(0, "known"): {0: 9, 1: 2}, (3, "xyz"): {1: 5}, (1, "q"): {0: 3}}, {(0, 0): 9, (0, 1): 2, (3, 1): 5, (1, 0): 3}, {(0, 0): 1, (0, 1): 1, (3, 1): 1, (1, 0): 1}
+    texts = ["known", "axyzb", "q known", "unseen"]
+    dense = langid.Model(*args).predict(texts)
+    monkeypatch.setattr(langid, "DENSE", 0)
+    assert langid.Model(*args).predict(texts) == dense
+
+
+def test_language_of_many(spark):
+    """More than 64 languages, and one with more than 30,000 words and 10,000 n-grams."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda k: letters[k // 676 % 26] + letters[k // 26 % 26] + letters[k % 26]
+    rows = [(k, f"l{k % 90:02d}", f"{name(k % 90)}one {name(k % 90)}two") for k in range(900)]
+    rows.append((10_001, "big", " ".join("q" + name(k // 17) + name(k) for k in range(40_000))))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.fit(docs, parts=1_000_003)
+    assert len(model.langs) == 91 and len(model.place[0]) == 40_000 + 180
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert got == {k: lang for k, lang, _ in rows}
+
+
 def test_language_odd(odd, none, wide):
     got = {}
     for r in langid.language_id(odd).collect():
