@@ -27,15 +27,13 @@ read.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textkern as tk
-from gridloom.llm.near_dedup import checkpointed
+from gridloom.llm.scratch import saved, tidy
 from gridloom.llm.toxicity import fold
 
 PARTS = 10
@@ -245,22 +243,6 @@ def _score(weights: np.ndarray, n: int, vocabulary: int):
     return run
 
 
-@contextmanager
-def _tidy(spark: SparkSession):
-    """Shuffle files of what is planned inside go as soon as it has run."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    try:
-        before = spark.conf.get(key)
-        spark.conf.set(key, "true")
-    except Exception:  # an older Spark without the setting keeps them a little longer
-        yield
-        return
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def _chunked(docs: DataFrame, deleted_chunks: int, other_chunks: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold(parts=PARTS).cast("int").alias("part"), text.alias("text"))
@@ -274,11 +256,11 @@ def scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int =
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
     other = max(1, -(-size // chunk_bytes))
     deleted, buckets = max(1, -(-other // PARTS)), max(1, -(-size // bucket_bytes))
-    with _tidy(spark):
+    with tidy(spark):
         chunked = _chunked(docs, deleted, other)
         asked = chunked.groupBy("chunk").applyInArrow(_ask(buckets), "chunk long, bucket long, keys binary, counts binary")
         answered = asked.groupBy("bucket").applyInArrow(_answer(buckets, deleted), "chunk long, bucket long, size long, total binary, deleted binary, stats array<long>")
-        answers = checkpointed(answered)
+        answers = saved(answered)
         stats = answers.where("chunk < 0").agg(*(F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(3))).first()
         n, vocabulary, n_deleted = (int(x) for x in stats)
         held = chunked.where(F.col("part") == DELETED).groupBy("chunk")

@@ -55,16 +55,13 @@ def fold(column: str = "doc_id", parts: int = 5):
 def _terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and bucket of every term, repeated ones too."""
     w = tk.Words(data, off, IS_TERM)
-    up, down = tk._bytes.upto(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(tk.BYTE_CODE[data] * up[:-1], out=total[1:])
     shift = np.uint64(64 - BUCKET_BITS)
-    rows, buckets = [w.row], [tk.mix((total[w.end] - total[w.start]) * down[w.start]) >> shift]
+    rows, buckets = [w.row], [w.hashes() >> shift]
     for n in PREFIXES:
         k = np.flatnonzero(w.end - w.start > n)
         s = w.start[k]
         rows.append(w.row[k])
-        buckets.append(tk.mix((total[s + n] - total[s]) * down[s] + np.uint64(n)) >> shift)
+        buckets.append(tk.hash_ranges(data, s, s + n, salt=n) >> shift)
     return np.concatenate(rows), np.concatenate(buckets).astype(np.int64)
 
 

@@ -336,7 +336,7 @@ def test_near_duplicates_odd(odd, none, wide):
         by.setdefault(r["doc_id"], set()).add(r["class_id"])
     assert by[1] == {1} and by[2] == {2} and by[3] == {3} and by[6] == {5} and by[None] == {None} and by[10] == {10}
     kept = [r["doc_id"] for r in near_dedup.clean(wide).collect()]
-    assert kept.count(10) == 1 and 6 not in kept and {1, 2, 3, 5, None} <= set(kept) and near_dedup.clean(wide).columns == wide.columns
+    assert kept.count(10) == 2 and 6 not in kept and {1, 2, 3, 5, None} <= set(kept) and near_dedup.clean(wide).columns == wide.columns
     assert near_dedup.classes(none).count() == 0 and near_dedup.clean(none).count() == 0
 
 
