@@ -3,13 +3,19 @@
 Each stage works on all that the one before kept.  Documents scored as toxic go, one
 document of each class of near copies stays, documents that hold a benchmark item go,
 personal data is replaced by its kind, and the rest is packed into sequences.
+
+Defined cases: null texts count as empty ones and are clean; rows with a null doc_id pass
+through the first four stages unless their text is toxic or leaked; of identical rows with
+words one stays; empty tables give an empty result with the columns of the last stage;
+columns of documents beyond those used are carried, of any name; very long texts are
+treated whole.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, near_dedup, packing, pii, toxicity
+from gridloom.llm import decontaminate, near_dedup, packing, pii, scratch, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = near_dedup.checkpointed(docs)
+            docs = scratch.saved(docs)
     return docs
