@@ -1,40 +1,45 @@
 """Language identification, words first, with backoff to character n-grams.
 
-A text's letters-only words are scored by the log frequency that each language gives them;
-a word no language knows falls back to its n-grams, the longest order of which any is
-known, down to single letters.  Log likelihoods add up over the text; ``score`` is the
-posterior of the best language under equal priors, with evidence damped to one n-th root
-so that it stays informative.
+A text's words, runs of Unicode letters in lower case, are scored by the log frequency
+that each language gives them; a word no language knows falls back to its n-grams, the
+longest order of which any is known, down to single letters.  Log likelihoods add up over
+the text; ``score`` is the posterior of the best language under equal priors, with
+evidence damped to one n-th root so that it stays informative.
 
 Training counts words and n-grams over at most ``SAMPLE`` documents in order of a hash and
-keeps all of them, in every language: the sample alone bounds the model.
+keeps all of them, in every language: the sample alone bounds the model.  Known words are
+looked up by their hashes, a slice of texts at a time; only the distinct unknown words of
+a slice are taken apart one by one.
 
 Defined cases: ``und`` with score 0 for a null text or one without a letter, and for all
 if nothing was learned; null languages teach nothing; ties go to the smaller language
-name; a null doc_id counts as the empty string for the fold.
+name; a null doc_id counts as the empty string for the fold; very long texts are read
+whole; an empty table gives an empty result; columns besides doc_id, text and lang, of any
+name, are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import count as counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm import textkern as tk
 from gridloom.llm.toxicity import fold
 
 SAMPLE = 10_000
 ORDERS = (5, 4, 3, 2, 1)
 ALPHA = 0.05
-#: Tables of at most so many numbers are held in full, larger ones row by row as asked.
-DENSE = 8_000_000
 _CACHE = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str = "text"):
+    """A text's words with one space between them."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+", " "))
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -46,7 +51,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: dict[str, Counter] = defaultdict(Counter)
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
-            words[lang].update(_LETTERS.findall(text.as_py().lower()))
+            words[lang].update(text.as_py().split())
     rows: list[tuple] = []
     for lang, seen in words.items():
         rows += [(lang, 0, w, n) for w, n in seen.items()]
@@ -68,79 +73,93 @@ class Model:
         self.langs = langs
         # one number of kinds for all languages, so that a small vocabulary is no advantage
         most = {n: 1 + max((k for (m, _), k in kinds.items() if m == n), default=0) for n in (0, *ORDERS)}
-        self.base = {n: np.array([np.log(ALPHA / (totals.get((n, i), 0) + ALPHA * most[n])) for i in range(len(langs))], np.float32) for n in (0, *ORDERS)}
-        self.place: dict[int, dict[str, int]] = {n: {} for n in (0, *ORDERS)}
+        self.base = {n: np.array([np.log(ALPHA / (totals.get((n, i), 0) + ALPHA * most[n])) for i in range(len(langs))]) for n in (0, *ORDERS)}
+        self.place: dict[int, dict[str, int]] = {n: {} for n in ORDERS}
+        words, where = [], []
         for k, (n, gram) in enumerate(counts):
-            self.place[n][gram] = k
+            if n:
+                self.place[n][gram] = k
+            else:
+                words.append(gram)
+                where.append(k)
         self.start = np.cumsum([0, *map(len, counts.values())])
         size = int(self.start[-1])
         self.lang = np.fromiter((i for by in counts.values() for i in by), np.int32, size)
         self.gain = np.log((np.fromiter((c for by in counts.values() for c in by.values()), np.float64, size) + ALPHA) / ALPHA).astype(np.float32)
-        self.order = np.fromiter((n for n, _ in counts), np.int32, len(counts))
-        self.full: np.ndarray | None = None
-        self.known: dict[str, np.ndarray] = {}
-
-    @property
-    def room(self) -> int:
-        """Width of a row in steps of 64 languages."""
-        return 1 + max(len(self.langs) - 1, 0) // 64
+        key = _hashes(pa.array(words, pa.string()))[1] if words else np.zeros(0, np.uint64)
+        order = np.argsort(key)
+        self.key, self.word = key[order], np.array(where, np.int64)[order]
+        self.known: dict[int, np.ndarray] = {}
 
     def row(self, n: int, gram: str) -> np.ndarray | None:
         k = self.place[n].get(gram)
         if k is None:
             return None
-        if self.full is None and len(self.order) * len(self.langs) <= DENSE:  # made where it is used, not sent
-            self.full = np.stack([self.base[m] for m in range(1 + max(ORDERS))])[self.order]
-            self.full[np.repeat(np.arange(len(self.order)), np.diff(self.start)), self.lang] += self.gain
-        if self.full is not None:
-            return self.full[k]
         v = self.base[n].copy()
         at = slice(self.start[k], self.start[k + 1])
         v[self.lang[at]] += self.gain[at]
         return v
 
-    def word(self, w: str) -> np.ndarray:
-        v = self.known.get(w)
+    def backoff(self, word: str) -> np.ndarray:
+        for n in ORDERS:
+            hits = [x for g in grams(word, n) if (x := self.row(n, g)) is not None]
+            if hits:
+                return np.mean(hits, axis=0)
+        return np.zeros(len(self.langs))
+
+    def unknown(self, key: int, word: bytes) -> np.ndarray:
+        v = self.known.get(key)
         if v is None:
-            v = self.row(0, w)
-            if v is not None and self.full is not None:
-                return v
-            for n in ORDERS if v is None else ():
-                hits = [x for g in grams(w, n) if (x := self.row(n, g)) is not None]
-                if hits:
-                    v = np.mean(hits, axis=0)
-                    break
-            if v is None:
-                v = np.zeros(len(self.langs), np.float32)
-            if len(self.known) >= _CACHE // self.room:
+            if len(self.known) * max(1, len(self.langs)) >= 8 * _CACHE:
                 self.known.clear()
-            self.known[w] = v
+            v = self.known[key] = self.backoff(word.decode())
         return v
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        ids: defaultdict[str, int] = defaultdict(counter().__next__)
-        found = [np.fromiter(map(ids.__getitem__, _LETTERS.findall(t.lower())), np.int32) for t in texts]
-        table = np.stack([self.word(w) for w in ids]) if ids else np.zeros((0, len(self.langs)), np.float32)
-        out: list[tuple[str, float]] = []
-        for k in found:
-            if not len(k) or not self.langs:
-                out.append(("und", 0.0))
-                continue
-            total = table[k].sum(0, dtype=np.float64) / np.sqrt(len(k))
-            p = np.exp(total - total.max())
-            best = int(p.argmax())
-            out.append((self.langs[best], float(p[best] / p.sum())))
-        return out
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Language and score of texts that ``words_of`` made."""
+        data, off = tk.buffers(texts)
+        names, scores = [], []
+        for lo, hi in tk.slices(off):
+            n, size = hi - lo, len(self.langs)
+            w = tk.Words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            total = np.zeros((n, max(1, size)))
+            if size and len(w.start):
+                h = w.hashes()
+                at = np.minimum(np.searchsorted(self.key, h), max(0, len(self.key) - 1))
+                hit = self.key[at] == h if len(self.key) else np.zeros(len(h), bool)
+                k = self.word[at[hit]]
+                count = self.start[k + 1] - self.start[k]
+                each = tk.expand(self.start[k], count)
+                total += np.bincount(np.repeat(w.row[hit], count) * size + self.lang[each], self.gain[each], n * size).reshape(n, size)
+                total += np.bincount(w.row[hit], minlength=n)[:, None] * self.base[0]
+                rest = np.flatnonzero(~hit)
+                kinds, first, which = np.unique(h[rest], return_index=True, return_inverse=True)
+                if len(rest):
+                    table = np.stack([self.unknown(x, w.data[w.start[i] : w.end[i]].tobytes()) for x, i in zip(kinds.tolist(), rest[first].tolist(), strict=True)])
+                    for j in range(size):
+                        total[:, j] += np.bincount(w.row[rest], table[which, j], n)
+                total /= np.sqrt(np.maximum(w.count, 1))[:, None]
+            p = np.exp(total - total.max(1, keepdims=True))
+            best = p.argmax(1)
+            some = (w.count > 0) & (size > 0)
+            names += [self.langs[b] if s else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)]
+            scores.append(np.where(some, p.max(1) / p.sum(1), 0.0))
+        return names, np.concatenate(scores) if scores else np.zeros(0)
+
+
+def _hashes(words: pa.Array) -> tuple[tk.Words, np.ndarray]:
+    w = tk.Words(*tk.buffers(words))
+    return w, w.hashes()
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, parts: int = 5) -> Model:
     """Learns from documents outside fold 0 whose language is known."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(parts=parts) != 0))
-    order = F.xxhash64("doc_id")
+    order = F.xxhash64("doc_id", "text")
     bound = known.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if bound is None:
         return Model([], {}, {}, {})
-    taken = known.where(order <= F.lit(bound)).select("lang", "text")
+    taken = known.where(order <= F.lit(bound)).select("lang", words_of().alias("text"))
     sums = taken.mapInArrow(_count, "lang string, n int, gram string, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
     langs = sorted(r["lang"] for r in taken.select("lang").distinct().collect())
     at = {x: i for i, x in enumerate(langs)}
@@ -162,16 +181,10 @@ def identify(docs: DataFrame, model: Model, parts: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            text, got = b.column("text"), []
-            lo, size = 0, 0
-            for i in range(b.num_rows):
-                size += len(text[i].as_py())
-                if size > 2_000_000 // m.room or i + 1 == b.num_rows:
-                    got += m.predict(text.slice(lo, i + 1 - lo).to_pylist())
-                    lo, size = i + 1, 0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(parts=parts) == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+            names, score = m.predict(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(parts=parts) == 0).alias("held_out"), words_of().alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 

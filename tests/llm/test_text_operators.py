@@ -187,16 +187,46 @@ def test_language_held_out(spark):
 
 def test_language_backoff():
     m = langid.Model(["a", "b"], {(0, "known"): {0: 9}, (3, "xyz"): {1: 5}, (1, "q"): {0: 3}}, {(0, 0): 9, (3, 1): 5, (1, 0): 3}, {(0, 0): 1, (3, 1): 1, (1, 0): 1})
-    got = m.predict(["known", "axyzb", "q", "", "123 --"])
-    assert [g[0] for g in got] == ["a", "b", "a", "und", "und"] and got[3][1] == 0.0
-
-
-def test_language_rows_dense_or_not(monkeypatch):
-    args = ["a", "b"], {(0, "known"): {0: 9, 1: 2}, (3, "xyz"): {1: 5}, (1, "q"): {0: 3}}, {(0, 0): 9, (0, 1): 2, (3, 1): 5, (1, 0): 3}, {(0, 0): 1, (0, 1): 1, (3, 1): 1, (1, 0): 1}
-    texts = ["known", "axyzb", "q known", "unseen"]
-    dense = langid.Model(*args).predict(texts)
-    monkeypatch.setattr(langid, "DENSE", 0)
-    assert langid.Model(*args).predict(texts) == dense
+    got, score = m.predict(pa.array(["known", "axyzb", "q", "", "known axyzb q known"]))
+    assert got == ["a", "b", "a", "und", "a"] and score[3] == 0.0
+
+
+def test_language_brute_force(spark, small):
+    """Against counts and scores taken word by word from the whole sample."""
+    letters = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    rows = small.collect()
+    train = [r for r in rows if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    langs = sorted({r["lang"] for r in train})
+    counts = {n: {x: Counter() for x in langs} for n in range(6)}
+    for r in train:
+        for w in letters(r["text"]):
+            for n in range(6):
+                counts[n][r["lang"]].update([w] if not n else langid.grams(w, n))
+    kinds = {n: 1 + max(len(c) for c in counts[n].values()) for n in counts}
+    part = lambda n, g: np.array([math.log((counts[n][x][g] + 0.05) / (sum(counts[n][x].values()) + 0.05 * kinds[n])) for x in langs]) if any(counts[n][x][g] for x in langs) else None
+    got = {r["doc_id"]: r for r in langid.language_id(small).collect()}
+    for r in rows[::4]:
+        words = letters(r["text"])[:3000]
+        if len(letters(r["text"])) > 3000:
+            continue
+        total = np.zeros(len(langs))
+        for w in words:
+            v = part(0, w)
+            for n in (5, 4, 3, 2, 1):
+                if v is None:
+                    hits = [x for g in langid.grams(w, n) if (x := part(n, g)) is not None]
+                    v = np.mean(hits, axis=0) if hits else None
+            total += 0 if v is None else v
+        total /= math.sqrt(max(1, len(words)))
+        p = np.exp(total - total.max())
+        want = ("und", 0.0) if not words else (langs[int(p.argmax())], float(p.max() / p.sum()))
+        assert got[r["doc_id"]]["lang_pred"] == want[0] and math.isclose(got[r["doc_id"]]["score"], want[1], rel_tol=1e-4), r["doc_id"]
+
+
+def test_signs_of_numbers_are_no_letters(spark, small):
+    docs = small.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(-1, "\u00bd \u00b2 \u2460 \u216b 12 _", None), (-2, "\u00e9", None)], "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r for r in langid.language_id(docs).where("doc_id < 0").collect()}
+    assert (got[-1]["lang_pred"], got[-1]["score"]) == ("und", 0.0) and got[-2]["lang_pred"] != "und"
 
 
 def test_language_of_many(spark):
@@ -207,7 +237,7 @@ def test_language_of_many(spark):
     rows.append((10_001, "big", " ".join("q" + name(k // 17) + name(k) for k in range(40_000))))
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     model = langid.fit(docs, parts=1_000_003)
-    assert len(model.langs) == 91 and len(model.place[0]) == 40_000 + 180
+    assert len(model.langs) == 91 and len(model.key) == 40_000 + 180
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
     assert got == {k: lang for k, lang, _ in rows}
 
@@ -239,9 +269,30 @@ def test_topk_ties_and_odd_vectors(spark):
         best = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in sound if i != q and len(w) == len(v)))[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     for shard in (10_000, 64):
-        got = [tuple(r) for r in topk.top_k(df, shard=shard, block=4).collect()]
+        got = [tuple(r) for r in topk.top_k(df, shard=shard).collect()]
         assert sorted(got) == sorted(want)
     assert topk.top_k(df.limit(0)).count() == 0
+    for name in ("id", "v", "shard", "query", "floor", "dim", "rank", "score", "query_id"):
+        df = df.withColumn(name, F.lit(1))
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("scale", [1000.0, 3e6, 1e12, 1e300])
+def test_topk_of_large_components(scale):
+    """Scores that float64 cannot hold are exact too, in 64 bits and beyond."""
+    rng = np.random.default_rng(12)
+    n, dim = 3000, 16
+    raw = rng.normal(0, scale, (n, dim))
+    raw[1::7] = raw[::7][: len(raw[1::7])]  # ties
+    x = topk._matrix(pa.array(list(raw), pa.list_(pa.float64())), dim)
+    whole = np.array([[int(v) for v in r] for r in x], object)
+    if scale < 1e300:
+        assert (whole == np.array([[math.floor(256 * v) for v in r] for r in raw.tolist()], object)).all()
+    tree, ask = topk.Tree(np.arange(n), x), np.arange(0, n, 300)
+    at, row, _ = tree.search(ask, x[ask], np.full(len(ask), -(1 << 62)), 5)
+    for i, q in enumerate(ask.tolist()):
+        score = whole @ whole[q]
+        assert row[at == i].tolist() == sorted((j for j in range(n) if j != q), key=lambda j: (-score[j], j))[:5]
 
 
 # -- 5: near-duplicates ------------------------------------------------------------------
