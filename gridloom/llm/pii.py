@@ -7,9 +7,12 @@ and ``ssn``.  Patterns are proposed leftmost and without overlap within a kind.
 written with possessive loops and start guards, which match what the plain patterns match
 but neither recurse nor back up, however long a run of digits or letters is.
 
-Places are code points, end exclusive.  Defined cases: a null text is empty; rows are
-judged one by one, so repeated rows give equal results; other columns pass through
-``redact`` and are not read by ``detect``.
+Places are code points, end exclusive.  No step of any expression copies what it has
+gathered so far, so that time grows with the text, however many matches it holds.
+
+Defined cases: a null text is empty; very long texts are read whole; rows are judged one
+by one, so repeated rows give equal results; an empty table gives an empty result; other
+columns, of any name, pass through ``redact`` and are not read by ``pii``.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from gridloom.llm.toxicity import fresh
 
 CONTEXT_CHARS = 40
 KEEP_SCORE = 0.6
+#: Matches, or spans, that one step of a sum goes over.
+SLICE = 256
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -49,33 +54,79 @@ KINDS = (
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]{2}-[0-9]", "true", 0.3, "ssn|social security", False),
 )
 BASE = tuple(k.name for k in KINDS[:4])
-_SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-def _spans(kind: Kind, text: str) -> Column:
-    """Spans of one kind: gaps between matches and matches, summed up to places."""
-    q = kind.pattern.replace("\\", "\\\\").replace("'", "\\'")
-    valid = kind.valid.replace("m rlike", "x.m rlike").replace("(m,", "(x.m,")
-    grown = f"""aggregate(
-        zip_with(split({text}, '{q}', -1), regexp_extract_all({text}, '{q}', 0), (gap, m) -> named_struct('m', m, 'gap', length(gap))),
-        named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int>>)),
-        (a, x) -> named_struct('at', a.at + x.gap + length(x.m), 'out', if(x.m is not null and {valid}, array_append(a.out, named_struct('start', a.at + x.gap, 'end', a.at + x.gap + length(x.m))), a.out)),
-        a -> a.out)"""
-    scored = f"""transform({grown}, s -> named_struct('kind', '{kind.name}', 'start', s.start, 'end', s.end, 'score',
-        least(1.0D, {kind.score}D + if(lower(substring({text}, greatest(1, s.start + 1 - {CONTEXT_CHARS}), s.start - greatest(0, s.start - {CONTEXT_CHARS}))) rlike '(?:{kind.context})', 0.3D, 0.0D))))"""
-    return F.expr(f"case when {text} rlike '{kind.needs.replace(chr(92), chr(92) * 2)}' then {scored} else cast(array() as {_SPAN}) end")
+def _quoted(pattern: str) -> str:
+    return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
+def _cut(text: str, kind: Kind) -> Column:
+    """Gaps between matches and the matches after them; the last gap has none."""
+    q = _quoted(kind.pattern)
+    return F.expr(f"case when {text} rlike '{_quoted(kind.needs)}' then zip_with(split({text}, '{q}', -1), regexp_extract_all({text}, '{q}', 0), (gap, m) -> named_struct('m', m, 'gap', gap)) else array() end")
+
+
+def _spans(kind: Kind, cut: str) -> Column:
+    """Spans of one kind: gaps and matches summed up to places, in slices of ``SLICE`` that
+    are shifted by what lies before them, so that no array grows match by match.  A slice
+    begins with the ``CONTEXT_CHARS`` characters before it."""
+    valid = kind.valid.replace("m rlike", "x.m rlike").replace("(m,", "(x.m,")
+    n, at = CONTEXT_CHARS, f"k * {SLICE} + 1"
+    before = f"if(k = 0, '', right(array_join(transform(slice({cut}, {at} - {n}, {n}), x -> concat(right(x.gap, {n}), right(x.m, {n}))), ''), {n}))"
+    slices = f"""transform(if(size({cut}) > 1, sequence(0, (size({cut}) - 1) div {SLICE}), cast(array() as array<int>)), k -> aggregate(slice({cut}, {at}, {SLICE}),
+        named_struct('at', 0, 'byte', 0, 'tail', {before}, 'out', cast(array() as array<struct<start:int,end:int,from:int,to:int,hint:boolean>>)),
+        (a, x) -> named_struct('at', a.at + length(x.gap) + coalesce(length(x.m), 0), 'byte', a.byte + octet_length(x.gap) + coalesce(octet_length(x.m), 0),
+            'tail', right(concat(a.tail, right(x.gap, {n}), coalesce(x.m, '')), {n}),
+            'out', if(x.m is not null and {valid}, array_append(a.out, named_struct('start', a.at + length(x.gap), 'end', a.at + length(x.gap) + length(x.m),
+                'from', a.byte + octet_length(x.gap), 'to', a.byte + octet_length(x.gap) + octet_length(x.m), 'hint', lower(right(concat(a.tail, right(x.gap, {n})), {n})) rlike '(?:{kind.context})')), a.out))))"""
+    return F.expr(slices)
+
+
+def _shifted(kind: Kind, slices: str) -> Column:
+    """One array of all slices' spans, their places moved by what the slices before hold."""
+    moved = f"""zip_with({slices}, aggregate({slices}, named_struct('at', 0, 'byte', 0, 'out', cast(array() as array<struct<at:int,byte:int>>)),
+            (a, s) -> named_struct('at', a.at + s.at, 'byte', a.byte + s.byte, 'out', array_append(a.out, named_struct('at', a.at, 'byte', a.byte))), a -> a.out),
+        (s, o) -> transform(s.out, x -> named_struct('kind', '{kind.name}', 'start', x.start + o.at, 'end', x.end + o.at, 'score', least(1.0D, {kind.score}D + if(x.hint, 0.3D, 0.0D)), 'from', x.from + o.byte, 'to', x.to + o.byte)))"""
+    return F.expr(f"flatten({moved})")
+
+
+def _replaced(docs: DataFrame, text: str, spans: str, out: str, by: str) -> DataFrame:
+    """docs with ``out``: the text with each span replaced by ``by``, SQL on the span x and
+    on ``more``, the characters that spans before it have not covered; what an earlier span
+    covers in part is only cut further.  Texts are cut by bytes, and places are summed up in
+    slices, so that time grows with the text alone."""
+    raw, line, top = (fresh(docs, f"pii_{n}") for n in ("raw", "line", "top"))
+    sliced = f"if(size({line}) > 0, sequence(0, (size({line}) - 1) div {SLICE}), cast(array() as array<int>))"
+    end = lambda a, b: f"named_struct('byte', greatest({a}.byte, {b}.byte), 'at', greatest({a}.at, {b}.at))"
+    zero = "named_struct('byte', 0, 'at', 0)"
+    docs = docs.withColumn(raw, F.col(text).cast("binary")).withColumn(line, F.expr(f"array_sort(transform({spans}, s -> struct(s.start as start, s.end as end, s.kind as kind, s.from as from, s.to as to)))"))
+    docs = docs.withColumn(top, F.expr(f"aggregate({sliced}, named_struct('now', {zero}, 'out', cast(array() as array<struct<byte:int,at:int>>)), (a, k) -> named_struct('now', {end('a.now', f"aggregate(slice({line}, k * {SLICE} + 1, {SLICE}), {zero}, (m, x) -> named_struct('byte', greatest(m.byte, x.to), 'at', greatest(m.at, x.end)))")}, 'out', array_append(a.out, a.now)))"))
+    pieces = f"""transform({sliced}, k -> aggregate(slice({line}, k * {SLICE} + 1, {SLICE}), named_struct('byte', {top}.out[k].byte, 'at', {top}.out[k].at, 'out', cast(array() as array<string>)),
+        (a, x) -> case when x.from >= a.byte then named_struct('byte', x.to, 'at', x.end, 'out', array_append(a.out, concat(cast(substring({raw}, a.byte + 1, x.from - a.byte) as string), {by.replace('more', '(x.end - x.start)')})))
+                       when x.to > a.byte then named_struct('byte', x.to, 'at', x.end, 'out', array_append(a.out, {by.replace('more', '(x.end - a.at)') if 'more' in by else "''"})) else a end,
+        a -> array_join(a.out, '')))"""
+    whole = f"concat(array_join({pieces}, ''), cast(substring({raw}, {top}.now.byte + 1) as string))"
+    return docs.withColumn(out, F.when(F.size(line) > 0, F.expr(whole)).otherwise(F.col(text))).drop(raw, line, top)
 
 
 def detect(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-    """docs with ``out``: array of (kind, start, end, score) by kind as listed, then start."""
-    whole, known = fresh(docs, "pii_text"), fresh(docs, "pii_base")
+    """docs with ``out``: array of (kind, start, end, score, and from, to in bytes) by kind
+    as listed, then start.  The kinds that the method adds are looked for in what the base
+    kinds leave."""
+    whole, rest = fresh(docs, "pii_text"), fresh(docs, "pii_rest")
     names = {k.name: fresh(docs, f"pii_{k.name}") for k in KINDS}
-    found = docs.withColumn(whole, F.coalesce(F.col(text), F.lit(""))).withColumns({names[k.name]: _spans(k, whole) for k in KINDS})
-    found = found.withColumn(known, F.concat(*(F.col(names[k]) for k in BASE)))
-    kept = [F.expr(f"filter({names[k.name]}, s -> s.score >= {KEEP_SCORE}D and not exists({known}, b -> b.start < s.end and s.start < b.end))") for k in KINDS if k.name not in BASE]
-    return found.withColumn(out, F.concat(F.col(known), *kept)).drop(whole, known, *names.values())
+
+    def found(df: DataFrame, kinds: list[Kind], source: str) -> DataFrame:
+        # each step is used more than once by the next, so that Spark keeps its value
+        df = df.withColumns({names[k.name]: _cut(source, k) for k in kinds})
+        df = df.withColumns({names[k.name]: _spans(k, names[k.name]) for k in kinds})
+        return df.withColumns({names[k.name]: _shifted(k, names[k.name]) for k in kinds})
+
+    df = found(docs.withColumn(whole, F.coalesce(F.col(text), F.lit(""))), [k for k in KINDS if k.name in BASE], whole)
+    df = df.withColumn(out, F.concat(*(F.col(names[k]) for k in BASE))).drop(*(names[k] for k in BASE))
+    df = found(_replaced(df, whole, out, rest, "repeat('\\u0001', more)"), [k for k in KINDS if k.name not in BASE], rest)
+    more = [F.expr(f"filter({names[k.name]}, s -> s.score >= {KEEP_SCORE}D)") for k in KINDS if k.name not in BASE]
+    return df.withColumn(out, F.concat(F.col(out), *more)).drop(whole, rest, *names.values())
 
 
 def as_text(spans: str, only_base: bool = False) -> Column:
@@ -95,15 +146,10 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; of spans that overlap
     the first gives the name.  n_chars, where there is one, follows the text; a text
     without spans, null too, stays as it is."""
-    spans = fresh(docs, "spans")
-    found = detect(docs, out=spans)
-    cut = F.expr(f"""aggregate(array_sort(transform({spans}, s -> struct(s.start as start, s.end as end, s.kind as kind))),
-        named_struct('at', 0, 'out', ''),
-        (a, s) -> case when s.start >= a.at then named_struct('at', s.end, 'out', concat(a.out, substring(text, a.at + 1, s.start - a.at), '<', upper(s.kind), '>'))
-                       when s.end > a.at then named_struct('at', s.end, 'out', a.out) else a end,
-        a -> concat(a.out, substring(text, a.at + 1)))""")
+    spans, cut = fresh(docs, "spans"), fresh(docs, "cut")
+    found = _replaced(detect(docs, out=spans), "text", spans, cut, "concat('<', upper(x.kind), '>')")
     some = F.size(spans) > 0
-    out = found.withColumn("text", F.when(some, cut).otherwise(F.col("text")))
+    out = found.withColumn("text", F.col(cut))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(some, F.length("text")).otherwise(F.col("n_chars")).cast(kind))

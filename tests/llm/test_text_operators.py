@@ -591,6 +591,33 @@ def test_redaction(spark, wide, none):
     assert pii.redact(wide).columns == wide.columns and pii.redact(wide).count() == wide.count() and pii.redact(none).count() == 0
 
 
+def test_many_spans_in_one_text(spark):
+    """Places behind many slices of matches, kinds that overlap, and time that grows in
+    proportion."""
+    import time
+
+    unit = "mail a.b@c.de or +49 30 1234567 é 4111 1111 1111 1111, call 377-555-0271 10.0.0.1@x.org "
+    took = []
+    for n in (1000, 8000):
+        df = spark.createDataFrame([(1, unit * n)], "doc_id long, text string")
+        t = time.time()
+        r = pii.pii(df).first()
+        took.append(time.time() - t)
+        want = base_spans(unit * n)
+        assert r["spans"].startswith(",".join(f"{k}:{a}:{b}" for k, a, b in want)) and r["spans"].count("phone_local") == n
+        text, at = [], 0
+        for k, a, b in sorted([*((k, a, b) for k, a, b in want), *(("phone_local", m.start(), m.end()) for m in re.finditer("377-555-0271", unit * n))], key=lambda x: x[1:]):
+            if a >= at:
+                text.append((unit * n)[at:a] + f"<{k.upper()}>")
+            at = max(at, b)
+        assert pii.redact(df).first()["text"] == "".join(text) + (unit * n)[at:]
+    assert took[1] < 20 * took[0] + 10
+
+
+def test_pii_clashing_columns_and_empty(wide, none, odd):
+    assert pii.pii(wide).count() == odd.count() and pii.pii(none).count() == 0
+
+
 def test_pii_stays_in_the_jvm(small):
     assert not re.search("Python|Arrow|Pandas", pii.pii(small)._jdf.queryExecution().executedPlan().toString())
 
