@@ -353,6 +353,51 @@ def test_near_duplicates_brute_force(spark):
         assert groups(near_dedup.classes(df, small=small)) == {i: find(i) for i in range(len(rows))}
 
 
+def test_near_duplicates_of_a_table_against_all_pairs(spark):
+    """Classes equal those of all pairs with a similarity of 0.8 or more."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = {}
+    for r in docs.collect():
+        w = (r["text"] or "").encode().split()
+        if w:
+            held[r["doc_id"]] = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    ids, total = sorted(held), {d: sum(c.values()) for d, c in held.items()}
+    places: dict = {}
+    for d in ids:
+        for g in held[d]:
+            places.setdefault(g, []).append(d)
+    root = {d: d for d in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = 0
+    for d in ids:
+        common: Counter = Counter()
+        for g, n in held[d].items():
+            for e in places[g]:
+                if e < d:
+                    common[e] += n
+        for e, n in common.items():
+            if n >= 0.8 * total[d] and j_p(held[d], held[e]) >= 0.8 - 1e-12:
+                links += 1
+                x, y = find(d), find(e)
+                root[max(x, y)] = min(x, y)
+    assert links > 50
+    got = groups(near_dedup.classes(docs))
+    assert {d: got[d] for d in ids} == {d: find(d) for d in ids}
+
+
+def test_unlike_texts_under_one_id(spark):
+    """One document for classes(), two texts for clean()."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (3, b), (4, None), (4, None)], "doc_id long, text string")
+    assert {(r["doc_id"], r["class_id"]) for r in near_dedup.classes(df).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    assert sorted((r["doc_id"], r["text"]) for r in near_dedup.clean(df).where("text is not null").collect()) == [(1, a), (1, b)] and near_dedup.clean(df).where("text is null").count() == 2
+
+
 @pytest.mark.parametrize("block", [near_dedup.BLOCK, 20_000])
 def test_large_buckets_of_many_classes(spark, block):
     passage = [f"p{k}" for k in range(60)]
