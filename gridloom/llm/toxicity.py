@@ -1,16 +1,23 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the lower-cased words of a text and their first 3 to 7 bytes, hashed into
-``BUCKETS``.  The buckets most associated with the label (by the z value of the difference
-of document shares) become the inputs; the machine learns a weight for each and, through
-``FACTORS`` numbers for each, one for every pair, so that two harmless terms may count
-together.  Training reads at most ``SAMPLE`` labelled rows, taken in order of a hash, and
-the model holds at most ``INPUTS`` buckets, which bounds what is sent to the executors.
-Scoring is one pass over whole texts without any exchange.
+2 ** ``BUCKET_BITS`` buckets.  The machine learns a weight for each input bucket and,
+through ``FACTORS`` numbers for each, one for every pair of them.  Inputs are all buckets
+whose share of documents differs by label (|z| of ``MIN_Z`` or more), and all buckets of
+pairs that differ by label far more than either bucket does (``pair_terms``): two terms
+that are harmless alone may count together.  How many there are is left to the data.
+
+Training reads labelled rows in order of a hash, at most ``SAMPLE`` of them and at most
+``SAMPLE_BYTES`` of text in all; pairs are looked for among at most ``PAIR_ROWS`` rows of
+either label, and in terms that ``PAIR_SHARE`` of them hold.  The sample bounds the model
+that is sent to the executors.  Scoring is one pass over whole texts without any exchange.
 
 Defined cases: null and empty texts get the score of a text without terms; rows without a
 label, or with a null doc_id, teach nothing; with no labelled row, or one class alone, the
-score is the smoothed share of label 1; columns besides doc_id and text are not read.
+score is the smoothed share of label 1; several labels of one doc_id count as their
+largest; rows of one doc_id with unlike texts each teach; very long texts are scored
+whole; an empty table gives an empty result; columns besides doc_id and text, of any name,
+are not read (``clean`` carries them along).
 """
 
 from __future__ import annotations
@@ -27,11 +34,14 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from gridloom.llm import textkern as tk
 
 SAMPLE = 10_000
+SAMPLE_BYTES = 64 << 20
 BUCKET_BITS = 20
-INPUTS = 1024
 FACTORS = 8
 PREFIXES = (3, 4, 5, 6, 7)
 MIN_Z = 4.0
+PAIR_ROWS, PAIR_SHARE = 1000, 0.03
+#: |z| that a pair needs, and how far it must be above that of its terms.
+PAIR_Z, PAIR_MORE = 6.0, 2.0
 
 #: Word bytes are letters, digits and all of multi-byte characters.
 IS_TERM = np.zeros(256, bool)
@@ -77,95 +87,118 @@ class Machine:
     weight: np.ndarray
     factor: np.ndarray
 
-    def score(self, rows: int, row: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """at: places in inputs, distinct in each row."""
+    def score(self, rows: int, row: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Rows in order, buckets distinct in each row."""
         z = np.full(rows, self.bias)
-        if len(row):
+        if len(self.inputs):
+            at = np.minimum(np.searchsorted(self.inputs, bucket), len(self.inputs) - 1)
+            hit = self.inputs[at] == bucket
+            row, at = row[hit], at[hit]
             z += np.bincount(row, self.weight[at], rows)
             for v in self.factor.T:
                 z += 0.5 * (np.bincount(row, v[at], rows) ** 2 - np.bincount(row, v[at] ** 2, rows))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(x: np.ndarray, y: np.ndarray, inputs: np.ndarray, rounds: int = 150, rate: float = 0.08, decay: float = 1e-4, seed: int = 7) -> Machine:
-    """Adam on the log loss; x holds 0 and 1."""
-    n, k = x.shape
+def train(row: np.ndarray, at: np.ndarray, y: np.ndarray, inputs: np.ndarray, rounds: int = 150, rate: float = 0.08, decay: float = 1e-4, seed: int = 7) -> Machine:
+    """Adam on the log loss; entries (row, place in inputs) in order of rows."""
+    n, k = len(y), len(inputs)
     rng = np.random.Generator(np.random.PCG64(seed))
     share = (y.sum() + 0.5) / (n + 1)
-    p = [np.array([np.log(share / (1 - share))], np.float32), np.zeros(k, np.float32), rng.normal(0, 0.05, (k, FACTORS)).astype(np.float32)]
+    p = [np.array([np.log(share / (1 - share))]), np.zeros(k), rng.normal(0, 0.05, (k, FACTORS))]
     m, s = [np.zeros_like(v) for v in p], [np.zeros_like(v) for v in p]
+    sums = lambda of, weight, size: np.stack([np.bincount(of, w, size) for w in weight.T], 1)
     for t in range(1, rounds + 1):
-        q = x @ p[2]
-        z = p[0] + x @ p[1] + 0.5 * ((q * q).sum(1) - x @ (p[2] ** 2).sum(1))
-        e = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n).astype(np.float32)
-        g = [np.array([e.sum()], np.float32), x.T @ e + decay * p[1], x.T @ (e[:, None] * q) - (x.T @ e)[:, None] * p[2] + decay * p[2]]
+        q = sums(row, p[2][at], n)
+        z = p[0] + np.bincount(row, p[1][at] - 0.5 * (p[2] ** 2).sum(1)[at], n) + 0.5 * (q * q).sum(1)
+        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        each = np.bincount(at, e[row], k)
+        g = [np.array([e.sum()]), each + decay * p[1], sums(at, (e[:, None] * q)[row], k) - each[:, None] * p[2] + decay * p[2]]
         for i in range(3):
             m[i] = 0.9 * m[i] + 0.1 * g[i]
             s[i] = 0.999 * s[i] + 0.001 * g[i] ** 2
             p[i] = p[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(s[i] / (1 - 0.999**t)) + 1e-8)
-    return Machine(float(p[0][0]), inputs, p[1].astype(np.float64), p[2].astype(np.float64))
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either label that hold a bucket, by task."""
-    count = np.zeros((2, 1 << BUCKET_BITS), np.int32)
+    return Machine(float(p[0][0]), inputs, p[1], p[2])
+
+
+def single_z(row: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """z of the difference of document shares, of every bucket."""
+    n1, n0 = y.sum(), len(y) - y.sum()
+    c1, c = (np.bincount(bucket, w, 1 << BUCKET_BITS) for w in (y[row], None))
+    both = c / len(y)
+    return (c1 / n1 - (c - c1) / n0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
+
+
+def pair_terms(start: np.ndarray, bucket: np.ndarray, y: np.ndarray, rows: int = PAIR_ROWS, step: int = 1024) -> np.ndarray:
+    """Buckets of pairs whose share differs by label far more than that of either bucket."""
+    some = [np.flatnonzero(y == label)[:rows] for label in (0, 1)]
+    size = np.diff(start)
+    cells = [(np.repeat(np.arange(len(d)), size[d]), bucket[tk.expand(start[d], size[d])]) for d in some]
+    count = np.stack([np.bincount(b, minlength=1 << BUCKET_BITS) for _, b in cells])
+    n = np.array([len(d) for d in some], float)
+    terms = np.flatnonzero((count >= np.maximum(PAIR_SHARE * n, 5)[:, None]).any(0))
+
+    def z(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        share = (a + b) / n.sum()
+        return (b / n[1] - a / n[0]) / np.sqrt(share * (1 - share) * (1 / n).sum() + 1e-9)
+
+    alone = z(*count[:, terms].astype(np.float32))
+    place = np.full(1 << BUCKET_BITS, -1)
+    place[terms] = np.arange(len(terms))
+    dense = []
+    for (r, b), d in zip(cells, some, strict=True):
+        x, k = np.zeros((len(terms), len(d)), np.float32), place[b] >= 0
+        x[place[b[k]], r[k]] = 1
+        dense.append(x)
+    found: set[int] = set()
+    for lo in range(0, len(terms), step):
+        both = z(*(x[lo:] @ x[lo : lo + step].T for x in dense))
+        beats = np.abs(both) >= np.maximum(PAIR_Z, np.maximum(np.abs(alone[lo:])[:, None], np.abs(alone[lo : lo + step])[None]) + PAIR_MORE)
+        i, j = np.nonzero(beats)
+        found.update((lo + np.unique(np.concatenate((i, j)))).tolist())
+    return terms[sorted(found)]
+
+
+def _buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        y = b.column("y").to_numpy()
         data, off = tk.buffers(b.column("text"))
+        parts = []
         for lo, hi in tk.slices(off):
             row, bucket = _distinct(*_terms(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))
-            for label in (0, 1):
-                count[label] += np.bincount(bucket[y[lo:hi][row] == label], minlength=count.shape[1]).astype(np.int32)
-    k = np.flatnonzero(count.sum(0))
-    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(count[0, k].astype(np.int64)), pa.array(count[1, k].astype(np.int64))], names=["bucket", "n0", "n1"])
-
-
-def _places(inputs: np.ndarray):
-    """Place in inputs of a bucket, -1 for others."""
-    at = np.full(1 << BUCKET_BITS, -1, np.int32)
-    at[inputs] = np.arange(len(inputs))
-    return at
-
+            bounds = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
+            parts.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(bucket.astype(np.int32))))
+        yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))], names=["h", "y", "buckets"])
 
-def _rows_of(inputs: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = _places(inputs)
-        for b in batches:
-            data, off = tk.buffers(b.column("text"))
-            hits: list[list[int]] = [[] for _ in range(b.num_rows)]
-            for lo, hi in tk.slices(off):
-                row, bucket = _terms(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                k = at[bucket] >= 0
-                for r, x in zip(*_distinct(row[k], bucket[k]), strict=True):
-                    hits[lo + r].append(int(at[x]))
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(hits, pa.list_(pa.int32()))], names=["y", "hits"])
 
-    return run
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, inputs: int = INPUTS, parts: int = 5) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, parts: int = 5) -> Machine:
     """Learns from labelled rows of documents outside fold 0."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(parts=parts) != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("y"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).join(F.broadcast(taken), "doc_id").select("y", "text")  # at most `sample` narrow rows
-    count = rows.mapInArrow(_by_bucket, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("n1")).first()
-    n1, n0 = int(total["n1"]), int(total["n"] - total["n1"])
-    none = Machine(float(np.log((n1 + 0.5) / (n0 + 0.5))) if n0 + n1 else 0.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
-    if not n0 or not n1:
-        return none
-    a, b, both = F.col("n1") / n1, F.col("n0") / n0, (F.col("n0") + F.col("n1")) / (n0 + n1)
-    z = F.abs(a - b) / F.sqrt(both * (1 - both) * (1 / n0 + 1 / n1) + 1e-12)
-    best = count.withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "bucket").limit(inputs)
-    chosen = np.array(sorted(r["bucket"] for r in best.select("bucket").collect()), np.int64)
-    if not len(chosen):
-        return none
-    got = rows.mapInArrow(_rows_of(chosen), "y long, hits array<int>").toPandas()
-    x = np.zeros((len(got), len(chosen)), np.float32)
-    for i, hits in enumerate(got["hits"]):
-        x[i, hits] = 1
-    order = np.lexsort((x @ np.arange(len(chosen), dtype=np.float32), got["y"].to_numpy()))  # arrival order must not matter
-    return train(x[order], got["y"].to_numpy(np.float32)[order], chosen)
+    text = F.lower(F.coalesce("text", F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(taken), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "y", "text")  # at most `sample` narrow rows
+    sizes = rows.select("h", "y", F.octet_length("text").alias("n")).orderBy("h").limit(sample).collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r["n"]
+        if last is not None and total > sample_bytes:
+            break
+        last = r["h"]
+    if last is None or len({r["y"] for r in sizes if r["h"] <= last}) < 2:
+        n1, n = sum(r["y"] for r in sizes), len(sizes)
+        return Machine(float(np.log((n1 + 0.5) / (n - n1 + 0.5))) if n else 0.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
+    got = rows.where(F.col("h") <= last).mapInArrow(_buckets_of, "h long, y long, buckets array<int>").toArrow().combine_chunks().sort_by("h")  # arrival order must not matter
+    lists = got["buckets"].combine_chunks()
+    size, y = np.diff(lists.offsets.to_numpy()), got["y"].to_numpy().astype(np.float64)
+    return learn(np.concatenate(([0], np.cumsum(size))).astype(np.int64), lists.flatten().to_numpy().astype(np.int64), y)
+
+
+def learn(start: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> Machine:
+    """Chooses inputs and trains; row i holds the distinct buckets start[i] to start[i + 1]."""
+    row = np.repeat(np.arange(len(y)), np.diff(start))
+    inputs = np.union1d(np.flatnonzero(np.abs(single_z(row, bucket, y)) >= MIN_Z), pair_terms(start, bucket, y))
+    at = np.searchsorted(inputs, bucket)
+    hit = np.flatnonzero(inputs[np.minimum(at, len(inputs) - 1)] == bucket) if len(inputs) else np.zeros(0, np.int64)
+    return train(row[hit], at[hit], y, inputs)
 
 
 def score(docs: DataFrame, machine: Machine, out: str = "score") -> DataFrame:
@@ -173,16 +206,14 @@ def score(docs: DataFrame, machine: Machine, out: str = "score") -> DataFrame:
     folded = fresh(docs, "folded")
     rows = docs.withColumn(folded, F.lower(F.coalesce("text", F.lit(""))))
 
+    sent = docs.sparkSession.sparkContext.broadcast(machine)  # bounded by the sample
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = _places(machine.inputs)
         for b in batches:
             data, off = tk.buffers(b.column(folded))
             z = np.zeros(b.num_rows)
             for lo, hi in tk.slices(off):
-                row, bucket = _terms(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                k = at[bucket] >= 0
-                row, bucket = _distinct(row[k], bucket[k])
-                z[lo:hi] = machine.score(hi - lo, row, at[bucket])
+                z[lo:hi] = sent.value.score(hi - lo, *_distinct(*_terms(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])))
             keep = [c for c in b.schema.names if c != folded]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(z)], names=[*keep, out])
 

@@ -164,11 +164,47 @@ def test_toxicity_held_out(spark):
 def test_machine_learns_a_pair():
     """Two terms that are harmless alone and count together: no additive model fits this."""
     rng = np.random.default_rng(3)
-    x = (rng.random((800, 6)) < 0.5).astype(np.float32)
-    y = (x[:, 0] * x[:, 1]).astype(np.float32)
-    m = toxicity.train(x, y, np.arange(6), rounds=400)
-    at = np.nonzero(x)
-    assert ((m.score(len(x), at[0], at[1]) >= 0.5) == y).mean() > 0.99
+    x = rng.random((800, 6)) < 0.5
+    y = (x[:, 0] * x[:, 1]).astype(float)
+    row, at = np.nonzero(x)
+    m = toxicity.train(row, at, y, np.arange(6), rounds=400)
+    assert ((m.score(len(x), row, at) >= 0.5) == y).mean() > 0.99
+
+
+def test_terms_that_count_only_together(spark):
+    """Through fit(): toxic if just one of two words occurs, or one of some marked words.
+    Neither word differs by label alone."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(3000):
+        words = [f"w{rng.randrange(400)}" for _ in range(30)]
+        a, b, marked = rng.random() < 0.5, rng.random() < 0.5, rng.random() < 0.05
+        words += ["mention"] * a + ["insult"] * b + [f"marked{rng.randrange(3)}"] * marked
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(a != b or marked)))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    data, off = textkern.buffers(pa.array([r[1] for r in rows]))
+    row, bucket = toxicity._distinct(*toxicity._terms(data, off))
+    z = toxicity.single_z(row, bucket, np.array([r[2] for r in rows], float))
+    words = toxicity._terms(*textkern.buffers(pa.array(["mention insult"])))[1][:2]
+    assert (np.abs(z[words]) < 4).all()
+    machine = toxicity.fit(docs, labels)
+    assert set(words.tolist()) <= set(machine.inputs.tolist())
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    held = [(got[i]["predicted"], y) for i, _, y in rows if got[i]["held_out"]]
+    assert np.mean([p == y for p, y in held]) > 0.95
+
+
+def test_toxicity_scores_by_definition(spark, small):
+    """Scores of whole texts against the sum over all single terms and pairs."""
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    m = toxicity.fit(small, labels)
+    at = {b: i for i, b in enumerate(m.inputs.tolist())}
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(small, labels).collect()}
+    for r in small.collect():
+        terms = sorted({at[b] for b in toxicity._terms(*textkern.buffers(pa.array([(r["text"] or "").lower()])))[1].tolist() if b in at})
+        z = m.bias + sum(m.weight[i] for i in terms) + sum(m.factor[i] @ m.factor[j] for k, i in enumerate(terms) for j in terms[:k])
+        assert math.isclose(got[r["doc_id"]], 1 / (1 + math.exp(-min(max(z, -30), 30))), rel_tol=1e-6, abs_tol=1e-9)
 
 
 def test_toxicity_odd(spark, odd, none, wide):
@@ -373,6 +409,12 @@ def test_near_duplicates_of_a_table_against_all_pairs(spark):
             x = root[x]
         return x
 
+    number = {g: i for i, g in enumerate(places)}
+
+    def packed(d):
+        got = sorted((number[g], n) for g, n in held[d].items())
+        return np.array([g for g, _ in got]), np.array([n for _, n in got])
+
     links = 0
     for d in ids:
         common: Counter = Counter()
@@ -381,7 +423,7 @@ def test_near_duplicates_of_a_table_against_all_pairs(spark):
                 if e < d:
                     common[e] += n
         for e, n in common.items():
-            if n >= 0.8 * total[d] and j_p(held[d], held[e]) >= 0.8 - 1e-12:
+            if n >= 0.8 * total[d] and near_dedup.probability_jaccard(packed(d), packed(e)) >= 0.8 - 1e-12:  # tested above
                 links += 1
                 x, y = find(d), find(e)
                 root[max(x, y)] = min(x, y)
