@@ -8,8 +8,8 @@ evidence damped to one n-th root so that it stays informative.
 
 Training counts words and n-grams over at most ``SAMPLE`` documents in order of a hash and
 keeps all of them, in every language: the sample alone bounds the model.  Known words are
-looked up by their hashes, a slice of texts at a time; only the distinct unknown words of
-a slice are taken apart one by one.
+looked up by their hashes, and so are the n-grams of unknown words, a slice of texts at a
+time.
 
 Defined cases: ``und`` with score 0 for a null text or one without a letter, and for all
 if nothing was learned; null languages teach nothing; ties go to the smaller language
@@ -34,7 +34,6 @@ from gridloom.llm.toxicity import fold
 SAMPLE = 10_000
 ORDERS = (5, 4, 3, 2, 1)
 ALPHA = 0.05
-_CACHE = 200_000
 
 
 def words_of(text: str = "text"):
@@ -74,46 +73,62 @@ class Model:
         # one number of kinds for all languages, so that a small vocabulary is no advantage
         most = {n: 1 + max((k for (m, _), k in kinds.items() if m == n), default=0) for n in (0, *ORDERS)}
         self.base = {n: np.array([np.log(ALPHA / (totals.get((n, i), 0) + ALPHA * most[n])) for i in range(len(langs))]) for n in (0, *ORDERS)}
-        self.place: dict[int, dict[str, int]] = {n: {} for n in ORDERS}
-        words, where = [], []
+        names: dict[int, list[str]] = {n: [] for n in (0, *ORDERS)}
+        where: dict[int, list[int]] = {n: [] for n in (0, *ORDERS)}
         for k, (n, gram) in enumerate(counts):
-            if n:
-                self.place[n][gram] = k
-            else:
-                words.append(gram)
-                where.append(k)
+            names[n].append(gram)
+            where[n].append(k)
         self.start = np.cumsum([0, *map(len, counts.values())])
         size = int(self.start[-1])
         self.lang = np.fromiter((i for by in counts.values() for i in by), np.int32, size)
         self.gain = np.log((np.fromiter((c for by in counts.values() for c in by.values()), np.float64, size) + ALPHA) / ALPHA).astype(np.float32)
-        key = _hashes(pa.array(words, pa.string()))[1] if words else np.zeros(0, np.uint64)
-        order = np.argsort(key)
-        self.key, self.word = key[order], np.array(where, np.int64)[order]
-        self.known: dict[int, np.ndarray] = {}
-
-    def row(self, n: int, gram: str) -> np.ndarray | None:
-        k = self.place[n].get(gram)
-        if k is None:
-            return None
-        v = self.base[n].copy()
-        at = slice(self.start[k], self.start[k + 1])
-        v[self.lang[at]] += self.gain[at]
-        return v
-
-    def backoff(self, word: str) -> np.ndarray:
+        self.key, self.entry = {}, {}
+        for n in names:
+            data, off = tk.buffers(pa.array(names[n], pa.string()))
+            key = tk.hash_ranges(data, off[:-1], off[1:])
+            order = np.argsort(key)
+            self.key[n], self.entry[n] = key[order], np.array(where[n], np.int64)[order]
+
+    def found(self, n: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are known words or n-grams, and the entries of those."""
+        key = self.key[n]
+        if not len(key):
+            return np.zeros(len(h), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(key, h), len(key) - 1)
+        hit = key[at] == h
+        return hit, self.entry[n][at[hit]]
+
+    def sums(self, n: int, row: np.ndarray, entry: np.ndarray, rows: int) -> np.ndarray:
+        """Log frequencies added up by row."""
+        size = len(self.langs)
+        count = self.start[entry + 1] - self.start[entry]
+        each = tk.expand(self.start[entry], count)
+        gains = np.bincount(np.repeat(row, count) * size + self.lang[each], self.gain[each], rows * size).reshape(rows, size)
+        return gains + np.bincount(row, minlength=rows)[:, None] * self.base[n]
+
+    def backoff(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of unknown words: the mean over their known n-grams of the longest order that has
+        any."""
+        words, size = len(start), end - start
+        at = np.concatenate(([0], np.cumsum(size + 2)))
+        padded = np.full(at[-1], ord(" "), np.uint8)
+        padded[tk.expand(at[:-1] + 1, size)] = data[tk.expand(start, size)]
+        letter = np.append(np.flatnonzero((padded & 0xC0) != 0x80), at[-1])  # where each begins
+        first = np.searchsorted(letter, at)
+        out, left = np.zeros((words, len(self.langs))), np.arange(words)
         for n in ORDERS:
-            hits = [x for g in grams(word, n) if (x := self.row(n, g)) is not None]
-            if hits:
-                return np.mean(hits, axis=0)
-        return np.zeros(len(self.langs))
-
-    def unknown(self, key: int, word: bytes) -> np.ndarray:
-        v = self.known.get(key)
-        if v is None:
-            if len(self.known) * max(1, len(self.langs)) >= 8 * _CACHE:
-                self.known.clear()
-            v = self.known[key] = self.backoff(word.decode())
-        return v
+            pad = 0 if n > 1 else 1  # single letters without the spaces around
+            count = np.maximum(first[left + 1] - first[left] - 2 * pad - n + 1, 0)
+            k = tk.expand(first[left] + pad, count)
+            row = np.repeat(np.arange(len(left)), count)
+            hit, entry = self.found(n, tk.hash_ranges(padded, letter[k], letter[k + n]))
+            hits = np.bincount(row[hit], minlength=len(left))
+            some = hits > 0
+            out[left[some]] = (self.sums(n, row[hit], entry, len(left)) / np.maximum(hits, 1)[:, None])[some]
+            left = left[~some]
+            if not len(left):
+                break
+        return out
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score of texts that ``words_of`` made."""
@@ -125,17 +140,12 @@ class Model:
             total = np.zeros((n, max(1, size)))
             if size and len(w.start):
                 h = w.hashes()
-                at = np.minimum(np.searchsorted(self.key, h), max(0, len(self.key) - 1))
-                hit = self.key[at] == h if len(self.key) else np.zeros(len(h), bool)
-                k = self.word[at[hit]]
-                count = self.start[k + 1] - self.start[k]
-                each = tk.expand(self.start[k], count)
-                total += np.bincount(np.repeat(w.row[hit], count) * size + self.lang[each], self.gain[each], n * size).reshape(n, size)
-                total += np.bincount(w.row[hit], minlength=n)[:, None] * self.base[0]
+                hit, entry = self.found(0, h)
+                total += self.sums(0, w.row[hit], entry, n)
                 rest = np.flatnonzero(~hit)
-                kinds, first, which = np.unique(h[rest], return_index=True, return_inverse=True)
+                _, first, which = np.unique(h[rest], return_index=True, return_inverse=True)
                 if len(rest):
-                    table = np.stack([self.unknown(x, w.data[w.start[i] : w.end[i]].tobytes()) for x, i in zip(kinds.tolist(), rest[first].tolist(), strict=True)])
+                    table = self.backoff(w.data, w.start[rest[first]], w.end[rest[first]])
                     for j in range(size):
                         total[:, j] += np.bincount(w.row[rest], table[which, j], n)
                 total /= np.sqrt(np.maximum(w.count, 1))[:, None]
@@ -147,11 +157,6 @@ class Model:
         return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
-def _hashes(words: pa.Array) -> tuple[tk.Words, np.ndarray]:
-    w = tk.Words(*tk.buffers(words))
-    return w, w.hashes()
-
-
 def fit(docs: DataFrame, sample: int = SAMPLE, parts: int = 5) -> Model:
     """Learns from documents outside fold 0 whose language is known."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(parts=parts) != 0))

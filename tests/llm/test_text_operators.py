@@ -273,7 +273,7 @@ def test_language_of_many(spark):
     rows.append((10_001, "big", " ".join("q" + name(k // 17) + name(k) for k in range(40_000))))
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     model = langid.fit(docs, parts=1_000_003)
-    assert len(model.langs) == 91 and len(model.key) == 40_000 + 180
+    assert len(model.langs) == 91 and len(model.key[0]) == 40_000 + 180
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
     assert got == {k: lang for k, lang, _ in rows}
 
@@ -549,18 +549,57 @@ def test_packing_round_trip(spark, small):
     assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 256) * 1.02
 
 
-def test_local_search_empties_a_sequence():
-    """Best fit needs four sequences here, exchanges bring it to three."""
+def fewest(sizes: list[int], capacity: int) -> int:
+    """The least number of sequences, over all ways to fill them."""
+    best, rest = len(sizes), sorted(sizes, reverse=True)
+
+    def fill(k: int, bins: list[int]) -> None:
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(rest):
+            best = len(bins)
+            return
+        for room in {b: i for i, b in enumerate(bins) if b >= rest[k]}.items():
+            bins[room[1]] -= rest[k]
+            fill(k + 1, bins)
+            bins[room[1]] += rest[k]
+        bins.append(capacity - rest[k])
+        fill(k + 1, bins)
+        bins.pop()
+
+    fill(0, [])
+    return best
+
+
+def test_local_search_against_all_packings():
+    """Small inputs: hardly ever more sequences than the least number, fewer than best fit."""
     rng = np.random.default_rng(9)
-    better = 0
-    for _ in range(200):
-        sizes = rng.integers(10, 60, 24)
-        plain = packing._Bins(sizes, 100)
-        number, _ = packing.pack(sizes, 100, rounds=6)
+    plain = ours = least = 0
+    for _ in range(150):
+        sizes = rng.integers(10, 60, 11)
+        number, offset = packing.pack(sizes, 100)
         fill = np.bincount(number, sizes)
-        assert fill.max() <= 100 and number.max() + 1 <= len(plain.items)
-        better += number.max() + 1 < len(plain.items)
-    assert better > 0
+        assert fill.max() <= 100 and (fill > 0).all()
+        plain += len(packing._Bins(sizes, 100).items)
+        ours += len(fill)
+        least += fewest(sizes.tolist(), 100)
+    assert least <= ours <= plain and ours - least <= 0.01 * least
+
+
+@pytest.mark.parametrize("low, high", [(200, 1500), (200, 900)])
+def test_local_search_of_many_sizes(low, high):
+    sizes = np.random.default_rng(low).integers(low, high + 1, 5000)
+    number, _ = packing.pack(sizes)
+    fill = np.bincount(number, sizes)
+    plain, bound = len(packing._Bins(sizes, packing.CAPACITY).items), -(-sizes.sum() // packing.CAPACITY)
+    assert fill.max() <= packing.CAPACITY and len(fill) - bound <= 0.75 * (plain - bound)
+
+
+def test_full_pieces_have_sequences_of_their_own(spark):
+    got = packing.best_fit_pack(spark.createDataFrame([(i, "a b c d e f g h " * 60) for i in range(20)], "doc_id long, text string"), capacity=16, block_pieces=7).toPandas()
+    assert got["length"].sum() == got.groupby("sequence_id")["length"].sum().sum() and got.groupby("sequence_id")["length"].sum().max() <= 16
+    assert got[got["length"] == 16]["sequence_id"].is_unique and (got[got["length"] == 16]["offset"] == 0).all()
 
 
 def test_packing_odd(odd, none, wide):
