@@ -1,21 +1,27 @@
-"""Substring dedup by relative Lempel-Ziv factors.
+"""Substring dedup by relative Lempel-Ziv parsing.
 
 Every document is factored against the text that starts earlier (smaller id, or the same
-document further left).  The reference index is cut into blocks by *anchors*: the least
-hash among the ``SEED``-word grams of a window of ``window`` words.  Both places of a
-repeated window pick the same anchor, so one exchange by anchor brings each window to all
-places where it could be referred to, and no pair of places is ever listed.  Inside a
-block, places come in order of (document, start); a window that the block has seen is
-matched with its first place, and neighbouring windows with one shift become one factor.
-Factors are judged window by window, so a run that crosses a factor boundary is found as
-well.  All factors hold at least ``window`` words and are duplicate spans.
-
-Map tasks match windows within their own slice first (a later place of a repeated window
-never travels), hence a line that all documents share sends one row a slice to its block.
+document further left).  The reference text is dealt into indexed blocks by *anchors*: the
+least hash among the ``SEED``-word grams of a window of ``window`` words.  Both places of a
+repeated window pick the same anchor, so a document meets every block that can hold a
+factor of ``window`` words of it, as the segment of its words that picks this anchor.  An
+anchor that occurs once has nothing to refer to; its segment does not travel.
+
+A block indexes its segments by a suffix array over words.  Each segment is parsed
+greedily: the longest factor that also starts earlier is taken, then the next one from its
+end, or from the next word if there is none.  Factors of ``window`` words or more are
+duplicate spans.  Windows that cross the end of a factor, which a parse alone would miss,
+are checked at the boundary against their own longest earlier factor.  Words are compared
+by their bytes, not by hashes.
+
+A frequent anchor is split into sub-blocks of about ``HOT`` segments, dealt by the hash of
+the whole window, so that a phrase that stands in most documents fills no single task; and
+a task sends equal segments once.
 
 Defined cases: a null text has no words; a null doc_id comes after all others; rows with
-one doc_id are told apart by a 16-bit digest of their text, and of identical rows none
-counts as earlier; columns besides doc_id and text are not read.
+one doc_id are told apart by a digest of their text, and of identical rows none counts as
+earlier; very long texts are parsed whole; an empty table gives an empty result; columns
+besides doc_id and text, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -29,159 +35,298 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textkern as tk
+from gridloom.llm.scratch import Scratch, tidy
 
 WINDOW = 20
 #: Words of an anchor gram.  Shorter ones gather more windows under one anchor.
 SEED = 4
+HOT = 20_000
 NO_ID = (1 << 63) - 1
-#: Bytes of a window's hash that travel, beside the 64 bits of its anchor.
-KEPT_BYTES = 6
-_GROUP_WINDOWS = 400_000
+#: Words that a task parses at once.
+_PARSED = 400_000
 
-_PLACED = "anchor long, id long, copy int, start int, n int, windows binary, ref_id long, ref_start int"
-_FACTOR = "id long, copy int, start int, n_words int, ref_id long, ref_start int"
+_SEGMENT = "anchor long, sub int, id long, copy long, start int, words string, ref_id long, ref_start int, n_words int"
+_FACTOR = "id long, copy long, start int, n_words int, ref_id long, ref_start int"
 
 
 def _arrow(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
 
 
-def _runs(*same: np.ndarray) -> np.ndarray:
+def _cuts(*same: np.ndarray) -> np.ndarray:
     """Starts of the runs in which each given comparison with the row before holds."""
-    if not len(same) or not len(same[0]) and not same[0].size:
-        return np.zeros(1, np.int64)
     return np.concatenate(([0], np.flatnonzero(~np.logical_and.reduce(same)) + 1))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.pmod(F.xxhash64(text), F.lit(65536)).cast("int").alias("copy"), F.col("doc_id"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("copy"), F.col("doc_id"), text.alias("text"))
 
 
-def _place(window: int):
-    span = window - SEED + 1
-    seed = SEED
+class _Anchors:
+    """Anchor of each window of some texts, and the segments of windows with one anchor."""
 
-    def factors_of(ids, copies, start, ref_id, ref_start, n_windows) -> dict:
-        n = len(ids)
-        return {"anchor": tk.signed(tk.mix(ids.astype(np.uint64) + start.astype(np.uint64) * np.uint64(7919))), "id": ids, "copy": copies, "start": start, "n": n_windows, "windows": pa.nulls(n, pa.binary()), "ref_id": ref_id, "ref_start": ref_start}
-
-    def one(data: np.ndarray, off: np.ndarray, ids: np.ndarray, copies: np.ndarray) -> Iterator[dict]:
-        w = tk.Words(data, off)
-        n = len(w.start)
-        if n < window:
-            return
-        h = w.hashes()
-        ok = w.row[: n - window + 1] == w.row[window - 1 :]
-        at = np.flatnonzero(ok)
-        if not len(at):
+    def __init__(self, data: np.ndarray, off: np.ndarray, window: int) -> None:
+        self.words = w = tk.Words(data, off)
+        seed = min(SEED, window)
+        n = len(w.start) - window + 1
+        self.at = np.flatnonzero(w.row[:n] == w.row[window - 1 :]) if n > 0 else np.zeros(0, np.int64)
+        if not len(self.at):
+            self.cut = self.size = self.anchor = self.times = self.at
             return
-        anchor = tk.sliding_min(tk.gram_hashes(h, seed), span)[at]
-        win = tk.gram_hashes(h, window)[at]
-        row, start = w.row[at], w.place[at].astype(np.int32)
-        wid, wcopy = ids[row], copies[row]
-        order = np.argsort(win, kind="stable")  # places are in order already
-        new = np.ones(len(at), bool)
-        new[1:] = win[order][1:] != win[order][:-1]
-        lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-        first = np.empty(len(at), np.int64)
-        first[order] = lead
-        later = (wid[first] < wid) | ((wid[first] == wid) & (start[first] < start))
-        alone = np.flatnonzero(~later)
-        if len(alone):
-            r, s, a = row[alone], start[alone], anchor[alone]
-            cut = _runs(r[1:] == r[:-1], s[1:] == s[:-1] + 1, a[1:] == a[:-1])
-            size = np.diff(np.append(cut, len(alone)))
-            raw = np.ascontiguousarray(win[alone]).view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes()
-            bounds = np.concatenate(([0], np.cumsum(size * KEPT_BYTES))).astype(np.int32)
-            blob = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(raw)])
-            yield {"anchor": tk.signed(a[cut]), "id": ids[r[cut]], "copy": copies[r[cut]], "start": s[cut], "n": size.astype(np.int32), "windows": blob, "ref_id": pa.nulls(len(cut), pa.int64()), "ref_start": pa.nulls(len(cut), pa.int32())}
-        known = np.flatnonzero(later)
-        if len(known):
-            r, s, f = row[known], start[known], first[known]
-            cut = _runs(r[1:] == r[:-1], s[1:] == s[:-1] + 1, row[f][1:] == row[f][:-1], start[f][1:] == start[f][:-1] + 1)
-            size = np.diff(np.append(cut, len(known))).astype(np.int32)
-            yield factors_of(ids[r[cut]], copies[r[cut]], s[cut], ids[row[f[cut]]], start[f[cut]], size)
+        self.hash = w.hashes()
+        gram = tk.signed(tk.gram_hashes(self.hash, seed))
+        every = tk.signed(tk.sliding_min(gram.view(np.uint64), window - seed + 1))[self.at]
+        self.cut = _cuts(self.at[1:] == self.at[:-1] + 1, w.row[self.at][1:] == w.row[self.at][:-1], every[1:] == every[:-1])
+        self.size = np.diff(np.append(self.cut, len(self.at)))
+        self.anchor = every[self.cut]
+        # a segment that holds its anchor twice can repeat itself
+        n = self.size + window - seed
+        hits = gram[tk.expand(self.at[self.cut], n)] == np.repeat(self.anchor, n)
+        self.times = np.minimum(np.add.reduceat(hits, np.concatenate(([0], np.cumsum(n)[:-1])), dtype=np.int64), 2)
+
+
+def _places(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = tk.buffers(b.column("text"))
+            ids, copies = b.column("id").to_numpy(), b.column("copy").to_numpy()
+            for lo, hi in tk.slices(off):
+                a = _Anchors(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], window)
+                row = lo + a.words.row[a.at[a.cut]] if len(a.at) else a.at
+                yield pa.RecordBatch.from_arrays([pa.array(a.anchor.astype(np.int64)), pa.array(ids[row]), pa.array(copies[row]), pa.array(a.times.astype(np.int32))], names=["anchor", "id", "copy", "times"])
+
+    return run
+
+
+def _segments(window: int):
+    """Segments whose anchors occur elsewhere too; of equal ones in a batch the first, and a
+    factor for each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _arrow(_PLACED)
+        schema = _arrow(_SEGMENT)
         for b in batches:
-            t = pa.table({"id": b.column("id"), "copy": b.column("copy"), "text": b.column("text")})
-            t = t.take(np.argsort(t["id"].to_numpy(), kind="stable"))
-            ids, copies = t["id"].to_numpy(), t["copy"].to_numpy().astype(np.int32)
-            data, off = tk.buffers(t["text"])
+            data, off = tk.buffers(b.column("text"))
+            ids, copies = b.column("id").to_numpy(), b.column("copy").to_numpy()
+            asked = b.column("anchors")
+            asked = asked.fill_null(pa.scalar([], asked.type)) if asked.null_count else asked
+            bound, flat = asked.offsets.to_numpy(), asked.flatten()
+            anchor, cuts = flat.field("anchor").to_numpy(), flat.field("cuts").to_numpy()
+            bound = bound - bound[0]
             for lo, hi in tk.slices(off):
-                for x in one(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], ids[lo:hi], copies[lo:hi]):
-                    yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in x.values()], schema=schema)
+                a = _Anchors(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], window)
+                mine = slice(bound[lo], bound[hi])
+                if not len(a.at) or mine.start == mine.stop:
+                    continue
+                row_of = lambda row, x: tk.mix(row.astype(np.uint64) + tk.mix(x.view(np.uint64)))
+                key = row_of(np.repeat(np.arange(hi - lo), np.diff(bound[lo : hi + 1])), np.ascontiguousarray(anchor[mine]))
+                order = np.argsort(key)
+                row = a.words.row[a.at[a.cut]]
+                own = row_of(row, np.ascontiguousarray(a.anchor))
+                place = np.minimum(np.searchsorted(key[order], own), len(key) - 1)
+                taken = np.flatnonzero(key[order][place] == own)
+                split = cuts[mine][order[place[taken]]]
+                first, size, n_cuts = a.cut[taken], a.size[taken], split
+                sub = np.zeros(len(taken), np.int64)
+                if (split > 1).any():  # windows of a frequent anchor go one by one
+                    many = np.where(split > 1, size, 1)
+                    first, n_cuts = tk.expand(first, many), np.repeat(split, many)
+                    size, taken = np.where(n_cuts > 1, 1, np.repeat(size, many)), np.repeat(taken, many)
+                    win = tk.gram_hashes(a.hash, window)
+                    sub = np.where(n_cuts > 1, (win[a.at[first]] % n_cuts.astype(np.uint64)).astype(np.int64), 0)
+                w = a.words
+                begin = a.at[first]
+                end = begin + size + window - 1
+                raw, row = w.data.tobytes(), w.row[begin]
+                seen: dict[tuple, int] = {}
+                text, lead = [], np.arange(len(begin))
+                order = np.lexsort((w.place[begin], ids[lo + row]))
+                plain = [None] * len(begin)
+                for k in order.tolist():
+                    x = raw[w.start[begin[k]] : w.end[end[k] - 1]]
+                    if 9 in x or 10 in x or 11 in x or 12 in x or 13 in x or b"  " in x:
+                        x = b" ".join(x.split())
+                    lead[k] = seen.setdefault(x, k)
+                    plain[k] = x
+                f = lead
+                i, s = ids[lo + row], w.place[begin]
+                later = (i[f] < i) | ((i[f] == i) & (s[f] < s))
+                text = pa.array([None if later[k] else x for k, x in enumerate(plain)], pa.binary()).cast(pa.string())
+                no = lambda x: pa.array(x, mask=~later)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a.anchor[taken].astype(np.int64)), pa.array(sub.astype(np.int32)), pa.array(i), pa.array(copies[lo + row]), pa.array(s.astype(np.int32)), text, no(i[f]), no(s[f].astype(np.int32)), no((end - begin).astype(np.int32))], schema=schema
+                )
 
     return run
 
 
-def _refer(window: int):
+def _ranked(*columns: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in the order of the rows of the columns, equal ones for equal rows."""
+    out = columns[0]
+    for c in columns[1:]:
+        low = int(c.min(initial=0))
+        out = np.unique(out, return_inverse=True)[1] * (int(c.max(initial=0)) - low + 1) + (c - low)
+    return np.unique(out, return_inverse=True)[1]
+
+
+def word_numbers(w: tk.Words) -> np.ndarray:
+    """One number for each distinct word, told apart by bytes."""
+    _, first, number = np.unique(w.hashes(), return_index=True, return_inverse=True)
+    size = w.end - w.start
+    same = size == size[first][number]
+    padded = np.zeros(len(w.data) + 16, np.uint8)
+    padded[: len(w.data)] = w.data
+    eight = np.ndarray((len(w.data) + 9,), "<u8", padded, strides=(1,))
+    left, at, ref = np.arange(len(size)), w.start, w.start[first][number]
+    step = 0
+    while len(left):
+        rest = np.minimum(size[left] - step, 8)
+        same[left] &= ((eight[at[left] + step] ^ eight[ref[left] + step]) & tk._TAIL[rest]) == 0
+        step += 8
+        left = left[(size[left] > step) & same[left]]
+    if not same.all():  # two words with one hash
+        known: dict[bytes, int] = {}
+        raw = w.data.tobytes()
+        number = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)], np.int64)
+    return number
+
+
+def _nearest_smaller(x: np.ndarray) -> np.ndarray:
+    """Nearest place to the left with a smaller value; -1 if there is none."""
+    out = np.arange(len(x)) - 1
+    open_ = np.flatnonzero(out >= 0)
+    while len(open_):
+        open_ = open_[x[out[open_]] >= x[open_]]
+        out[open_] = out[out[open_]]
+        open_ = open_[out[open_] >= 0]
+    return out
+
+
+class Index:
+    """Suffix array over the words of segments, block by block.  ``longest`` is the length of
+    the longest factor that starts at a word and also starts at an earlier place of its
+    block, ``source`` such a place."""
+
+    def __init__(self, number: np.ndarray, block: np.ndarray, order: np.ndarray, end: np.ndarray) -> None:
+        """number, block, rank of its place, and end of its segment of each word."""
+        n = len(number)
+        self.end = end
+        ranks, width = [_ranked(block, number)], 1
+        room = end - np.arange(n)
+        while width < room.max(initial=1):
+            r = ranks[-1]
+            after = np.full(n, -1)
+            fits = np.flatnonzero(room > width)
+            after[fits] = r[fits + width]
+            ranks.append(_ranked(r, after))
+            width *= 2
+        self.ranks = ranks
+        suffix = np.lexsort((order, ranks[-1]))
+        x = order[suffix]
+        self.longest, self.source = np.zeros(n, np.int64), np.full(n, -1)
+        for near in (_nearest_smaller(x), n - 1 - _nearest_smaller(x[::-1])[::-1]):
+            ok = np.flatnonzero((near >= 0) & (near < n))
+            p, q = suffix[ok], suffix[near[ok]]
+            got = self._common(p, q)
+            more = got > self.longest[p]
+            self.longest[p[more]], self.source[p[more]] = got[more], q[more]
+
+    def _common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Words that two places have in common from there on, within their segments."""
+        length = np.zeros(len(p), np.int64)
+        for k in range(len(self.ranks) - 1, -1, -1):
+            step = 1 << k
+            a, b = p + length, q + length
+            fits = np.flatnonzero((a + step <= self.end[p]) & (b + step <= self.end[q]))
+            length[fits[self.ranks[k][a[fits]] == self.ranks[k][b[fits]]]] += step
+        return length
+
+    def parse(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of the factors of the segments that begin at first; words without
+        an earlier place are factors of one word."""
+        out, at, end = [first[:0]], first, self.end[first]
+        while len(at):
+            out.append(at)
+            at = at + np.maximum(self.longest[at], 1)
+            go = at < end
+            at, end = at[go], end[go]
+        start = np.sort(np.concatenate(out))
+        return start, start + np.maximum(self.longest[start], 1)
+
+
+def _parse(window: int):
+    """Rows come block by block, in order of places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _arrow(_FACTOR)
-        empty = {k: np.zeros(0, d) for k, d in (("a", np.int64), ("w", np.uint64), ("id", np.int64), ("copy", np.int32), ("start", np.int32))}
-        seen, held, size = empty, [], 0
-
-        def out(i, c, s, n, ri, rs) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (i, c.astype(np.int32), s.astype(np.int32), (n + window - 1).astype(np.int32), ri, rs.astype(np.int32))], schema=schema)
-
-        def settle(last: bool) -> Iterator[pa.RecordBatch]:
-            """Matches the held windows; keeps what the open block has seen."""
-            nonlocal seen, held, size
-            if not held:
-                return
-            new = {k: np.concatenate([x[k] for x in held]) for k in empty}
-            both = {k: np.concatenate((seen[k], new[k])) for k in empty}
-            key = tk.mix(both["w"] ^ tk.mix(both["a"].view(np.uint64)))
-            order = np.argsort(key, kind="stable")
-            head = np.ones(len(key), bool)
-            head[1:] = key[order][1:] != key[order][:-1]
-            first = np.empty(len(key), np.int64)
-            first[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
-            i, s = both["id"], both["start"]
-            later = (i[first] < i) | ((i[first] == i) & (s[first] < s))
-            later[: len(seen["a"])] = False
-            k = np.flatnonzero(later)
-            if len(k):
-                f = first[k]
-                cut = _runs(i[k][1:] == i[k][:-1], both["copy"][k][1:] == both["copy"][k][:-1], s[k][1:] == s[k][:-1] + 1, i[f][1:] == i[f][:-1], s[f][1:] == s[f][:-1] + 1)
-                n = np.diff(np.append(cut, len(k)))
-                yield out(i[k[cut]], both["copy"][k[cut]], s[k[cut]], n, i[f[cut]], s[f[cut]])
-            open_block = (both["a"] == both["a"][-1]) & (first == np.arange(len(key)))
-            seen = {x: both[x][open_block] for x in empty}
-            held, size = [], 0
+        held: list[pa.Table] = []
+        size, known = 0, 0  # known: leading segments that were parsed before
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, known
+            t = pa.concat_tables(held).combine_chunks()
+            w = tk.Words(*tk.buffers(t["words"]))
+            seg = w.row
+            anchor, sub, ids, copies, start = (t[c].to_numpy() for c in ("anchor", "sub", "id", "copy", "start"))
+            block = np.zeros(t.num_rows, np.int64)
+            block[1:] = np.cumsum((anchor[1:] != anchor[:-1]) | (sub[1:] != sub[:-1]))
+            place = start[seg].astype(np.int64) + w.place
+            order = _ranked(np.unique(ids, return_inverse=True)[1][seg], place)
+            first = w.first[:-1]
+            index = Index(word_numbers(w), block[seg], order, w.first[1:][seg])
+            begin, end = index.parse(first[known:])
+            long_ = np.flatnonzero(end - begin >= window)
+            # windows that cross the end of their factor
+            stop = np.zeros(len(seg) + 1, np.int64)
+            stop[begin] = end
+            stop = np.maximum.accumulate(stop)[:-1]
+            p = np.arange(len(seg))
+            cross = np.flatnonzero((p >= first[known] if known < len(first) else np.zeros(len(p), bool)) & (p + window > stop) & (index.longest >= window))
+            if len(long_):
+                a = begin[long_]
+                q = index.source[a]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[seg[a]], copies[seg[a]], place[a].astype(np.int32), (end - begin)[long_].astype(np.int32), ids[seg[q]], place[q].astype(np.int32))], schema=schema)
+            if len(cross):
+                q = index.source[cross]
+                cut = _cuts(cross[1:] == cross[:-1] + 1, seg[cross][1:] == seg[cross][:-1], seg[q][1:] == seg[q][:-1], q[1:] == q[:-1] + 1)
+                n = np.diff(np.append(cut, len(cross))) + window - 1
+                a, q = cross[cut], q[cut]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[seg[a]], copies[seg[a]], place[a].astype(np.int32), n.astype(np.int32), ids[seg[q]], place[q].astype(np.int32))], schema=schema)
+            # of the open block, segments that hold a window for the first time stay
+            new = np.zeros(t.num_rows, bool)
+            new[seg[(p + window <= index.end) & (index.longest < window)]] = True
+            stay = np.flatnonzero(new & (block == block[-1]))
+            held, size, known = [t.take(stay)], 0, len(stay)
 
         for b in batches:
-            known = b.column("windows").is_null().to_numpy(zero_copy_only=False)
-            if known.any():
-                x = b.filter(pa.array(known))
-                yield out(*(x.column(c).to_numpy() for c in ("id", "copy", "start", "n", "ref_id", "ref_start")))
-                b = b.filter(pa.array(~known))
-            if not b.num_rows:
-                continue
-            n = b.column("n").to_numpy()
-            col = b.column("windows")
-            off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
-            raw = np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]].reshape(-1, KEPT_BYTES)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :KEPT_BYTES] = raw
-            each = {"a": b.column("anchor").to_numpy(), "id": b.column("id").to_numpy(), "copy": b.column("copy").to_numpy().astype(np.int32)}
-            held.append({k: np.repeat(v, n) for k, v in each.items()} | {"w": wide.reshape(-1).view(np.uint64), "start": tk.expand(b.column("start").to_numpy().astype(np.int64), n).astype(np.int32)})
-            size += len(wide)
-            if size >= _GROUP_WINDOWS:
-                yield from settle(False)
-        yield from settle(True)
+            direct = b.column("words").is_null()
+            if b.num_rows - direct.false_count:
+                x = b.filter(direct)
+                yield pa.RecordBatch.from_arrays([x.column(c) for c in ("id", "copy", "start", "n_words", "ref_id", "ref_start")], schema=schema)
+                b = b.filter(pa.compute.invert(direct))
+            if b.num_rows:
+                held.append(pa.Table.from_batches([b.select(["anchor", "sub", "id", "copy", "start", "words"])]))
+                size += b.column("words").get_total_buffer_size() // 6
+                if size >= _PARSED:
+                    yield from settle()
+        if sum(x.num_rows for x in held) > known:
+            yield from settle()
 
     return run
 
 
-def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def factors(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """Duplicate factors: id, copy, start, n_words, ref_id, ref_start (places in words)."""
-    placed = _keyed(docs).select("id", "copy", "text").mapInArrow(_place(window), _PLACED)
-    blocks = placed.repartition("anchor").sortWithinPartitions("anchor", "id", "start", "copy")
-    return blocks.mapInArrow(_refer(window), _FACTOR)
+    scratch, keyed = Scratch(docs.sparkSession), _keyed(docs)
+    places = keyed.select("id", "copy", "text").mapInArrow(_places(window), "anchor long, id long, copy long, times int")
+    # a table of its own, as a plain side whose partner Spark can split
+    repeated = scratch.save(places.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / hot).cast("int").alias("cuts")), "anchors")
+    with tidy(docs.sparkSession):
+        asked = places.join(repeated, "anchor").groupBy("id", "copy").agg(F.collect_list(F.struct("anchor", "cuts")).alias("anchors"))
+    segments = keyed.select("id", "copy", "text").join(asked, ["id", "copy"]).select("id", "copy", "text", "anchors").mapInArrow(_segments(window), _SEGMENT)
+    blocks = segments.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub", "id", "start", "copy")
+    return blocks.mapInArrow(_parse(window), _FACTOR)
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +351,8 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "kept_text", "n_words", "n_removed", "kept_sha256"])
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """One row a document: doc_id, kept_text, n_words, n_removed, kept_sha256."""
-    spans = factors(docs, window).groupBy("id", "copy").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
+    spans = factors(docs, window, hot).groupBy("id", "copy").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
     joined = _keyed(docs).join(spans, ["id", "copy"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_keep, "doc_id long, kept_text string, n_words long, n_removed long, kept_sha256 string")

@@ -42,6 +42,41 @@ def test_substring_dedup_brute_force(spark, small):
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
         got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rlz_dedup.substring_dedup(df, n).collect()}
         assert got == windows_removed(rows, n)
+        for hot in (1, 3):  # split blocks give the same
+            assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rlz_dedup.substring_dedup(df, n, hot).collect()} == got
+        if n == 20:
+            break
+
+
+def thue_morse(n: int, a: str, b: str) -> str:
+    return "".join(a if bin(i).count("1") % 2 else b for i in range(n))
+
+
+def test_words_of_one_polynomial_hash_differ(spark):
+    words = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([*words, thue_morse(2048, "a", "b")])), (2, " ".join([*words, thue_morse(2048, "b", "a")])), (3, " ".join([*words, thue_morse(2048, "a", "b")]))]
+    got = {r["doc_id"]: r["n_removed"] for r in rlz_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_longest_earlier_factors():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        lengths = rng.integers(1, 40, 6)
+        end = np.repeat(np.cumsum(lengths), lengths)
+        number, block = rng.integers(0, 3, lengths.sum()), np.repeat([0, 0, 0, 1, 1, 1], lengths)
+        index = rlz_dedup.Index(number, block, np.arange(len(number)), end)
+        for p in range(len(number)):
+            best = 0
+            for q in range(p):
+                if block[q] == block[p]:
+                    n = 0
+                    while p + n < end[p] and q + n < end[q] and number[p + n] == number[q + n]:
+                        n += 1
+                    best = max(best, n)
+            assert index.longest[p] == best
+        start, stop = index.parse(np.cumsum(lengths) - lengths)
+        assert (start[1:] == stop[:-1]).all() and stop[-1] == len(number)
 
 
 def test_factors_point_to_equal_earlier_text(spark):
