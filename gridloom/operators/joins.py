@@ -18,11 +18,15 @@ def bucket(c: Column, width: float) -> Column:
     return F.floor(c / width).cast("long")
 
 
-def interval_join(points: DataFrame, spans: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
-    """Points with the spans [low, high) that hold them."""
+def interval_join(points: DataFrame, spans: DataFrame, at: str, low: str, high: str, width: float, same: dict[str, str] | None = None) -> DataFrame:
+    """Points with the spans [low, high) that hold them, within equal keys: point column ->
+    span column."""
     reach = spans.withColumn("__b", F.explode(F.sequence(bucket(F.col(low), width), bucket(F.col(high), width))))
     keyed = points.withColumn("__b", bucket(F.col(at), width))
-    return keyed.join(reach, "__b").where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__b")
+    for k, (mine, theirs) in enumerate((same or {}).items()):
+        keyed, reach = keyed.withColumn(f"__k{k}", F.col(mine)), reach.withColumn(f"__k{k}", F.col(theirs))
+    keys = ["__b", *(f"__k{k}" for k in range(len(same or {})))]
+    return keyed.join(reach, keys).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop(*keys)
 
 
 def box_join(points: DataFrame, boxes: DataFrame, axes: dict[str, tuple[str, str]], widths: dict[str, float]) -> DataFrame:

@@ -72,3 +72,16 @@ def sql(name: str, text: str, spark_text: str | None = None) -> None:
     for n, braced in tables.items():
         plain = plain.replace(braced, n)
     ORACLES[name] = plain
+
+
+def by_operator(name: str | None = None):
+    """Registers a function of Tables as the Spark side of a query whose SQL is registered
+    already, so that an operator of the library is held against a text of its own."""
+
+    def register(f: Callable[[Tables], DataFrame]):
+        key = name or f.__name__
+        assert key in ORACLES, key
+        QUERIES[key] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        return f
+
+    return register

@@ -80,7 +80,7 @@ sql("cf_demod", f"""
     with s as (select cast(floor(event_id / 500) as bigint) as band, value as c, code * {_P} - event_id * 1e-3 as a from {{phases}} where code is not null)
     select band, round(sum(c * cos(a)) / sum(c), 5) as pc, round(sum(c * sin(a)) / sum(c), 5) as ps, round(sum(c), 4) as weight from s group by 1""".replace("{{", "{").replace("}}", "}"))
 sql("ct_cal", """
-    with c as (select cast(user_id % 20 as bigint) as cell, sum(case when value >= 30 then 1 else 0 end) as peaks, count(*) as turns from {events} where event_id % 3 <> 0 group by 1),
+    with c as (select cast(user_id % 20 as bigint) as cell, sum(case when value >= 30 then 1 else 0 end) as peaks, count(*) as turns from {events} group by 1),
     s as (select a.cell, sum(b.peaks) as peaks, sum(b.turns) as turns from c a join c b on b.cell in (a.cell, (a.cell + 1) % 20, (a.cell + 19) % 20) group by a.cell),
     w as (select sum(peaks) / cast(sum(turns) as double) as k from c)
     select cell, round(case when turns >= 30 then peaks / cast(turns as double) else k end, 9) as k from s cross join w""")
@@ -151,16 +151,16 @@ sql("trace_prep_seeds", """
     m as (select ray, place, p from r where p >= 40 and (b is null or p > b) and (n is null or p >= n))
     select ray, place, p from m order by (place * 2654435761 + ray * 40503) % 4294967296, ray, place, p limit 64""")
 sql("fiber_raster", """
-    with s as (select user_id, event_id, value from {events} where user_id % 4 = 0),
+    with s as (select user_id, event_id, value from {events}),
     o as (select cast(floor(value) as bigint) + d as cell, abs(value - (floor(value) + d + 5e-1)) as dist from s cross join (select -1 as d union all select 0 union all select 1) u)
     select cell, case when min(dist) <= 75e-2 then 254 when min(dist) <= 125e-2 then 255 else 0 end as label from o group by 1""")
 sql("surf_resample", """
-    with a as (select s_suppkey as id, s_acctbal as v, s_nationkey as b from {supplier}), q as (select c_custkey as id, c_nationkey as b, c_acctbal as v from {customer} where c_custkey % 3 = 0),
+    with a as (select s_suppkey as id, s_acctbal as v, s_nationkey as b from {supplier}), q as (select c_custkey as id, c_nationkey as b, c_acctbal as v from {customer}),
     p as (select q.id, a.id as src, abs(q.v - a.v) as d, row_number() over (partition by q.id order by abs(q.v - a.v), a.id) as i from q join a on a.b = q.b)
     select id, case when d <= 400 then src end as src, round(least(d, 400), 6) as d from p where i = 1""")
 sql("stretch_percentiles", """
-    select c_nationkey, round(quantile_cont(c_acctbal, 0.02::double), 6) as lo, round(quantile_cont(c_acctbal, 0.98::double), 6) as hi from {customer} where c_custkey % 7 = 0 group by 1""",
-    """select c_nationkey, round(percentile(c_acctbal, 0.02D), 6) as lo, round(percentile(c_acctbal, 0.98D), 6) as hi from {customer} where c_custkey % 7 = 0 group by 1""")
+    select c_nationkey, round(quantile_cont(c_acctbal, 0.02::double), 6) as lo, round(quantile_cont(c_acctbal, 0.98::double), 6) as hi from {customer} group by 1""",
+    """select c_nationkey, round(percentile(c_acctbal, 0.02D), 6) as lo, round(percentile(c_acctbal, 0.98D), 6) as hi from {customer} group by 1""")
 sql("affine_map", """
     select c_custkey, round(9e-1 * c_acctbal - 1e-1 * c_nationkey + 5, 6) as u, round(1e-1 * c_acctbal + 9e-1 * c_nationkey - 3, 6) as v from {customer}""")
 sql("unroll_gates", """
