@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the cluster's checkpoint folder."""
+    """Cuts the lineage through the cluster's checkpoint folder.  A folder of our own serves
+    only where everything runs on one machine."""
     sc = df.sparkSession.sparkContext
     if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
     return df.checkpoint()
 
@@ -88,11 +92,18 @@ def chain_gauges(costs: DataFrame, keys: list[str], shifts: list[int]) -> DataFr
 
     def solve(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("pos", kind="stable")
-        best = {s: (abs(s - x["prior"].iloc[0]), (s,)) for s in shifts}
-        for prior, step in zip(x["prior"].iloc[1:], x["step"].iloc[1:], strict=True):
-            best = {s: min((c + abs(s - t - step) + abs(s - prior), (*path, s)) for t, (c, path) in best.items()) for s in shifts}
-        cost, path = min(best.values())
-        return x[[*keys, "pos"]].assign(gauge=list(path), cost=float(cost))
+        s = np.array(sorted(shifts), float)
+        prior, step = x["prior"].to_numpy(float), x["step"].to_numpy(float)
+        # from the last link back, so that of equal sums the smaller gauges are found first
+        rest, choice = np.abs(s - prior[-1]), []
+        for k in range(len(x) - 1, 0, -1):
+            cost = np.abs(s[None, :] - s[:, None] - step[k]) + rest[None, :]
+            choice.append(cost.argmin(1))
+            rest = cost.min(1) + np.abs(s - prior[k - 1])
+        at = [int(rest.argmin())]
+        for c in reversed(choice):
+            at.append(int(c[at[-1]]))
+        return x[[*keys, "pos"]].assign(gauge=s[at].astype(int), cost=float(rest.min()))
 
     return costs.groupBy(*keys).applyInPandas(solve, schema)
 
@@ -107,3 +118,51 @@ def greedy_links(candidates: DataFrame) -> DataFrame:
         taken = checkpoint(taken.unionByName(both))
         live = checkpoint(live.join(both.select("a"), "a", "left_anti").join(both.select("b"), "b", "left_anti"))
     return taken
+
+
+def end_links(pieces: DataFrame, gap: float, cos_least: float, lateral: float) -> DataFrame:
+    """Candidate links between ends of pieces: rows (run, end, family, x, y, z, tx, ty, tz)
+    with unit tangents that point outward.  Ends of unlike runs of one family link if they
+    are within the gap, face each other, and lie near each other's tangent line; the cost
+    adds up the three shares.  Ends are dealt into cells of the gap."""
+    c, axes = F.col, "xyz"
+    names = [f"__c{a}" for a in axes]
+    left = pieces.select(*(c(k).alias(f"{k}_a") for k in pieces.columns), *(F.floor(c(a) / gap).alias(n) for a, n in zip(axes, names, strict=True)))
+    right = pieces.select(*(c(k).alias(f"{k}_b") for k in pieces.columns))
+    for a, n in zip(axes, names, strict=True):
+        home = F.floor(c(f"{a}_b") / gap)
+        right = right.withColumn(n, F.explode(F.array(home - 1, home, home + 1)))
+    first = F.struct("run_a", "end_a") < F.struct("run_b", "end_b")
+    both = left.join(right, names).where((c("family_a") == c("family_b")) & (c("run_a") != c("run_b")) & first)
+    dot = lambda p, q: sum((p(a) * q(a) for a in axes), F.lit(0.0))
+    v, ta, tb = (lambda a: c(f"{a}_b") - c(f"{a}_a")), (lambda a: c(f"t{a}_a")), (lambda a: c(f"t{a}_b"))
+    both = both.withColumns({"g": F.sqrt(dot(v, v)), "face": -dot(ta, tb), "pa": dot(v, ta), "pb": -dot(v, tb)})
+    off = lambda p: F.sqrt(F.greatest(F.lit(0.0), c("g") * c("g") - c(p) * c(p)))
+    both = both.withColumn("lat", F.greatest(off("pa"), off("pb")))
+    ahead = (c("g") < 2) | ((c("pa") >= cos_least * c("g")) & (c("pb") >= cos_least * c("g")))
+    good = both.where((c("g") <= gap) & (c("face") >= cos_least) & ahead & (c("lat") <= lateral))
+    return good.select("run_a", "end_a", "run_b", "end_b", (c("g") / gap + (1 - c("face")) / (1 - cos_least) + c("lat") / lateral).alias("cost"), "g", "lat")
+
+
+def chain_links(links: DataFrame) -> DataFrame:
+    """Links (run_a, end_a, run_b, end_b, cost) taken by rising cost, so that every end has
+    one mate at most and no chain closes on itself.
+
+    A round takes the links that are the cheapest of both chains they join: whatever could
+    come between them later costs more, so the result equals going through all in order."""
+    order = F.struct("cost", "run_a", "end_a", "run_b", "end_b")
+    live = checkpoint(links.select("run_a", "end_a", "run_b", "end_b", "cost").withColumns({"ca": F.col("run_a"), "cb": F.col("run_b")}).where("ca <> cb"))
+    taken = live.select("run_a", "end_a", "run_b", "end_b", "cost").limit(0)
+    while live.limit(1).count():
+        low = live.select(F.explode(F.array("ca", "cb")).alias("chain"), order.alias("o")).groupBy("chain").agg(F.min("o").alias("o"))
+        both = low.groupBy("o").agg(F.count("*").alias("n")).where("n = 2").select("o.run_a", "o.end_a", "o.run_b", "o.end_b", "o.cost")
+        both = checkpoint(both)
+        taken = checkpoint(taken.unionByName(both))
+        shut = both.select(F.explode(F.array(F.struct(F.col("run_a").alias("r"), F.col("end_a").alias("e")), F.struct(F.col("run_b").alias("r"), F.col("end_b").alias("e")))).alias("x")).select("x.r", "x.e")
+        for side in "ab":
+            live = live.join(shut.select(F.col("r").alias(f"run_{side}"), F.col("e").alias(f"end_{side}")), [f"run_{side}", f"end_{side}"], "left_anti")
+        part = components(taken, "run_a", "run_b")
+        to = lambda s: part.select(F.col("node").alias(f"run_{s}"), F.col("component").alias(f"n{s}"))
+        live = live.select("run_a", "end_a", "run_b", "end_b", "cost").join(to("a"), "run_a", "left").join(to("b"), "run_b", "left")
+        live = checkpoint(live.withColumns({"ca": F.coalesce("na", "run_a"), "cb": F.coalesce("nb", "run_b")}).drop("na", "nb").where("ca <> cb"))
+    return taken

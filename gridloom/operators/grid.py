@@ -58,6 +58,17 @@ def distance(df: DataFrame, feature: str, side: int, halo: int, axes: tuple[str,
     return out.withColumn("d2", F.nanvl("d2", F.lit(None).cast("double")))
 
 
+def exact_distance(df: DataFrame, feature: str, axes: tuple[str, ...] = AXES, start: float = 4.0) -> DataFrame:
+    """Squared distance of every listed cell to the nearest feature cell, however far, and
+    that cell (ties to the smallest coordinates); null where there is no feature at all."""
+    from gridloom.operators.joins import nearest
+
+    cells = df.select(*axes).distinct().withColumn("__id", F.struct(*axes))
+    marked = df.where(feature).select(*axes).distinct().withColumn("near", F.struct(*axes))
+    got = nearest(cells, marked, list(axes), "__id", "near", start=start)
+    return cells.join(got, "__id", "left").select(*axes, "d2", *(F.col(f"near.{a}").alias(f"near_{a}") for a in axes))
+
+
 def tiles(low: tuple[int, ...], size: tuple[int, ...], side: int, overlap: int, spark) -> DataFrame:
     """Half-open tiles of a box, each reaching ``overlap`` into its neighbours."""
     out = spark.range(1).select(F.lit(0).alias("_"))

@@ -58,12 +58,34 @@ def radius_pairs(a: DataFrame, b: DataFrame, axes: list[str], radius: float, suf
     return x.join(y, keys).drop(*keys).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
 
 
-def nearest(a: DataFrame, b: DataFrame, axes: list[str], id_a: str, id_b: str, radius: float) -> DataFrame:
-    """For every row of a its nearest row of b within the radius, ties to the smaller id:
-    exact, since a row within the radius lies in a neighbouring cell."""
-    pairs = radius_pairs(a, b, axes, radius)
-    best = pairs.groupBy(f"{id_a}_a").agg(F.min(F.struct("d2", f"{id_b}_b")).alias("best"))
-    return best.select(F.col(f"{id_a}_a").alias(id_a), F.col(f"best.{id_b}_b").alias(id_b), F.col("best.d2").alias("d2"))
+def nearest(a: DataFrame, b: DataFrame, axes: list[str], id_a: str, id_b: str, radius: float | None = None, start: float = 1.0) -> DataFrame:
+    """For every row of a its nearest row of b, ties to the smaller id: exact, since a row
+    within the radius lies in a neighbouring cell.
+
+    With a radius, rows without a neighbour in it are left out.  Without one, rings widen:
+    rows that found nothing within ``start`` ask again within twice as much, until all have
+    an answer (or b is empty)."""
+    if radius is not None:
+        pairs = radius_pairs(a, b, axes, radius)
+        best = pairs.groupBy(f"{id_a}_a").agg(F.min(F.struct("d2", f"{id_b}_b")).alias("best"))
+        return best.select(F.col(f"{id_a}_a").alias(id_a), F.col(f"best.{id_b}_b").alias(id_b), F.col("best.d2").alias("d2"))
+    from gridloom.operators.graph import checkpoint
+
+    left, found, reach = a.select(id_a, *axes), None, start
+    far = lambda df: df.agg(*(f(c).alias(f"{f.__name__}_{c}") for c in axes for f in (F.min, F.max))).first()
+    ends_a, ends_b = far(a), far(b)
+    if ends_a[0] is None or ends_b[0] is None:
+        return nearest(a, b, axes, id_a, id_b, start).limit(0)
+    widest = sum(max(abs(ends_a[f"max_{c}"] - ends_b[f"min_{c}"]), abs(ends_b[f"max_{c}"] - ends_a[f"min_{c}"])) ** 2 for c in axes) ** 0.5
+    while True:
+        got = checkpoint(nearest(left, b, axes, id_a, id_b, reach))
+        found = got if found is None else found.unionByName(got)
+        if reach > widest:
+            return found
+        left = checkpoint(left.join(got.select(id_a), id_a, "left_anti"))
+        if not left.limit(1).count():
+            return found
+        reach *= 2
 
 
 def lerp_on(points: DataFrame, knots: DataFrame, at: str, knot: str, values: list[str], width: float) -> DataFrame:

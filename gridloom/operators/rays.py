@@ -47,6 +47,72 @@ def peaks(df: DataFrame, key: str, order: str, value: str, least: float, apart:
     return df.groupBy(key).applyInPandas(one, f"{key} {dict(df.dtypes)[key]}, place long, height double, prominence double")
 
 
+def smoothed(v: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian smoothing over three sigma among known samples; unknown ones stay unknown."""
+    reach = int(np.ceil(3 * sigma)) if sigma > 0 else 0
+    if not reach or not len(v):
+        return v.astype(float)
+    taps, known = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2), np.isfinite(v)
+    near = lambda x: np.lib.stride_tricks.sliding_window_view(np.pad(x, reach), 2 * reach + 1) @ taps
+    return np.where(known, near(np.where(known, v, 0.0)) / np.maximum(near(known.astype(float)), 1e-300), np.nan)
+
+
+def profile_peaks(v: np.ndarray, material: np.ndarray, sigma: float, least: float, window: int, apart: float) -> list[tuple[float, float, float, float]]:
+    """Peaks of a smoothed profile that begin inside material: place (between samples),
+    height, prominence within ``window`` samples either way, and width at half prominence.
+    A plateau is one peak at its middle.  Of two neighbours nearer than ``apart`` the higher
+    stays, again and again."""
+    s, out, i = smoothed(v, sigma), [], 1
+    n = len(s)
+    while i + 1 < n:
+        end = i
+        if material[i] and np.isfinite(s[i]) and s[i] > s[i - 1]:
+            while end + 1 < n and s[end + 1] == s[i]:
+                end += 1
+            if end + 1 < n and s[end + 1] < s[i]:
+                floor = []
+                for side in (s[max(0, i - window) : i][::-1], s[end + 1 : end + 1 + window]):
+                    stop = np.flatnonzero(~(side <= s[i]))  # higher, or unknown
+                    side = side[: stop[0]] if len(stop) else side
+                    floor.append(min(side.min(initial=s[i]), s[i]))
+                tall = float(s[i] - max(floor))
+                if tall >= least:
+                    place = (i + end) / 2
+                    if end == i:
+                        a, b, c = s[i - 1 : i + 2]
+                        bend = a - 2 * b + c
+                        if bend < 0 and abs(0.5 * (a - c) / bend) < 1:
+                            place = i + 0.5 * (a - c) / bend
+                    low, high, half = i, end, s[i] - 0.5 * tall
+                    while low > 0 and s[low - 1] > half:
+                        low -= 1
+                    while high + 1 < n and s[high + 1] > half:
+                        high += 1
+                    out.append((float(place), float(s[i]), tall, float(high - low + 1)))
+        i = end + 1
+    again = apart > 0
+    while again:
+        again, kept = False, []
+        for p in out:
+            if kept and p[0] - kept[-1][0] < apart:
+                kept[-1], again = p if p[1] > kept[-1][1] else kept[-1], True
+            else:
+                kept.append(p)
+        out = kept
+    return out
+
+
+def ruled_peaks(df: DataFrame, key: str, order: str, value: str, material: str, sigma: float, least: float, window: int, apart: float) -> DataFrame:
+    """``profile_peaks`` of every profile; a profile is one bounded group."""
+
+    def one(k: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(order, kind="stable")
+        got = profile_peaks(x[value].to_numpy(float), x[material].to_numpy(bool), sigma, least, window, apart)
+        return pd.DataFrame({key: [k[0]] * len(got), **{name: [p[i] for p in got] for i, name in enumerate(("place", "height", "prominence", "width"))}})
+
+    return df.groupBy(key).applyInPandas(one, f"{key} {dict(df.dtypes)[key]}, place double, height double, prominence double, width double")
+
+
 def crossings(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Places where a rising or falling profile meets whole levels, by linear roots."""
     w = Window.partitionBy(key).orderBy(order)

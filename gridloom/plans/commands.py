@@ -267,7 +267,7 @@ sql("fit_compare", """
 sql("gap_compare", """
     with r as (select user_id, count(*) as n, avg(value) as s from {events} where value > 0 group by 1)
     select cast(floor(s / 20) as bigint) as bin, cast(count(*) as bigint) as cells, round(avg(log2(n / s)), 6) as ratio from r group by 1""")
-sql("priority_dedup", """
+sql("exact_text_dedup", """
     with r as (select doc_id, source, text, row_number() over (partition by text order by n_chars desc, doc_id) as i from {documents})
     select doc_id, source from r where i = 1""",
     """

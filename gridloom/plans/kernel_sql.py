@@ -119,7 +119,7 @@ sql("mesh_raster", """
 sql("ink_splat", """
     with h as (select cast(floor(l_orderkey / 3) as bigint) as z, cast(floor(l_suppkey / 5) as bigint) as x, sum(case when l_returnflag = 'R' then 1 else 0 end) as ink, count(*) as n, max(l_quantity) as top from {lineitem} group by 1, 2)
     select z, x, cast(ink as bigint) as ink, cast(n as bigint) as n, case when ink * 2 >= n then 254 when top > 30 then 0 else 255 end as label from h""")
-sql("recto_fuse", """
+sql("block_best_source", """
     with b as (select cast(floor(l_orderkey / 256) as bigint) as blk, l_returnflag as src, avg(l_quantity) as m from {lineitem} group by 1, 2),
     r as (select *, row_number() over (partition by blk order by round(m, 9) desc, src) as i from b)
     select blk, src, round(m, 6) as m from r where i = 1""")

@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import circular
+from gridloom.operators import bench, graph, grid, hashing, joins
 from gridloom.operators import compare as cmp
 from gridloom.operators import fields as fd
 from gridloom.operators import lines as ln
 from gridloom.operators import rays
 from gridloom.operators import surfaces as sf
 from gridloom.operators.joins import interval_join
-from gridloom.plans.base import Tables, by_operator
+from gridloom.plans.base import Tables, by_operator, query
+from gridloom.streaming import frontier
 
 c, lit = F.col, F.lit
 _LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
@@ -396,3 +398,131 @@ def phase_conflict(t: Tables) -> DataFrame:
     rows = t.phases.where("code is not null").select("user_id", "event_id", "code", "event_type")
     a, b = rows.where("event_type = 'click'"), rows.where("event_type <> 'click'").select("user_id", c("event_id").alias("other"), c("code").alias("d"))
     return a.join(b, "user_id").select("event_id", "other", F.when(F.abs(circular.code_diff(c("code"), c("d"))) > 40, 1).otherwise(0).alias("conflict"))
+
+
+# -- operators with texts of their own -----------------------------------------------------
+
+
+_SETS = "select l_linenumber % 3 as s, l_orderkey as z, l_partkey % 97 as y, l_suppkey % 31 as x, sum(l_quantity) as q, count(*) as n from lineitem group by 1, 2, 3, 4"
+
+
+@query(f"""with p as ({_SETS}), b as (select s, z // 8 as bz, y // 8 as by_, x // 8 as bx, sum(q) / sum(n) as m from p group by 1, 2, 3, 4),
+    m as (select p.s, z, y, x, m from p join b on p.s = b.s and z // 8 = bz and y // 8 = by_ and x // 8 = bx),
+    near as (select a.s, a.z, a.y, a.x, bool_or(o.m > a.m or (o.m = a.m and o.s < a.s)) as beaten from m a join m o on o.z between a.z - 2 and a.z + 2 and o.s <> a.s and abs(o.y - a.y) <= 2 and abs(o.x - a.x) <= 2 group by 1, 2, 3, 4)
+    select m.s, m.z, m.y, m.x, beaten is null as alone from m left join near n on m.s = n.s and m.z = n.z and m.y = n.y and m.x = n.x where not coalesce(beaten, false)""")
+def recto_fuse(t: Tables) -> DataFrame:
+    """Points of three sets without those that a better set has within two cells."""
+    p = t.lineitem.select((c("l_linenumber") % 3).alias("s"), c("l_orderkey").alias("z"), (c("l_partkey") % 97).alias("y"), (c("l_suppkey") % 31).alias("x"), "l_quantity")
+    return sf.dominant(p, ["z", "y", "x"], "s", "l_quantity", 8, 2)
+
+
+@query("""with recursive c as (select l_suppkey as i, list(distinct l_partkey // 8) as cells from lineitem group by 1), o as (select i, cells, row_number() over (order by len(cells) desc, i) as k from c),
+    r(k, i, kept, taken) as (select 0::bigint, null::bigint, false, []::bigint[] union all
+        select o.k, o.i, len(list_intersect(o.cells, r.taken)) <= 0.5 * len(o.cells), case when len(list_intersect(o.cells, r.taken)) <= 0.5 * len(o.cells) then list_distinct(list_concat(r.taken, o.cells)) else r.taken end from r join o on o.k = r.k + 1)
+    select i as item from r where kept""")
+def priority_dedup(t: Tables) -> DataFrame:
+    """Surfaces in order of size, without those that kept ones cover by more than half."""
+    cells = t.lineitem.select(c("l_suppkey").alias("item"), F.floor(c("l_partkey") / 8).alias("cell")).distinct()
+    size = cells.groupBy("item").agg(F.count("*").alias("size"))
+    return sf.priority_cover(cells.join(size, "item"), "item", ["cell"], "size", 0.5)
+
+
+@query("""with c as (select l_orderkey % 64 as a, l_partkey % 64 as b, bool_and(l_quantity >= 13) as f from lineitem group by 1, 2),
+    d as (select p.a, p.b, min(struct_pack(d := pow(p.a - q.a, 2) + pow(p.b - q.b, 2), a := q.a, b := q.b)) as m from c p left join c q on q.f group by 1, 2)
+    select a, b, cast(m.d as double) as d2, m.a as near_a, m.b as near_b from d""")
+def edt_exact(t: Tables) -> DataFrame:
+    """Distance and place of the nearest feature, however far."""
+    cells = t.lineitem.groupBy((c("l_orderkey") % 64).alias("a"), (c("l_partkey") % 64).alias("b")).agg(F.bool_and(c("l_quantity") >= 13).alias("f"))
+    return grid.exact_distance(cells, "f", ("a", "b"))
+
+
+@query("""with p as (select c_custkey as id, c_custkey % 211 as a, c_acctbal / 40 as b from customer), q as (select s_suppkey as near, s_suppkey * 2 as a, s_acctbal / 40 as b from supplier),
+    m as (select id, min(struct_pack(d := pow(p.a - q.a, 2) + pow(p.b - q.b, 2), near := near)) as m from p cross join q group by 1)
+    select id, m.near as near, round(m.d, 6) as d2 from m""")
+def knn1_widening(t: Tables) -> DataFrame:
+    k = c("c_custkey")
+    p = t.customer.select(k.alias("id"), (k % 211).cast("double").alias("a"), (c("c_acctbal") / 40).alias("b"))
+    q = t.supplier.select(c("s_suppkey").alias("near"), (c("s_suppkey") * 2).cast("double").alias("a"), (c("s_acctbal") / 40).alias("b"))
+    return joins.nearest(p, q, ["a", "b"], "id", "near", start=8.0).select("id", "near", F.round("d2", 6).alias("d2"))
+
+
+_MIX = "((x::uhugeint * {m}::uhugeint) % 18446744073709551616::uhugeint)::ubigint"
+
+
+@query(f"""with a as (select l_orderkey as k, ((l_orderkey::uhugeint + 11400714819323198485::uhugeint) % 18446744073709551616::uhugeint)::ubigint as x from (select distinct l_orderkey from lineitem)),
+    b as (select k, xor(x, x >> 30) as x from a), d as (select k, {_MIX.format(m=13787848793156543929)} as x from b), e as (select k, xor(x, x >> 27) as x from d), f as (select k, {_MIX.format(m=10723151780598845931)} as x from e)
+    select k, case when xor(x, x >> 31) >= 9223372036854775808::ubigint then (xor(x, x >> 31)::hugeint - 18446744073709551616::hugeint)::bigint else xor(x, x >> 31)::bigint end as h from f""")
+def hash_cells(t: Tables) -> DataFrame:
+    return t.lineitem.select(c("l_orderkey").alias("k")).distinct().select("k", hashing.splitmix64("k").alias("h"))
+
+
+@query("""with v as (select distinct z, y - 500 as y, x from {voxels}), k as (select z, y, x, 1 + (((z & 2097151) << 42) | ((y & 2097151) << 21) | (x & 2097151)) as key from v)
+    select key, z as z1, y as y1, x as x1 from k""")
+def pack_cells(t: Tables) -> DataFrame:
+    """Cell keys, and the cells that are read back from them."""
+    keys = t.voxels.select(hashing.pack_cell(c("z"), c("y") - 500, c("x")).alias("key")).distinct()
+    z, y, x = hashing.unpack_cell(c("key"))
+    return keys.select("key", z.alias("z1"), y.alias("y1"), x.alias("x1"))
+
+
+@query("""with r as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as i, count(*) over (partition by user_id) as n from events),
+    m as (select a.event_id, avg(b.value) as m from r a cross join range(-3, 4) as s(d) join r b on b.user_id = a.user_id and b.i = least(a.n, greatest(1, a.i + d)) group by 1)
+    select event_id, round(m, 6) as m from m""")
+def edge_means(t: Tables) -> DataFrame:
+    """Moving means that repeat the samples at both ends."""
+    return t.events.select("event_id", F.round(ln.edge_mean(t.events, ["user_id"], "event_id", "value", 3), 6).alias("m"))
+
+
+@query("""with r as (select user_id, event_id, case when event_id % 5 <> 0 then value end as v, row_number() over (partition by user_id order by event_id) as i from events),
+    m as (select a.event_id, any_value(a.v) as own, sum(b.v * exp(-0.5 * pow((b.i - a.i) / 1.5, 2))) / sum(case when b.v is not null then exp(-0.5 * pow((b.i - a.i) / 1.5, 2)) end) as m from r a join r b on b.user_id = a.user_id and b.i between a.i - 5 and a.i + 5 group by 1)
+    select event_id, case when own is not null then round(m, 6) end as m from m""")
+def gaussian_means(t: Tables) -> DataFrame:
+    """Gaussian smoothing that knows of unknown samples."""
+    e = t.events.select("user_id", "event_id", F.when(c("event_id") % 5 != 0, c("value")).alias("v"))
+    return e.select("event_id", F.round(ln.gaussian(e, ["user_id"], "event_id", "v", 1.5), 6).alias("m"))
+
+
+@query("""with l as (select event_id % 400 as id, value as item, row_number() over (partition by event_id % 400 order by event_id) as r, count(*) over (partition by event_id % 400) as n from events)
+    select id, item from l where r = 1 and n % 2 = 1""")
+def annot_undo(t: Tables) -> DataFrame:
+    """A log in which every deletion is undone by the next entry: items with an odd number of
+    entries are live."""
+    r = F.row_number().over(ln.along(["id"], "seq"))
+    e = t.events.select((c("event_id") % 400).alias("id"), c("event_id").alias("seq"), c("value").alias("item")).withColumn("r", r)
+    return frontier.fold_log(e.select("id", "seq", F.when(c("r") == 1, "add").when(c("r") % 2 == 0, "del").otherwise("undo").alias("op"), "item"))
+
+
+@query(f"""with a as (select o_custkey as box, c_nationkey as stratum, avg(o_totalprice) as va, avg(case when o_orderstatus = 'F' then o_totalprice else o_totalprice * 1.01::double end) as vb, case when o_custkey % 10 > 0 then max(o_totalprice) / 200000 end as ceil from orders join customer on o_custkey = c_custkey group by 1, 2),
+    k as (select * from a where ceil is null or ceil >= 0.8), s as (select stratum, count(*) as cnt, min(box) as lead from k group by 1),
+    f as (select stratum, cnt, coalesce(sum(cnt) over (order by lead rows between unbounded preceding and 1 preceding), 0) as first from s),
+    p as (select (first + row_number() over (partition by k.stratum order by box) - 1)::bigint as pos, cnt, first::bigint as first, va, vb, count(*) over () as n from k join f on k.stratum = f.stratum),
+    w as (select draw, first, cnt, n, ((1::uhugeint + (draw * n + pos + 1)::uhugeint * 11400714819323198485::uhugeint) % 18446744073709551616::uhugeint)::ubigint as x from p, range(0, 200) as g(draw)),
+    x1 as (select * replace (xor(x, x >> 30) as x) from w), x2 as (select * replace ({_MIX.format(m=13787848793156543929)} as x) from x1), x3 as (select * replace (xor(x, x >> 27) as x) from x2), x4 as (select * replace ({_MIX.format(m=10723151780598845931)} as x) from x3),
+    d as (select draw, first + (xor(x, x >> 31) % cnt::ubigint)::bigint as pos, n from x4),
+    m as (select draw, sum(va) / any_value(d.n) as ma, sum(vb) / any_value(d.n) as mb from d join p on d.pos = p.pos group by 1)
+    select (select count(*) from p)::bigint as n, round((select avg(va) from p), 4) as a, round((select avg(vb) from p), 4) as b, round((select avg(va) - avg(vb) from p), 4) as diff, round(quantile_cont(ma, 0.025::double), 4) as ma_lo, round(quantile_cont(ma, 0.975::double), 4) as ma_hi,
+        round(quantile_cont(ma - mb, 0.025::double), 4) as md_lo, round(quantile_cont(ma - mb, 0.975::double), 4) as md_hi, round(avg(case when ma > mb then 1.0::double else 0.0::double end), 6) as p_above, round(2.8::double * stddev_samp(ma - mb), 4) as mde from m""")
+def wbench_stats(t: Tables) -> DataFrame:
+    """Two metric tables over the clean set: means, intervals and the paired difference."""
+    strata = t.customer.select(c("c_custkey").alias("o_custkey"), c("c_nationkey").alias("stratum"))
+    ceil = F.when(c("box") % 10 > 0, c("top") / 200000)
+    rows = t.orders.join(strata, "o_custkey").groupBy(c("o_custkey").alias("box"), "stratum").agg(F.avg("o_totalprice").alias("va"), F.avg(F.when(c("o_orderstatus") == "F", c("o_totalprice")).otherwise(c("o_totalprice") * 1.01)).alias("vb"), F.max("o_totalprice").alias("top"))
+    rows = bench.clean_set(rows.withColumn("ceil", ceil), "ceil", 0.8)
+    a, b = rows.select("box", "stratum", c("va").alias("m")), rows.select("box", "stratum", c("vb").alias("m"))
+    got = bench.intervals(a, b, "box", "stratum", "m", draws=200, seed=1)
+    names = ("a", "b", "diff", "ma_lo", "ma_hi", "md_lo", "md_hi", "mde")
+    return got.select("n", *(F.round(k, 4).alias(k) for k in names), F.round("p_above", 6).alias("p_above"))
+
+
+@query()
+def fiber_chain(t: Tables) -> DataFrame:
+    """Pieces of lines linked end to end where they face each other."""
+    w = ln.along(["user_id"], "event_id")
+    e = t.events.select("user_id", "event_id", "event_type", c("value").alias("x"), F.row_number().over(w).alias("i"), F.lead("value").over(w).alias("x1"))
+    ends = e.where("x1 is not null").select(F.col("event_id").alias("run"), (c("i") % 2).cast("int").alias("end"), c("event_type").alias("family"), "x", (c("event_id") % 40 / lit(2.0)).alias("y"), lit(0.0).alias("z"), F.signum(c("x1") - c("x")).alias("tx"), lit(0.0).alias("ty"), lit(0.0).alias("tz"))
+    return graph.chain_links(graph.end_links(ends.where("tx <> 0"), 1.0, 0.9, 0.5))
+
+
+@query()
+def recto_peaks(t: Tables) -> DataFrame:
+    return rays.ruled_peaks(t.events.withColumn("material", c("value") >= 5), "user_id", "event_id", "value", "material", 0.8, 5.0, 20, 2.0)
