@@ -107,13 +107,13 @@ def train(row: np.ndarray, at: np.ndarray, y: np.ndarray, inputs: np.ndarray, ro
     share = (y.sum() + 0.5) / (n + 1)
     p = [np.array([np.log(share / (1 - share))]), np.zeros(k), rng.normal(0, 0.05, (k, FACTORS))]
     m, s = [np.zeros_like(v) for v in p], [np.zeros_like(v) for v in p]
-    sums = lambda of, weight, size: np.stack([np.bincount(of, w, size) for w in weight.T], 1)
+    sums = lambda to, of, weight, size: np.stack([np.bincount(to, w[of], size) for w in weight.T], 1)  # noqa: E731  (a factor at a time, to hold little)
     for t in range(1, rounds + 1):
-        q = sums(row, p[2][at], n)
+        q = sums(row, at, p[2], n)
         z = p[0] + np.bincount(row, p[1][at] - 0.5 * (p[2] ** 2).sum(1)[at], n) + 0.5 * (q * q).sum(1)
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
         each = np.bincount(at, e[row], k)
-        g = [np.array([e.sum()]), each + decay * p[1], sums(at, (e[:, None] * q)[row], k) - each[:, None] * p[2] + decay * p[2]]
+        g = [np.array([e.sum()]), each + decay * p[1], sums(at, row, e[:, None] * q, k) - each[:, None] * p[2] + decay * p[2]]
         for i in range(3):
             m[i] = 0.9 * m[i] + 0.1 * g[i]
             s[i] = 0.999 * s[i] + 0.001 * g[i] ** 2
@@ -121,29 +121,33 @@ def train(row: np.ndarray, at: np.ndarray, y: np.ndarray, inputs: np.ndarray, ro
     return Machine(float(p[0][0]), inputs, p[1], p[2])
 
 
-def single_z(row: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
+def single_z(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, step: int = 1 << 20) -> np.ndarray:
     """z of the difference of document shares, of every bucket."""
     n1, n0 = y.sum(), len(y) - y.sum()
-    c1, c = (np.bincount(bucket, w, 1 << BUCKET_BITS) for w in (y[row], None))
+    c, c1 = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
+    for lo in range(0, len(row), step):  # bounded copies
+        some = bucket[lo : lo + step]
+        c += np.bincount(some, minlength=len(c))
+        c1 += np.bincount(some[y[row[lo : lo + step]] > 0], minlength=len(c))
     both = c / len(y)
     return (c1 / n1 - (c - c1) / n0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
 
 
-def pair_terms(start: np.ndarray, bucket: np.ndarray, y: np.ndarray, rows: int = PAIR_ROWS, step: int = 1024) -> np.ndarray:
+def pair_terms(start: np.ndarray, bucket: np.ndarray, y: np.ndarray, rows: int = PAIR_ROWS, step: int = 256) -> np.ndarray:
     """Buckets of pairs whose share differs by label far more than that of either bucket."""
     some = [np.flatnonzero(y == label)[:rows] for label in (0, 1)]
     size = np.diff(start)
     cells = [(np.repeat(np.arange(len(d)), size[d]), bucket[tk.expand(start[d], size[d])]) for d in some]
     count = np.stack([np.bincount(b, minlength=1 << BUCKET_BITS) for _, b in cells])
-    n = np.array([len(d) for d in some], float)
+    n = np.array([len(d) for d in some], np.float32)
     terms = np.flatnonzero((count >= np.maximum(PAIR_SHARE * n, 5)[:, None]).any(0))
 
     def z(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         share = (a + b) / n.sum()
-        return (b / n[1] - a / n[0]) / np.sqrt(share * (1 - share) * (1 / n).sum() + 1e-9)
+        return (b / n[1] - a / n[0]) / np.sqrt(share * (1 - share) * (1 / n).sum() + np.float32(1e-9))
 
     alone = z(*count[:, terms].astype(np.float32))
-    place = np.full(1 << BUCKET_BITS, -1)
+    place = np.full(1 << BUCKET_BITS, -1, np.int32)
     place[terms] = np.arange(len(terms))
     dense = []
     for (r, b), d in zip(cells, some, strict=True):
@@ -189,16 +193,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     got = rows.where(F.col("h") <= last).mapInArrow(_buckets_of, "h long, y long, buckets array<int>").toArrow().combine_chunks().sort_by("h")  # arrival order must not matter
     lists = got["buckets"].combine_chunks()
     size, y = np.diff(lists.offsets.to_numpy()), got["y"].to_numpy().astype(np.float64)
-    return learn(np.concatenate(([0], np.cumsum(size))).astype(np.int64), lists.flatten().to_numpy().astype(np.int64), y)
+    return learn(np.concatenate(([0], np.cumsum(size))).astype(np.int64), lists.flatten().to_numpy(), y)
 
 
 def learn(start: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> Machine:
     """Chooses inputs and trains; row i holds the distinct buckets start[i] to start[i + 1]."""
-    row = np.repeat(np.arange(len(y)), np.diff(start))
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(start))
     inputs = np.union1d(np.flatnonzero(np.abs(single_z(row, bucket, y)) >= MIN_Z), pair_terms(start, bucket, y))
-    at = np.searchsorted(inputs, bucket)
-    hit = np.flatnonzero(inputs[np.minimum(at, len(inputs) - 1)] == bucket) if len(inputs) else np.zeros(0, np.int64)
-    return train(row[hit], at[hit], y, inputs)
+    place = np.full(1 << BUCKET_BITS, -1, np.int32)
+    place[inputs] = np.arange(len(inputs))
+    hit = place[bucket] >= 0
+    return train(row[hit], place[bucket[hit]], y, inputs)
 
 
 def score(docs: DataFrame, machine: Machine, out: str = "score") -> DataFrame:
