@@ -42,6 +42,8 @@ WINDOW = 20
 SEED = 4
 HOT = 20_000
 NO_ID = (1 << 63) - 1
+#: Words up to which suffixes are put in order; longer factors are followed on from there.
+LONG = 64
 #: Words that a task parses at once.
 _PARSED = 400_000
 
@@ -166,7 +168,10 @@ def _ranked(*columns: np.ndarray) -> np.ndarray:
     out = columns[0]
     for c in columns[1:]:
         low = int(c.min(initial=0))
-        out = np.unique(out, return_inverse=True)[1] * (int(c.max(initial=0)) - low + 1) + (c - low)
+        width = int(c.max(initial=0)) - low + 1
+        if len(out) and (int(out.max()) - min(int(out.min()), 0) + 1) * width >= 1 << 62:
+            out = np.unique(out, return_inverse=True)[1]
+        out = out * width + (c - low)
     return np.unique(out, return_inverse=True)[1]
 
 
@@ -214,7 +219,7 @@ class Index:
         self.end = end
         ranks, width = [_ranked(block, number)], 1
         room = end - np.arange(n)
-        while width < room.max(initial=1):
+        while width < min(room.max(initial=1), LONG):
             r = ranks[-1]
             after = np.full(n, -1)
             fits = np.flatnonzero(room > width)
@@ -235,11 +240,20 @@ class Index:
     def _common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Words that two places have in common from there on, within their segments."""
         length = np.zeros(len(p), np.int64)
-        for k in range(len(self.ranks) - 1, -1, -1):
-            step = 1 << k
-            a, b = p + length, q + length
-            fits = np.flatnonzero((a + step <= self.end[p]) & (b + step <= self.end[q]))
-            length[fits[self.ranks[k][a[fits]] == self.ranks[k][b[fits]]]] += step
+        room = np.minimum(self.end[p] - p, self.end[q] - q)
+
+        def extend(k: int, among: np.ndarray) -> np.ndarray:
+            among = among[length[among] + (1 << k) <= room[among]]
+            r, n = self.ranks[k], length[among]
+            among = among[r[p[among] + n] == r[q[among] + n]]
+            length[among] += 1 << k
+            return among
+
+        more = np.arange(len(p))
+        while len(more):  # more than once for factors of several times LONG words
+            more = extend(len(self.ranks) - 1, more)
+        for k in range(len(self.ranks) - 2, -1, -1):
+            extend(k, np.arange(len(p)))
         return length
 
     def parse(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -323,8 +337,9 @@ def factors(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     # a table of its own, as a plain side whose partner Spark can split
     repeated = scratch.save(places.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / hot).cast("int").alias("cuts")), "anchors")
     with tidy(docs.sparkSession):
-        asked = places.join(repeated, "anchor").groupBy("id", "copy").agg(F.collect_list(F.struct("anchor", "cuts")).alias("anchors"))
-    segments = keyed.select("id", "copy", "text").join(asked, ["id", "copy"]).select("id", "copy", "text", "anchors").mapInArrow(_segments(window), _SEGMENT)
+        asked = places.select("anchor", "id", "copy").join(repeated, "anchor").groupBy("id", "copy").agg(F.collect_list(F.struct("anchor", "cuts")).alias("anchors"))
+    # the same columns as in substring_dedup, so that texts are dealt by id once for both
+    segments = keyed.join(asked, ["id", "copy"]).select("id", "copy", "doc_id", "text", "anchors").mapInArrow(_segments(window), _SEGMENT)
     blocks = segments.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub", "id", "start", "copy")
     return blocks.mapInArrow(_parse(window), _FACTOR)
 
@@ -354,5 +369,5 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def substring_dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """One row a document: doc_id, kept_text, n_words, n_removed, kept_sha256."""
     spans = factors(docs, window, hot).groupBy("id", "copy").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
-    joined = _keyed(docs).join(spans, ["id", "copy"], "left").select("doc_id", "text", "spans")
+    joined = _keyed(docs).join(spans, ["id", "copy"], "left").select("id", "copy", "doc_id", "text", "spans")
     return joined.mapInArrow(_keep, "doc_id long, kept_text string, n_words long, n_removed long, kept_sha256 string")
