@@ -111,7 +111,8 @@ def priority_cover(cells: DataFrame, item: str, cell: list[str], priority: str,
     dropped if more than ``cover`` of its cells belong to items kept before it.
 
     A round decides every item whose overlapping items of higher priority are all decided,
-    so that the result is that of going through them one by one."""
+    so that the result is that of going through them one by one; there are as many rounds as
+    the longest chain of overlapping items in falling priority."""
     from gridloom.operators.graph import checkpoint
 
     own = checkpoint(cells.groupBy(item, *cell).agg(F.max(priority).alias("__p")))

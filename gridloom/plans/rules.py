@@ -416,15 +416,15 @@ def recto_fuse(t: Tables) -> DataFrame:
     return sf.dominant(p, ["z", "y", "x"], "s", "l_quantity", 8, 2)
 
 
-@query("""with recursive c as (select l_suppkey as i, list(distinct l_partkey // 8) as cells from lineitem group by 1), o as (select i, cells, row_number() over (order by len(cells) desc, i) as k from c),
+@query("""with recursive c as (select l_orderkey // 50 as i, list(distinct (l_orderkey + l_partkey % 60) // 20) as cells, sum(cast(l_quantity as bigint)) as p from lineitem group by 1), o as (select i, cells, row_number() over (order by p desc, i) as k from c),
     r(k, i, kept, taken) as (select 0::bigint, null::bigint, false, []::bigint[] union all
         select o.k, o.i, len(list_intersect(o.cells, r.taken)) <= 0.5 * len(o.cells), case when len(list_intersect(o.cells, r.taken)) <= 0.5 * len(o.cells) then list_distinct(list_concat(r.taken, o.cells)) else r.taken end from r join o on o.k = r.k + 1)
     select i as item from r where kept""")
 def priority_dedup(t: Tables) -> DataFrame:
-    """Surfaces in order of size, without those that kept ones cover by more than half."""
-    cells = t.lineitem.select(c("l_suppkey").alias("item"), F.floor(c("l_partkey") / 8).alias("cell")).distinct()
-    size = cells.groupBy("item").agg(F.count("*").alias("size"))
-    return sf.priority_cover(cells.join(size, "item"), "item", ["cell"], "size", 0.5)
+    """Surfaces in order of their sum, without those that kept ones cover by more than half."""
+    rows = t.lineitem.select(F.floor(c("l_orderkey") / 50).alias("item"), F.floor((c("l_orderkey") + c("l_partkey") % 60) / 20).alias("cell"), c("l_quantity").cast("long").alias("q"))
+    total = rows.groupBy("item").agg(F.sum("q").alias("total"))
+    return sf.priority_cover(rows.select("item", "cell").distinct().join(total, "item"), "item", ["cell"], "total", 0.5)
 
 
 @query("""with c as (select l_orderkey % 64 as a, l_partkey % 64 as b, bool_and(l_quantity >= 13) as f from lineitem group by 1, 2),
