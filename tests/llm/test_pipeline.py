@@ -43,3 +43,18 @@ def test_oracles(spark, name):
 def test_registered():
     made = __spark_entry__.queries()
     assert "pipeline" in made and all(sum(n.startswith(f"op{k}_") for n in made) == 1 for k in range(1, 11))
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_tables(spark, odd, none, wide, stage):
+    """Nulls, blank and long texts, repeated rows and ids, clashing names, no rows at all."""
+    name, f = corpus_pipeline.STAGES[stage]
+    got = f(spark, odd, DIR)
+    if name == "packing":
+        assert got.select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
+        assert f(spark, wide, DIR).count() == got.count()
+    else:
+        # copies: 6 of 5, one of the equal rows of 10; all else stays
+        assert got.columns == odd.columns and got.count() == odd.count() - 2 * (name == "near_dedup")
+        assert f(spark, wide, DIR).columns == wide.columns
+    assert f(spark, none, DIR).count() == 0
