@@ -6,6 +6,10 @@ and windows over those, however many rows went in.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,3 +114,32 @@ def bootstrap_means(df: DataFrame, stratum: str, value: str, draws: int, seed: i
     picks = rows.select(stratum, "__i", "__n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     picks = picks.withColumn("__i", F.pmod(F.xxhash64(F.lit(seed), "draw", stratum, "__i"), F.col("__n")).cast("int"))
     return picks.join(rows.select(stratum, "__i", value), [stratum, "__i"]).groupBy("draw").agg(F.avg(value).alias("mean"))
+
+
+def covariance(df: DataFrame, vector: str) -> np.ndarray:
+    """Covariance of the components of equally long vectors: each task sends one Gram matrix,
+    dimension squared numbers; vectors with unknown components are left out."""
+    v = F.col(vector)
+    rows = df.where(v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))).select(v.cast("array<double>").alias("v"))
+
+    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total, square = 0, 0.0, 0.0
+        for x in batches:
+            m = np.stack(x["v"].to_numpy()) if len(x) else np.zeros((0, 1))
+            n, total, square = n + len(m), total + m.sum(0), square + m.T @ m
+        if n:
+            yield pd.DataFrame({"i": np.arange(len(total)), "n": n, "total": total, "row": list(square)})
+
+    each = rows.mapInPandas(gram, "i int, n long, total double, row array<double>")
+    got = each.groupBy("i").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.collect_list("row").alias("rows")).orderBy("i").select("n", "total", F.expr("aggregate(slice(rows, 2, size(rows)), rows[0], (a, r) -> zip_with(a, r, (x, y) -> x + y))").alias("row")).toPandas()
+    if not len(got):
+        return np.zeros((0, 0))
+    n, mean = int(got["n"][0]), got["total"].to_numpy() / got["n"][0]
+    return np.stack(got["row"].to_numpy()) / n - np.outer(mean, mean)
+
+
+def project(df: DataFrame, vector: str, mean: list[float], axes: list[list[float]], out: str = "projected") -> DataFrame:
+    """Vectors less their mean, on each axis."""
+    off = F.zip_with(F.col(vector).cast("array<double>"), F.array(*(F.lit(float(m)) for m in mean)), lambda x, m: x - m)
+    on = lambda axis: F.aggregate(F.zip_with(off, F.array(*(F.lit(float(a)) for a in axis)), lambda x, a: x * a), F.lit(0.0), lambda s, x: s + x)
+    return df.withColumn(out, F.array(*(on(a) for a in axes)))

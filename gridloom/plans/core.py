@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import circular
-from gridloom.operators import fuse, joins, pooling, stats, windows
+from gridloom.operators import fuse, joins, pooling, quantiles, stats, windows
 from gridloom.plans.base import Tables, query
 from gridloom.sources import boxscan
 
@@ -87,22 +87,20 @@ def hist_quantile(t: Tables) -> DataFrame:
 
 @query("""select l_returnflag, round(quantile_cont(l_extendedprice, 0.025::double), 6) as p025, round(quantile_cont(l_extendedprice, 0.5::double), 6) as p50, round(quantile_cont(l_extendedprice, 0.975::double), 6) as p975 from lineitem group by l_returnflag""")
 def percentile_linear(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_returnflag").agg(*(F.round(F.percentile("l_extendedprice", F.lit(q)), 6).alias(n) for q, n in ((0.025, "p025"), (0.5, "p50"), (0.975, "p975"))))
+    got = quantiles.quantiles(t.lineitem, ["l_returnflag"], "l_extendedprice", {"p025": 0.025, "p50": 0.5, "p975": 0.975})
+    return got.select("l_returnflag", *(F.round(n, 6).alias(n) for n in ("p025", "p50", "p975")))
 
 
 @query("""with r as (select c_nationkey, c_acctbal, row_number() over (partition by c_nationkey order by c_acctbal, c_custkey) as i, count(*) over (partition by c_nationkey) as n from customer)
     select c_nationkey, c_acctbal as median_upper from r where i = n // 2 + 1""")
 def median_upper(t: Tables) -> DataFrame:
-    w = Window.partitionBy("c_nationkey")
-    r = t.customer.withColumns({"i": F.row_number().over(w.orderBy("c_acctbal", "c_custkey")), "n": F.count("*").over(w)})
-    return r.where(F.col("i") == F.floor(F.col("n") / 2) + 1).select("c_nationkey", F.col("c_acctbal").alias("median_upper"))
+    return quantiles.upper_median(t.customer, ["c_nationkey"], "c_acctbal", "median_upper")
 
 
 @query("""with m as (select c_nationkey, median(c_acctbal) as med from customer group by 1)
     select c.c_nationkey, round(1.4826::double * median(abs(c_acctbal - med)), 6) as scale from customer c join m on c.c_nationkey = m.c_nationkey group by 1""")
 def mad_scale(t: Tables) -> DataFrame:
-    med = t.customer.groupBy("c_nationkey").agg(F.median("c_acctbal").alias("med"))
-    return t.customer.join(F.broadcast(med), "c_nationkey").groupBy("c_nationkey").agg(F.round(1.4826 * F.median(F.abs(F.col("c_acctbal") - F.col("med"))), 6).alias("scale"))  # one row a nation
+    return quantiles.deviation_scale(t.customer, ["c_nationkey"], "c_acctbal").withColumn("scale", F.round("scale", 6))
 
 
 _PH = "2 * pi() / 252"

@@ -103,13 +103,7 @@ def emb_pca(t: Tables) -> DataFrame:
     eigenvectors (dimension squared numbers) are found on the driver."""
     import numpy as np
 
-    e = t.embeddings.where("embedding is not null").select(F.posexplode("embedding").alias("i", "v"), "vec_id")
-    pair = e.alias("p").join(e.alias("q"), "vec_id").groupBy(F.col("p.i").alias("i"), F.col("q.i").alias("j")).agg(F.covar_pop("p.v", "q.v").alias("c"))
-    rows = pair.collect()
-    n = 1 + max(r["i"] for r in rows)
-    m = np.zeros((n, n))
-    for r in rows:
-        m[r["i"], r["j"]] = r["c"]
+    m = stats.covariance(t.embeddings, "embedding")
     values = np.linalg.eigvalsh(m)[::-1][:8]
     return t.spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(values)], "axis int, variance double")
 
@@ -146,6 +140,8 @@ def _folder(t: Tables) -> str:
     """A fresh folder below the shared checkpoint folder; local only where there is none."""
     base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         return tempfile.mkdtemp(prefix="gridloom-")
     return f"{base}/stream-{uuid4().hex}"
 

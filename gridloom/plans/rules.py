@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import circular
-from gridloom.operators import bench, graph, grid, hashing, joins
+from gridloom.operators import bench, graph, grid, hashing, joins, quantiles
 from gridloom.operators import compare as cmp
 from gridloom.operators import fields as fd
 from gridloom.operators import lines as ln
@@ -132,6 +132,11 @@ def ink_teach(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.round(fd.soft_label(c("o_totalprice") / 500000, (c("o_custkey") % 100).cast("double") / 100, 0.7), 9).alias("soft"))
 
 
+@by_operator()
+def stretch_percentiles(t: Tables) -> DataFrame:
+    return _r(quantiles.quantiles(t.customer, ["c_nationkey"], "c_acctbal", {"lo": 0.02, "hi": 0.98}), lo=6, hi=6)
+
+
 @by_operator()
 def restore_stats(t: Tables) -> DataFrame:
     return _r(fd.summary(t.voxels, "v"), mean=6, sd=6)

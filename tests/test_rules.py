@@ -174,3 +174,24 @@ def test_bootstrap_by_hand_and_both_paths(spark):
         assert np.allclose(got, want)
     assert bench.bootstrap(a.limit(0), None, "box", "stratum", "m").count() == 0
     assert {r["box"] for r in bench.clean_set(spark.createDataFrame(pd.DataFrame({"box": ["p", "q", "r"], "ceil": [0.9, 0.5, float("nan")]})), "ceil", 0.8).collect()} == {"p", "r"}
+
+
+def test_quantiles_of_few_ranges(spark):
+    from gridloom.operators import quantiles
+
+    rng = np.random.default_rng(3)
+    x = pd.DataFrame({"k": rng.integers(0, 3, 400), "v": rng.integers(0, 40, 400).astype(float)})
+    x = pd.concat((x, pd.DataFrame({"k": [7, 8, 8], "v": [5.0, 1.0, 2.0]})))
+    got = quantiles.quantiles(spark.createDataFrame(x), ["k"], "v", {"a": 0.1, "m": 0.5, "z": 1.0}, ranges=5).toPandas().set_index("k")
+    for k, g in x.groupby("k"):
+        assert np.allclose(got.loc[k, ["a", "m", "z"]].astype(float), np.quantile(g["v"], [0.1, 0.5, 1.0]))
+
+
+def test_covariance_and_projection(spark):
+    from gridloom.operators import stats
+
+    x = np.random.default_rng(4).normal(size=(50, 3))
+    df = spark.createDataFrame([(r.tolist(),) for r in x] + [(None,), ([None, 1.0, 2.0],)], "v array<double>").repartition(4)
+    assert np.allclose(stats.covariance(df, "v"), np.cov(x.T, bias=True))
+    got = stats.project(df.limit(1), "v", [1.0, 0.0, 0.0], [[1.0, 0.0, 0.0], [0.0, 2.0, 0.0]]).first()
+    assert got["v"] is None or np.allclose(got["projected"], [got["v"][0] - 1, 2 * got["v"][1]])
