@@ -121,19 +121,25 @@ def train(row: np.ndarray, at: np.ndarray, y: np.ndarray, inputs: np.ndarray, ro
     return Machine(float(p[0][0]), inputs, p[1], p[2])
 
 
-def single_z(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+def _parts(start: np.ndarray, bucket: np.ndarray, step: int = 500) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row and bucket of the entries, some rows at a time, so that copies stay small."""
+    for lo in range(0, len(start) - 1, step):
+        hi = min(lo + step, len(start) - 1)
+        yield np.repeat(np.arange(lo, hi, dtype=np.int32), np.diff(start[lo : hi + 1])), bucket[start[lo] : start[hi]]
+
+
+def single_z(start: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
     """z of the difference of document shares, of every bucket."""
     n1, n0 = y.sum(), len(y) - y.sum()
     c, c1 = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
-    for lo in range(0, len(row), step):  # bounded copies
-        some = bucket[lo : lo + step]
+    for row, some in _parts(start, bucket):
         c += np.bincount(some, minlength=len(c))
-        c1 += np.bincount(some[y[row[lo : lo + step]] > 0], minlength=len(c))
+        c1 += np.bincount(some[y[row] > 0], minlength=len(c))
     both = c / len(y)
     return (c1 / n1 - (c - c1) / n0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
 
 
-def pair_terms(start: np.ndarray, bucket: np.ndarray, y: np.ndarray, rows: int = PAIR_ROWS, step: int = 256) -> np.ndarray:
+def pair_terms(start: np.ndarray, bucket: np.ndarray, y: np.ndarray, rows: int = PAIR_ROWS, step: int = 128) -> np.ndarray:
     """Buckets of pairs whose share differs by label far more than that of either bucket."""
     some = [np.flatnonzero(y == label)[:rows] for label in (0, 1)]
     size = np.diff(start)
@@ -192,18 +198,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
         return Machine(float(np.log((n1 + 0.5) / (n - n1 + 0.5))) if n else 0.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
     got = rows.where(F.col("h") <= last).mapInArrow(_buckets_of, "h long, y long, buckets array<int>").toArrow().combine_chunks().sort_by("h")  # arrival order must not matter
     lists = got["buckets"].combine_chunks()
-    size, y = np.diff(lists.offsets.to_numpy()), got["y"].to_numpy().astype(np.float64)
-    return learn(np.concatenate(([0], np.cumsum(size))).astype(np.int64), lists.flatten().to_numpy(), y)
+    start = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int64)
+    bucket, y = lists.flatten().to_numpy().copy(), got["y"].to_numpy().astype(np.float64)
+    del got, lists
+    pa.default_memory_pool().release_unused()
+    return learn(start, bucket, y)
 
 
 def learn(start: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> Machine:
     """Chooses inputs and trains; row i holds the distinct buckets start[i] to start[i + 1]."""
-    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(start))
-    inputs = np.union1d(np.flatnonzero(np.abs(single_z(row, bucket, y)) >= MIN_Z), pair_terms(start, bucket, y))
+    inputs = np.union1d(np.flatnonzero(np.abs(single_z(start, bucket, y)) >= MIN_Z), pair_terms(start, bucket, y))
     place = np.full(1 << BUCKET_BITS, -1, np.int32)
     place[inputs] = np.arange(len(inputs))
-    hit = place[bucket] >= 0
-    return train(row[hit], place[bucket[hit]], y, inputs)
+    rows, places = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for row, some in _parts(start, bucket):
+        at = place[some]
+        rows.append(row[at >= 0])
+        places.append(at[at >= 0])
+    return train(np.concatenate(rows), np.concatenate(places), y, inputs)
 
 
 def score(docs: DataFrame, machine: Machine, out: str = "score") -> DataFrame:

@@ -220,7 +220,7 @@ def test_terms_that_count_only_together(spark):
     docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     data, off = textkern.buffers(pa.array([r[1] for r in rows]))
     row, bucket = toxicity._distinct(*toxicity._terms(data, off))
-    z = toxicity.single_z(row, bucket, np.array([r[2] for r in rows], float))
+    z = toxicity.single_z(np.searchsorted(row, np.arange(len(rows) + 1)), bucket, np.array([r[2] for r in rows], float))
     words = toxicity._terms(*textkern.buffers(pa.array(["mention insult"])))[1][:2]
     assert (np.abs(z[words]) < 4).all()
     machine = toxicity.fit(docs, labels)
