@@ -71,6 +71,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 #: Queries that SQL can express, over the same whole tables.
 ORACLES = {
     "op1_substring_dedup": r"""
@@ -92,6 +98,26 @@ ORACLES = {
             from q join v on q.query_id <> v.vec_id and len(q.v) = len(v.v)),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op11_collocations": r"""
+        with p as (
+            select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+        w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from p),
+        s as (select lang, w, unnest(range(1, len(w) + 1)) as i from w),
+        g as (select lang, list_slice(w, i, i + k - 1) as g from s, (values (1), (2), (3)) t(k) where i + k - 1 <= len(w)),
+        f as (select lang, g, count(*)::hugeint as f from g group by lang, g having count(*) >= 10),
+        n as (select lang, sum(len(w))::bigint as n from w group by lang),
+        c as (select lang, g, f as a, unnest(range(1, len(g))) as k from f where len(g) >= 2),
+        x as (
+            select c.lang, c.g, c.a, c.k, l.f as l, r.f as r, 1000000 * c.a * c.a // (l.f * r.f) as score from c
+            join f l on l.lang = c.lang and l.g = list_slice(c.g, 1, c.k) join f r on r.lang = c.lang and r.g = list_slice(c.g, c.k + 1, len(c.g))),
+        b as (select *, row_number() over (partition by lang, g order by score, k) as place from x),
+        longer as (
+            select lang, g, max(f) as f from (select lang, f, unnest([list_slice(g, 1, 2), list_slice(g, 2, 3)]) as g from f where len(g) = 3) group by lang, g),
+        o as (
+            select b.*, row_number() over (partition by b.lang order by score desc, a desc, array_to_string(b.g, ' ')) as rank
+            from b left join longer on b.lang = longer.lang and b.g = longer.g where place = 1 and (longer.f is null or 100 * longer.f < 50 * a))
+        select o.lang, rank::bigint as rank, array_to_string(g, ' ') as phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+        from o join n on o.lang = n.lang where rank <= 2000""",
 }
 
 
