@@ -77,6 +77,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.spelling import variants
+
+    return variants(_table(spark, sf_dir, "documents"))
+
+
 #: Queries that SQL can express, over the same whole tables.
 ORACLES = {
     "op1_substring_dedup": r"""
