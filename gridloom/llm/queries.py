@@ -83,6 +83,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.embedding_dedup import classes
+
+    return classes(_table(spark, sf_dir, "embeddings"))
+
+
 #: Queries that SQL can express, over the same whole tables.
 ORACLES = {
     "op1_substring_dedup": r"""
@@ -124,6 +130,15 @@ ORACLES = {
             from b left join longer on b.lang = longer.lang and b.g = longer.g where place = 1 and (longer.f is null or 100 * longer.f < 50 * a))
         select o.lang, rank::bigint as rank, array_to_string(g, ' ') as phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
         from o join n on o.lang = n.lang where rank <= 2000""",
+    "op13_embedding_dedup": """
+        with recursive v as (select vec_id, embedding::double[] as v from embeddings
+            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        e as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.9),
+        r(vec_id, id) as (select vec_id, vec_id from embeddings union select e.b, r.id from r join e on r.vec_id = e.a),
+        c as (select vec_id, min(id) as component_id from r group by vec_id),
+        n as (select a, count(*) as n from e group by a)
+        select x.vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, x.vec_id = c.component_id as kept
+        from embeddings x join c on x.vec_id = c.vec_id left join n on x.vec_id = n.a""",
 }
 
 
