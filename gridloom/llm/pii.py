@@ -46,7 +46,7 @@ class Kind:
 
 KINDS = (
     Kind("email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", "true", 0.9, "e-?mail|contact|write"),
-    Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", rf"m rlike '^(?:{_BYTE}[.]){{3}}{_BYTE}$'", 0.6, "ip|host|address|server"),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", rf"m rlike '^(?:{_BYTE}[.]){{3}}{_BYTE}$'", 0.6, "ip|host|address|server"),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", r"[0-9](?:[ -]?[0-9]){12}", "length(translate(m, ' -', '')) between 13 and 19 and luhn_check(translate(m, ' -', ''))", 0.8, "card|visa|credit|pay"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", "length(translate(m, '+ ().-', '')) between 9 and 15", 0.7, "tel|phone|call|mobile|fax"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2} ?[A-Z0-9]", "aggregate(split(concat(substr(translate(m, ' ', ''), 5), substr(translate(m, ' ', ''), 1, 4)), ''), 0, (r, c) -> case when c = '' then r when c <= '9' then (r * 10 + cast(c as int)) % 97 else (r * 100 + ascii(c) - 55) % 97 end) = 1", 0.9, "iban|account|bank"),
@@ -90,6 +90,16 @@ def _shifted(kind: Kind, slices: str) -> Column:
     return F.expr(f"flatten({moved})")
 
 
+def _bound(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """docs with columns, each computed once.  The optimizer writes what a projection names
+    into every place that uses it, and into filters above, layer by layer; it does not
+    look through an explode, here of one element."""
+    held = fresh(docs, "pii_held")
+    kept = [c for c in docs.columns if c not in columns]
+    one = docs.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias(held))
+    return one.select(*kept, *(F.col(f"{held}.{n}").alias(n) for n in columns))
+
+
 def _replaced(docs: DataFrame, text: str, spans: str, out: str, by: str) -> DataFrame:
     """docs with ``out``: the text with each span replaced by ``by``, SQL on the span x and
     on ``more``, the characters that spans before it have not covered; what an earlier span
@@ -99,14 +109,14 @@ def _replaced(docs: DataFrame, text: str, spans: str, out: str, by: str) -> Data
     sliced = f"if(size({line}) > 0, sequence(0, (size({line}) - 1) div {SLICE}), cast(array() as array<int>))"
     end = lambda a, b: f"named_struct('byte', greatest({a}.byte, {b}.byte), 'at', greatest({a}.at, {b}.at))"
     zero = "named_struct('byte', 0, 'at', 0)"
-    docs = docs.withColumn(raw, F.col(text).cast("binary")).withColumn(line, F.expr(f"array_sort(transform({spans}, s -> struct(s.start as start, s.end as end, s.kind as kind, s.from as from, s.to as to)))"))
-    docs = docs.withColumn(top, F.expr(f"aggregate({sliced}, named_struct('now', {zero}, 'out', cast(array() as array<struct<byte:int,at:int>>)), (a, k) -> named_struct('now', {end('a.now', f"aggregate(slice({line}, k * {SLICE} + 1, {SLICE}), {zero}, (m, x) -> named_struct('byte', greatest(m.byte, x.to), 'at', greatest(m.at, x.end)))")}, 'out', array_append(a.out, a.now)))"))
+    docs = _bound(docs, {raw: F.col(text).cast("binary"), line: F.expr(f"array_sort(transform({spans}, s -> struct(s.start as start, s.end as end, s.kind as kind, s.from as from, s.to as to)))")})
+    docs = _bound(docs, {top: F.expr(f"aggregate({sliced}, named_struct('now', {zero}, 'out', cast(array() as array<struct<byte:int,at:int>>)), (a, k) -> named_struct('now', {end('a.now', f"aggregate(slice({line}, k * {SLICE} + 1, {SLICE}), {zero}, (m, x) -> named_struct('byte', greatest(m.byte, x.to), 'at', greatest(m.at, x.end)))")}, 'out', array_append(a.out, a.now)))")})
     pieces = f"""transform({sliced}, k -> aggregate(slice({line}, k * {SLICE} + 1, {SLICE}), named_struct('byte', {top}.out[k].byte, 'at', {top}.out[k].at, 'out', cast(array() as array<string>)),
         (a, x) -> case when x.from >= a.byte then named_struct('byte', x.to, 'at', x.end, 'out', array_append(a.out, concat(cast(substring({raw}, a.byte + 1, x.from - a.byte) as string), {by.replace('more', '(x.end - x.start)')})))
                        when x.to > a.byte then named_struct('byte', x.to, 'at', x.end, 'out', array_append(a.out, {by.replace('more', '(x.end - a.at)') if 'more' in by else "''"})) else a end,
         a -> array_join(a.out, '')))"""
     whole = f"concat(array_join({pieces}, ''), cast(substring({raw}, {top}.now.byte + 1) as string))"
-    return docs.withColumn(out, F.when(F.size(line) > 0, F.expr(whole)).otherwise(F.col(text))).drop(raw, line, top)
+    return _bound(docs, {out: F.when(F.size(line) > 0, F.expr(whole)).otherwise(F.col(text))}).drop(raw, line, top)
 
 
 def detect(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
@@ -117,16 +127,15 @@ def detect(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame
     names = {k.name: fresh(docs, f"pii_{k.name}") for k in KINDS}
 
     def found(df: DataFrame, kinds: list[Kind], source: str) -> DataFrame:
-        # each step is used more than once by the next, so that Spark keeps its value
-        df = df.withColumns({names[k.name]: _cut(source, k) for k in kinds})
-        df = df.withColumns({names[k.name]: _spans(k, names[k.name]) for k in kinds})
-        return df.withColumns({names[k.name]: _shifted(k, names[k.name]) for k in kinds})
+        df = _bound(df, {names[k.name]: _cut(source, k) for k in kinds})
+        df = _bound(df, {names[k.name]: _spans(k, names[k.name]) for k in kinds})
+        return _bound(df, {names[k.name]: _shifted(k, names[k.name]) for k in kinds})
 
     df = found(docs.withColumn(whole, F.coalesce(F.col(text), F.lit(""))), [k for k in KINDS if k.name in BASE], whole)
-    df = df.withColumn(out, F.concat(*(F.col(names[k]) for k in BASE))).drop(*(names[k] for k in BASE))
+    df = _bound(df, {out: F.concat(*(F.col(names[k]) for k in BASE))}).drop(*(names[k] for k in BASE))
     df = found(_replaced(df, whole, out, rest, "repeat('\\u0001', more)"), [k for k in KINDS if k.name not in BASE], rest)
     more = [F.expr(f"filter({names[k.name]}, s -> s.score >= {KEEP_SCORE}D)") for k in KINDS if k.name not in BASE]
-    return df.withColumn(out, F.concat(F.col(out), *more)).drop(whole, rest, *names.values())
+    return _bound(df, {out: F.concat(F.col(out), *more)}).drop(whole, rest, *names.values())
 
 
 def as_text(spans: str, only_base: bool = False) -> Column:
