@@ -7,27 +7,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.lines import gaussian
+from gridloom.operators.windows import islands
+
 
 def prominences(v: np.ndarray) -> list[tuple[int, float]]:
-    """Local maxima (the first of a plateau) and their prominence."""
-    out = []
+    """Local maxima (the first of a plateau) and their prominence.  A stack holds the
+    samples that no later one has overtaken, each with the lowest value since it; a sweep
+    either way thus knows how deep it was before the last higher sample."""
     n = len(v)
-    for i in range(n):
-        if (i and v[i - 1] >= v[i]) or (i + 1 < n and v[i + 1] > v[i]):
-            continue
-        if not i or i + 1 == n:
-            continue
-        left = right = v[i]
-        for j in range(i - 1, -1, -1):
-            if v[j] > v[i]:
-                break
-            left = min(left, v[j])
-        for j in range(i + 1, n):
-            if v[j] > v[i]:
-                break
-            right = min(right, v[j])
-        out.append((i, float(v[i] - max(left, right))))
-    return out
+    floors = np.empty((2, n))
+    for row, sweep in ((0, range(n)), (1, range(n - 1, -1, -1))):
+        stack: list[tuple[float, float]] = []
+        for i in sweep:
+            low = v[i]
+            while stack and stack[-1][0] <= v[i]:
+                low = min(low, stack.pop()[1])
+            stack.append((v[i], low))
+            floors[row, i] = low
+    top = 1 + np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] >= v[2:])) if n > 2 else np.zeros(0, int)
+    return [(int(i), float(v[i] - floors[:, i].max())) for i in top]
 
 
 def peaks(df: DataFrame, key: str, order: str, value: str, least: float, apart: int = 1) -> DataFrame:
@@ -47,70 +46,44 @@ def peaks(df: DataFrame, key: str, order: str, value: str, least: float, apart:
     return df.groupBy(key).applyInPandas(one, f"{key} {dict(df.dtypes)[key]}, place long, height double, prominence double")
 
 
-def smoothed(v: np.ndarray, sigma: float) -> np.ndarray:
-    """Gaussian smoothing over three sigma among known samples; unknown ones stay unknown."""
-    reach = int(np.ceil(3 * sigma)) if sigma > 0 else 0
-    if not reach or not len(v):
-        return v.astype(float)
-    taps, known = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2), np.isfinite(v)
-    near = lambda x: np.lib.stride_tricks.sliding_window_view(np.pad(x, reach), 2 * reach + 1) @ taps
-    return np.where(known, near(np.where(known, v, 0.0)) / np.maximum(near(known.astype(float)), 1e-300), np.nan)
-
-
-def profile_peaks(v: np.ndarray, material: np.ndarray, sigma: float, least: float, window: int, apart: float) -> list[tuple[float, float, float, float]]:
-    """Peaks of a smoothed profile that begin inside material: place (between samples),
-    height, prominence within ``window`` samples either way, and width at half prominence.
-    A plateau is one peak at its middle.  Of two neighbours nearer than ``apart`` the higher
-    stays, again and again."""
-    s, out, i = smoothed(v, sigma), [], 1
-    n = len(s)
-    while i + 1 < n:
-        end = i
-        if material[i] and np.isfinite(s[i]) and s[i] > s[i - 1]:
-            while end + 1 < n and s[end + 1] == s[i]:
-                end += 1
-            if end + 1 < n and s[end + 1] < s[i]:
-                floor = []
-                for side in (s[max(0, i - window) : i][::-1], s[end + 1 : end + 1 + window]):
-                    stop = np.flatnonzero(~(side <= s[i]))  # higher, or unknown
-                    side = side[: stop[0]] if len(stop) else side
-                    floor.append(min(side.min(initial=s[i]), s[i]))
-                tall = float(s[i] - max(floor))
-                if tall >= least:
-                    place = (i + end) / 2
-                    if end == i:
-                        a, b, c = s[i - 1 : i + 2]
-                        bend = a - 2 * b + c
-                        if bend < 0 and abs(0.5 * (a - c) / bend) < 1:
-                            place = i + 0.5 * (a - c) / bend
-                    low, high, half = i, end, s[i] - 0.5 * tall
-                    while low > 0 and s[low - 1] > half:
-                        low -= 1
-                    while high + 1 < n and s[high + 1] > half:
-                        high += 1
-                    out.append((float(place), float(s[i]), tall, float(high - low + 1)))
-        i = end + 1
-    again = apart > 0
-    while again:
-        again, kept = False, []
-        for p in out:
-            if kept and p[0] - kept[-1][0] < apart:
-                kept[-1], again = p if p[1] > kept[-1][1] else kept[-1], True
-            else:
-                kept.append(p)
-        out = kept
-    return out
-
-
 def ruled_peaks(df: DataFrame, key: str, order: str, value: str, material: str, sigma: float, least: float, window: int, apart: float) -> DataFrame:
-    """``profile_peaks`` of every profile; a profile is one bounded group."""
-
-    def one(k: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(order, kind="stable")
-        got = profile_peaks(x[value].to_numpy(float), x[material].to_numpy(bool), sigma, least, window, apart)
-        return pd.DataFrame({key: [k[0]] * len(got), **{name: [p[i] for p in got] for i, name in enumerate(("place", "height", "prominence", "width"))}})
-
-    return df.groupBy(key).applyInPandas(one, f"{key} {dict(df.dtypes)[key]}, place double, height double, prominence double, width double")
+    """Peaks of smoothed profiles that begin inside material: key, place (in samples from 0,
+    between samples where a parabola says so), height, prominence within ``window`` samples
+    either way, and width at half prominence.
+
+    A run of equal samples above both its neighbours is one peak at its middle.  A side
+    ends at a higher or unknown sample.  Of two neighbours nearer than ``apart`` the higher
+    stays, the earlier if they are level.  Only peaks that stand that near to each other
+    are brought together."""
+    w = Window.partitionBy(key).orderBy(order)
+    known = F.when(~F.isnan(value), F.col(value))
+    rows = df.select(key, order, F.col(material).alias("__m"), known.alias("__v"))
+    rows = rows.withColumn("__s", gaussian(rows, [key], order, "__v", sigma) if sigma > 0 else F.col("__v"))
+    side = lambda lo, hi: F.collect_list(F.struct(F.col("__s").alias("v"))).over(w.rowsBetween(lo, hi))
+    rows = rows.withColumns({"__at": F.row_number().over(w) - 1, "__before": F.lag("__s").over(w), "__after": F.lead("__s").over(w), "__left": F.reverse(side(-window, -1)), "__right": side(1, window)})
+    runs = islands(rows, [key], [order], F.coalesce(F.col("__before") == F.col("__s"), F.lit(False))).where("__s is not null")
+    first, last = (lambda n: F.min_by(n, "__at")), (lambda n: F.max_by(n, "__at"))
+    top = runs.groupBy(key, "run").agg(F.min("__at").alias("i"), F.max("__at").alias("j"), first("__s").alias("h"), first("__m").alias("m"), first("__before").alias("a"), last("__after").alias("b"), first("__left").alias("left"), last("__right").alias("right"))
+    top = top.where("m and a < h and b < h")
+
+    def until(side: str, stops: str) -> str:
+        """How many samples of a side come before the first that stops it."""
+        at = f"array_position(transform({side}, x -> coalesce({stops}, true)), true)"
+        return f"if({at} = 0, size({side}), cast({at} as int) - 1)"
+
+    low = lambda s: F.expr(f"coalesce(array_min(transform(slice({s}, 1, {until(s, 'x.v > h')}), x -> x.v)), h)")
+    top = top.withColumn("tall", F.col("h") - F.greatest(low("left"), low("right"))).where(F.col("tall") >= least)
+    wide = F.expr(f"j - i + 1 + {until('left', 'x.v <= h - tall / 2')} + {until('right', 'x.v <= h - tall / 2')}")
+    shift = F.expr("case when i = j and a - 2 * h + b < 0 then 0.5D * (a - b) / (a - 2 * h + b) end")
+    place = F.when(F.abs(shift) < 1, F.col("i") + shift).otherwise((F.col("i") + F.col("j")) / 2)
+    found = top.select(key, place.alias("place"), F.col("h").alias("height"), F.col("tall").alias("prominence"), wide.cast("double").alias("width"))
+    if apart <= 0:
+        return found
+    near = F.col("place") - F.lag("place").over(Window.partitionBy(key).orderBy("place")) < apart
+    groups = islands(found, [key], ["place"], near).groupBy(key, "run").agg(F.sort_array(F.collect_list(F.struct("place", "height", "prominence", "width"))).alias("p"))
+    kept = f"""aggregate(p, slice(p, 1, 0), (k, x) -> case when size(k) = 0 or x.place - element_at(k, -1).place >= {apart!r}D then array_append(k, x)
+        when x.height > element_at(k, -1).height then array_append(slice(k, 1, size(k) - 1), x) else k end)"""
+    return groups.select(key, F.explode(F.expr(kept)).alias("x")).select(key, "x.*")
 
 
 def crossings(df: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -528,6 +528,23 @@ def fiber_chain(t: Tables) -> DataFrame:
     return graph.chain_links(graph.end_links(ends.where("tx <> 0"), 1.0, 0.9, 0.5))
 
 
-@query()
+@query("""with recursive e as (select user_id, list(value order by event_id) as v from events group by user_id),
+    s as (select user_id, v, list_transform(range(1, len(v) + 1), lambda i: list_sum(list_transform(range(-3, 4), lambda d: case when i + d between 1 and len(v) then v[i + d] * exp(-0.5 * (d / 0.8) * (d / 0.8)) else 0 end))
+        / list_sum(list_transform(range(-3, 4), lambda d: case when i + d between 1 and len(v) then exp(-0.5 * (d / 0.8) * (d / 0.8)) else 0 end))) as s from e),
+    i as (select user_id, v, s, unnest(range(2, len(s))) as i from s),
+    c as (select user_id, i, s[i] as h, s[i - 1] as a, s[i + 1] as b, list_reverse(list_slice(s, greatest(i - 20, 1), i - 1)) as l, list_slice(s, i + 1, i + 20) as r from i where v[i] >= 5 and s[i] > s[i - 1] and s[i] > s[i + 1]),
+    f as (select *, coalesce(nullif(list_position(list_transform(l, lambda x: x > h), true), 0), len(l) + 1) as cl, coalesce(nullif(list_position(list_transform(r, lambda x: x > h), true), 0), len(r) + 1) as cr from c),
+    t as (select *, h - greatest(list_min(list_slice(l, 1, cl - 1)), list_min(list_slice(r, 1, cr - 1))) as tall from f),
+    p as (select user_id, row_number() over (partition by user_id order by i) as k, i - 1 + 0.5 * (a - b) / (a - 2 * h + b) as place, h as height, tall as prominence,
+        list_position(list_transform(l, lambda x: x <= h - tall / 2), true) + list_position(list_transform(r, lambda x: x <= h - tall / 2), true) - 1 as width from t where tall >= 5),
+    m(user_id, k, held) as (
+        select user_id, k, [{place: place, height: height, prominence: prominence, width: width}] from p where k = 1
+        union all
+        select p.user_id, p.k, case when p.place - held[-1].place >= 2 then list_append(held, {place: p.place, height: p.height, prominence: p.prominence, width: p.width})
+            when p.height > held[-1].height then list_append(list_slice(held, 1, len(held) - 1), {place: p.place, height: p.height, prominence: p.prominence, width: p.width}) else held end
+        from m join p on m.user_id = p.user_id and p.k = m.k + 1),
+    o as (select user_id, unnest(arg_max(held, k)) as x from m group by user_id)
+    select user_id, round(x.place, 6) as place, round(x.height, 6) as height, round(x.prominence, 6) as prominence, x.width::double as width from o""")
 def recto_peaks(t: Tables) -> DataFrame:
-    return rays.ruled_peaks(t.events.withColumn("material", c("value") >= 5), "user_id", "event_id", "value", "material", 0.8, 5.0, 20, 2.0)
+    found = rays.ruled_peaks(t.events.withColumn("material", c("value") >= 5), "user_id", "event_id", "value", "material", 0.8, 5.0, 20, 2.0)
+    return _r(found, place=6, height=6, prominence=6)

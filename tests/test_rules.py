@@ -82,25 +82,52 @@ def brute_peaks(v, least, window):
     return out
 
 
-def test_peaks_by_definition():
+def found_peaks(spark, profiles, material=lambda k, i: True, sigma=0.0, least=2.0, window=5, apart=0.0):
+    rows = [(k, i, None if x is None else float(x), material(k, i)) for k, v in enumerate(profiles) for i, x in enumerate(v)]
+    got = rays.ruled_peaks(spark.createDataFrame(rows, "k long, i long, v double, m boolean"), "k", "i", "v", "m", sigma, least, window, apart)
+    out = {k: [] for k in range(len(profiles))}
+    for r in sorted(got.collect()):
+        out[r.k].append(tuple(r)[1:])
+    return out
+
+
+def test_peaks_by_definition(spark):
     rng = random.Random(2)
-    for _ in range(200):
-        v = np.array([rng.randrange(6) for _ in range(rng.randrange(0, 40))], float)
-        got = rays.profile_peaks(v, np.ones(len(v), bool), 0, 2, 5, 0)
-        want = brute_peaks(v.tolist(), 2, 5)
+    profiles = [[rng.randrange(6) for _ in range(rng.randrange(0, 40))] for _ in range(150)]
+    for k, got in found_peaks(spark, profiles).items():
+        want = brute_peaks([float(x) for x in profiles[k]], 2, 5)
         assert [(h, p) for _, h, p, _ in got] == [(h, p) for _, h, p in want]
-        assert all(abs(a[0] - b[0]) < 1 for a, b in zip(got, want))
-
-
-def test_peaks_rules():
-    v = np.array([0, 4, 0, 0, 9, 9, 0, 8, 0.0])
-    all_ = np.ones(9, bool)
-    assert [p[0] for p in rays.profile_peaks(v, all_, 0, 1, 20, 0)] == [1.0, 4.5, 7.0]
-    assert [p[0] for p in rays.profile_peaks(v, all_, 0, 1, 20, 3)] == [1.0, 4.5]  # of two near ones the higher
-    assert [p[0] for p in rays.profile_peaks(v, np.arange(9) > 2, 0, 1, 20, 0)] == [4.5, 7.0]
-    assert rays.profile_peaks(v, all_, 0, 1, 20, 0)[1][3] == 2.0  # width at half prominence
-    flat = rays.smoothed(np.array([1.0, np.nan, 3.0]), 1.0)
-    assert np.isnan(flat[1]) and 1 < flat[0] < flat[2] < 3
+        assert all(abs(a[0] - b[0]) < 1 for a, b in zip(got, want, strict=True))
+
+
+def test_peaks_rules(spark):
+    v = [0, 4, 0, 0, 9, 9, 0, 8, 0.0]
+    at = lambda **more: [p[0] for p in found_peaks(spark, [v], least=1.0, window=20, **more)[0]]
+    assert at() == [1.0, 4.5, 7.0]
+    assert at(apart=3.0) == [1.0, 4.5]  # of two near ones the higher
+    assert at(material=lambda k, i: i > 2) == [4.5, 7.0]
+    assert found_peaks(spark, [v], least=1.0, window=20)[0][1][3] == 2.0  # width at half prominence
+    # a higher or unknown sample ends a side; level neighbours: the earlier stays, one after another
+    gaps = found_peaks(spark, [[0, 5, 3, 9, 0], [None, 5, 1], [0, 5, None, 7, 0], [0, 5, 0, 5, 0, 6, 0, 4, 0]], least=1.0, window=20, apart=2.5)
+    assert gaps == {0: [(2.9, 9.0, 9.0, 1.0)], 1: [], 2: [], 3: [(1.0, 5.0, 5.0, 1.0), (5.0, 6.0, 6.0, 1.0)]}
+
+
+def test_peaks_are_smoothed_first(spark):
+    got = found_peaks(spark, [[0, 0, 0, 8, 0, 0, 0, None, 3, 4, 3]], sigma=1.0, least=1.0, window=20)[0]
+    assert [round(p[0], 6) for p in got] == [3.0] and 0 < got[0][1] < 8
+
+
+def test_prominences_by_definition():
+    rng = random.Random(4)
+    for _ in range(200):
+        v = np.array([rng.randrange(7) for _ in range(rng.randrange(0, 30))], float)
+        want = []
+        for i in range(1, len(v) - 1):
+            if v[i - 1] < v[i] >= v[i + 1]:
+                higher = [k for k in range(len(v)) if v[k] > v[i]]
+                left, right = max([k for k in higher if k < i], default=-1), min([k for k in higher if k > i], default=len(v))
+                want.append((i, v[i] - max(v[left + 1 : i + 1].min(), v[i:right].min())))
+        assert rays.prominences(v) == want
 
 
 def test_nearest_however_far(spark):
