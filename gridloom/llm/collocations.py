@@ -39,7 +39,7 @@ from gridloom.llm import textkern as tk
 from gridloom.llm.scratch import Scratch
 
 WORDS, LEAST, COVER, TOP = 3, 10, 50, 2000
-CHUNK, RANGE = 6 << 20, 1 << 20
+CHUNK, RANGE = 4 << 20, 1 << 19
 #: The sample that bounds are taken from: about so many texts, so many suffixes of each,
 #: so many bytes of each suffix.
 SAMPLE, SAMPLE_KEYS, KEY_BYTES = 5000, 32, 64
