@@ -72,11 +72,12 @@ def block_bootstrap(rows: DataFrame, reference: str, draws: int = 1000, seed: in
     dealt = hist.join(number, "block").select("no", "model", "truth", "value", "n", chunks).withColumn("part", F.floor(c("no") / BLOCKS))
     sums = dealt.groupBy("chunk", "part").applyInPandas(some, "draw long, model string, sums array<double>")
 
-    def areas(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        s = np.stack(x["sums"].to_list()).sum(0)
-        return pd.DataFrame({"draw": [key[0]], "model": [key[1]], "auc": [float(area(s[256:], s[:256]))]})
+    def areas(x: pd.DataFrame) -> pd.DataFrame:
+        s = x.groupby(["draw", "model"])["sums"].agg(lambda rows: np.stack(rows.to_list()).sum(0)).reset_index()
+        both = np.stack(s["sums"].to_list())
+        return s[["draw", "model"]].assign(auc=area(both[:, 256:], both[:, :256]))
 
-    drawn = scratch.save(sums.groupBy("draw", "model").applyInPandas(areas, "draw long, model string, auc double"))
+    drawn = scratch.save(sums.groupBy(F.floor(c("draw") / DRAWS)).applyInPandas(areas, "draw long, model string, auc double"))
     against = drawn.join(drawn.where(c("model") == reference).select("draw", c("auc").alias("ref")), "draw").withColumn("delta", c("auc") - c("ref"))
     ends = against.groupBy("model").agg(F.percentile("delta", F.lit(0.025)).alias("low"), F.percentile("delta", F.lit(0.975)).alias("high"))
     ref = base.where(c("model") == reference).select(c("auc").alias("ref"))

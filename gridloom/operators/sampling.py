@@ -88,7 +88,7 @@ def over_boxes(cells: DataFrame, function: BoxFunction, returns: str, halo: int
 def register_box_function(spark: SparkSession, name: str, function: BoxFunction, returns: str, halo: int = 0, chunk: int = CHUNK, fill: float = 0.0) -> str:
     """Makes the function callable from SQL, and returns the text of its table argument:
 
-        select * from name(table(boxed) partition by cz, cy, cx)
+        select * from name(table(boxed) partition by (cz, cy, cx))
 
     where ``boxed`` is a view of ``with_boxes(cells, halo, chunk)``."""
     from pyspark.sql.functions import udtf
@@ -110,7 +110,7 @@ def register_box_function(spark: SparkSession, name: str, function: BoxFunction,
             yield from function(grid, tuple(int(x) for x in origin))
 
     spark.udtf.register(name, udtf(Boxes, returnType=returns))
-    return f"{name}(table(boxed) partition by cz, cy, cx)"
+    return f"{name}(table(boxed) partition by (cz, cy, cx))"
 
 
 def with_boxes(cells: DataFrame, halo: int = 0, chunk: int = CHUNK) -> DataFrame:
