@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators import blocks, fits, potentials, sampling
-from gridloom.operators.scratch import Scratch
+from gridloom.operators.scratch import Scratch, shared_folder
 from gridloom.plans.base import Tables, query
+from gridloom.sources import shards
 
 c, lit = F.col, F.lit
 
@@ -48,6 +51,17 @@ def derived_boxes(t: Tables) -> DataFrame:
     return t.spark.sql("select * from " + call.replace("table(boxed)", "table(select * from {boxed})"), boxed=sampling.with_boxes(_cells(t), 1, 8))
 
 
+@query("""select l_orderkey % 200 as z, l_partkey % 90 as y, l_suppkey % 100 as x, max(cast(l_quantity as bigint)) as v from lineitem
+    where l_orderkey % 200 >= 37 and l_orderkey % 200 < 150 and l_partkey % 90 >= 20 and l_partkey % 90 < 61 and l_suppkey % 100 >= 3 and l_suppkey % 100 < 70 group by 1, 2, 3""")
+def shard_scan(t: Tables) -> DataFrame:
+    """A box of a sharded array that is written first: only its files and chunks are read."""
+    keys = [(c(k) % n).alias(a) for k, n, a in (("l_orderkey", 200, "z"), ("l_partkey", 90, "y"), ("l_suppkey", 100, "x"))]
+    cells = t.lineitem.groupBy(*keys).agg(F.max(c("l_quantity").cast("long")).alias("v"))
+    root = f"{shared_folder(t.spark)}/array-{uuid4().hex}"
+    shards.write_shards(cells, root, (200, 90, 100), (64, 64, 64), (16, 16, 16))
+    return shards.read_shards(t.spark, root, (37, 20, 3), (113, 41, 67))
+
+
 @query("""with h as (select l_suppkey % 20 as block, m.model, (l_returnflag = 'R')::int as truth, case when m.model = 'price' then cast(floor(l_extendedprice) as bigint) % 256 else cast(l_quantity as bigint) * 5 end as value, count(*) as n from lineitem, (values ('price'), ('quantity')) m(model) group by all),
     b as (select block, row_number() over (order by block) - 1 as no, count(*) over () as nb from (select distinct block from h)),
     s as (select d, ((1592590336 + d)::uhugeint + i::uhugeint * 11400714819323198485::uhugeint) % 18446744073709551616::uhugeint as x, nb from range(0, 10000) a(d), (select nb, unnest(range(1, nb + 1)) as i from (select distinct nb from b))),
