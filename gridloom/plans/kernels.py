@@ -40,7 +40,11 @@ def mutual_best(t: Tables) -> DataFrame:
     return graph.mutual_best(t.lineitem.groupBy(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).agg(F.count("*").alias("w")), 2)
 
 
-@query()
+@query("""with recursive n as (select list(distinct x order by x) as names from (select unnest([c_nationkey::bigint, c_custkey % 97 + 100]) as x from customer)),
+    e as (select a, b, w, row_number() over (order by w desc, a, b) as i, list_position(names, a) as ia, list_position(names, b) as ib from (select c_nationkey::bigint as a, c_custkey % 97 + 100 as b, sum(c_custkey)::bigint as w from customer group by 1, 2), n where a <> b),
+    t(i, lab, taken) as (select 0::bigint, range(1, len(names) + 1), false from n
+        union all select e.i, case when lab[ia] <> lab[ib] then list_transform(lab, lambda y: case when y = lab[ib] then lab[ia] else y end) else lab end, lab[ia] <> lab[ib] from t join e on e.i = t.i + 1)
+    select a, b, w from e join t on e.i = t.i where taken""")
 def spanning_forest(t: Tables) -> DataFrame:
     e = _edges(t).groupBy("a", "b").agg(F.sum("c_custkey").alias("w"))
     return graph.spanning_forest(e)
@@ -58,7 +62,12 @@ def fiber_link(t: Tables) -> DataFrame:
     return graph.greedy_links(c)
 
 
-@query()
+@query("""with e as (select user_id, list(value order by event_id) as v from events group by user_id),
+    i as (select user_id, v, unnest(range(2, len(v))) as i from e),
+    c as (select user_id, i, v[i] as h, list_reverse(list_slice(v, 1, i - 1)) as l, list_slice(v, i + 1, len(v)) as r from i where v[i - 1] < v[i] and v[i] >= v[i + 1]),
+    f as (select *, coalesce(nullif(list_position(list_transform(l, lambda x: x > h), true), 0), len(l) + 1) as cl, coalesce(nullif(list_position(list_transform(r, lambda x: x > h), true), 0), len(r) + 1) as cr from c),
+    p as (select user_id, (i - 1)::bigint as place, h as height, h - greatest(list_min(list_slice(l, 1, cl - 1)), coalesce(list_min(list_slice(r, 1, cr - 1)), h)) as prominence from f)
+    select * from p where prominence >= 5""")
 def peaks_prominence(t: Tables) -> DataFrame:
     return rays.peaks(t.events, "user_id", "event_id", "value", 5.0, 2)
 
@@ -155,7 +164,9 @@ def scanprep_close(t: Tables) -> DataFrame:
     return grid.close(c, 1, ("a", "b"))
 
 
-@query()
+@query("""with c as (select distinct l_orderkey % 40 as a, l_partkey % 40 as b from lineitem),
+    n as (select c.a, c.b, m.a as na, m.b as nb, count(m.a) over (partition by c.a, c.b) as n from c left join c m on abs(c.a - m.a) + abs(c.b - m.b) = 1)
+    select distinct x.a, x.b from n x left join n y on y.a = x.na and y.b = x.nb where x.n >= 2 or y.n >= 2""")
 def scanprep_drop_small(t: Tables) -> DataFrame:
     c = t.lineitem.select((F.col("l_orderkey") % 40).alias("a"), (F.col("l_partkey") % 40).alias("b"))
     return grid.drop_small(c, 3, ("a", "b"))

@@ -519,6 +519,18 @@ def wbench_stats(t: Tables) -> DataFrame:
     return got.select("n", *(F.round(k, 4).alias(k) for k in names), F.round("p_above", 6).alias("p_above"))
 
 
+@by_operator()
+def vote_merge_edges(t: Tables) -> DataFrame:
+    rows = t.lineitem.select(c("l_partkey").alias("a"), c("l_suppkey").alias("b"), c("l_linenumber").alias("d"), F.floor("l_quantity").alias("w"))
+    return graph.merge_votes(rows).withColumn("w", c("w").cast("long"))
+
+
+@by_operator()
+def tifxyz_bbox(t: Tables) -> DataFrame:
+    found = sf.bbox(t.orders, "o_orderstatus", {"at": ("o_orderkey", 2), "p": ("o_totalprice", 0.0)}, c("o_totalprice") > 100000)
+    return found.select("o_orderstatus", c("at0").alias("low"), c("at1").alias("high"), F.round("p0", 2).alias("p0"), F.round("p1", 2).alias("p1"))
+
+
 @query()
 def fiber_chain(t: Tables) -> DataFrame:
     """Pieces of lines linked end to end where they face each other."""

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators import blocks, fits, potentials, sampling
-from gridloom.operators.scratch import Scratch, shared_folder
+from gridloom.operators.lines import along
+from gridloom.operators.scratch import Scratch, numbered, shared_folder
 from gridloom.plans.base import Tables, query
-from gridloom.sources import shards
+from gridloom.sources import lineboxes, shards
+from gridloom.streaming.cover import Cover
 
 c, lit = F.col, F.lit
 
@@ -102,3 +104,29 @@ def count_field_ls(t: Tables) -> DataFrame:
     steps = potentials.grid_joins(cells, ["code", "v"]).select("a", "b", (apart / 252).alias("d"), F.least("v_a", "v_b").alias("w"))
     lattice = cells.select("cell", "z", "y", "x", (c("code") / 252).alias("target"), lit(0.5).alias("pull"))
     return fits.lattice_solve(lattice, steps, 1e-3, scratch=scratch)[0].select("cell", F.round("value", 2).alias("value"))
+
+
+_LINES = "select user_id as line, row_number() over (partition by user_id order by event_id) - 1 as seq, value as x, cast(event_id % 1000 as double) as y, cast(hour(ts) as double) as z from events"
+
+
+@query(f"select line, seq, x, y, z from ({_LINES}) where x >= 20 and x < 45 and y >= 100 and y < 700 and z >= 3 and z < 15")
+def line_box_scan(t: Tables) -> DataFrame:
+    """A box of stored lines: bounds first, then the tiles and blocks that can meet it."""
+    seq = (F.row_number().over(along(["user_id"], "event_id")) - 1).cast("long")
+    lines = t.events.select(c("user_id").alias("line"), seq.alias("seq"), c("value").alias("x"), (c("event_id") % 1000).cast("double").alias("y"), F.hour("ts").cast("double").alias("z"))
+    path = f"{shared_folder(t.spark)}/lines-{uuid4().hex}"
+    lineboxes.write_lines(lines, path, points=4, blocks=32)
+    return lineboxes.scan(t.spark, path, (20.0, 100.0, 3.0), (45.0, 700.0, 15.0))
+
+
+@query("select c_nationkey as key, count(*) as n, round(sum(c_acctbal), 2) as total from customer group by 1")
+def cover_turns(t: Tables) -> DataFrame:
+    """Nations worked off in turns of nine; the customers of odd ones come late."""
+    cover = Cover(t.spark, f"{shared_folder(t.spark)}/cover-{uuid4().hex}")
+    plan = numbered(t.customer.select(c("c_nationkey").alias("key")).distinct(), "no", "key")
+    rows = t.customer.select(c("c_nationkey").alias("key"), "c_acctbal")
+    work = lambda x: x.groupBy("key").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+    cover.turn(plan, rows.where("key % 2 = 0"), work, 9)
+    while cover.turn(plan, rows, work, 9):
+        pass
+    return cover.result()
