@@ -130,6 +130,23 @@ ORACLES = {
             from b left join longer on b.lang = longer.lang and b.g = longer.g where place = 1 and (longer.f is null or 100 * longer.f < 50 * a))
         select o.lang, rank::bigint as rank, array_to_string(g, ' ') as phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
         from o join n on o.lang = n.lang where rank <= 2000""",
+    "op12_spelling_variants": r"""
+        with recursive bits(i, k, x) as (select i, 0, i from range(0, 256) a(i) union all select i, k + 1, case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end from bits where k < 8),
+        tab as (select list(x order by i) as t from bits where k = 8),
+        d as (select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) as run from documents),
+        r as (select id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n from d group by 1, 2),
+        b as (select run, n, hex(encode(id || ':' || run)) as x from r),
+        h as (select run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint)), lambda s, y: xor(s >> 8, t[(xor(s, y) & 255) + 1])), 4294967295) as h from b, tab),
+        c as (select case when h % 97 = 0 then left(run, (h % len(run))::bigint) || substr(run, (h % len(run))::bigint + 2) else run end as word, n from h),
+        w as materialized (select word, sum(n)::bigint as n from c where len(word) >= 5 group by word having sum(n) >= 3),
+        o as materialized (select word, n, i, left(word, i) || substr(word, i + 2) as cut from (select word, n, unnest(range(0, len(word))) as i from w)),
+        p as (select a.word, b.word as near, b.n as m from o a join o b on a.i = b.i and a.cut = b.cut and a.word <> b.word
+            union select o.word, w.word, w.n from o join w on o.cut = w.word
+            union select w.word, o.word, o.n from o join w on o.cut = w.word),
+        f as (select word, count(*) as n_near, arg_min(near, (-m, encode(near))) as best, max(m) as m from p group by word),
+        g as materialized (select w.word, w.n, coalesce(n_near, 0) as n_near, case when m >= 2 * w.n then best end as form, case when m >= 2 * w.n then m end as form_n from w left join f on w.word = f.word),
+        s(word, root) as (select word, word from g where form is null union all select g.word, s.root from g join s on g.form = s.word)
+        select g.word, form, root, g.n, n_near::bigint as n_near, form_n::bigint as form_n from g join s on g.word = s.word""",
     "op13_embedding_dedup": """
         with recursive v as (select vec_id, embedding::double[] as v from embeddings
             where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
