@@ -154,6 +154,8 @@ def _segments(window: int):
                 f = lead
                 i, s = ids[lo + row], w.place[begin]
                 later = (i[f] < i) | ((i[f] == i) & (s[f] < s))
+                # rows without words meet no block: dealt by place, or a passage of every document would be one task
+                sub = np.where(later, -1 - (tk.mix(i.view(np.uint64) + tk.mix(s.astype(np.uint64))) >> np.uint64(44)).astype(np.int64), sub)
                 text = pa.array([None if later[k] else x for k, x in enumerate(plain)], pa.binary()).cast(pa.string())
                 no = lambda x: pa.array(x, mask=~later)
                 yield pa.RecordBatch.from_arrays(
