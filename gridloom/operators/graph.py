@@ -87,25 +87,49 @@ def spanning_forest(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def chain_gauges(costs: DataFrame, keys: list[str], shifts: list[int]) -> DataFrame:
     """Exact integer gauges along chains: rows (keys, pos, prior, step) where prior is the
     preferred gauge of a link and step the preferred change from the link before; the sum
-    of absolute deviations is least, ties to the smaller gauges.  A chain is one group."""
-    schema = ", ".join(f"{k} long" for k in keys) + ", pos long, gauge long, cost double"
-
-    def solve(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("pos", kind="stable")
-        s = np.array(sorted(shifts), float)
-        prior, step = x["prior"].to_numpy(float), x["step"].to_numpy(float)
+    of absolute deviations is least, ties to the smaller gauges.  A chain is one row of
+    arrays; chains of like length are solved side by side."""
+    s = np.array(sorted(shifts), np.int64)
+
+    def solve(prior: np.ndarray, step: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gauges and least sums of chains, one a row, padded at the end."""
+        n, longest = prior.shape
+        rest, choice = np.zeros((n, len(s)), np.int64), np.zeros((n, longest, len(s)), np.int32)
         # from the last link back, so that of equal sums the smaller gauges are found first
-        rest, choice = np.abs(s - prior[-1]), []
-        for k in range(len(x) - 1, 0, -1):
-            cost = np.abs(s[None, :] - s[:, None] - step[k]) + rest[None, :]
-            choice.append(cost.argmin(1))
-            rest = cost.min(1) + np.abs(s - prior[k - 1])
-        at = [int(rest.argmin())]
-        for c in reversed(choice):
-            at.append(int(c[at[-1]]))
-        return x[[*keys, "pos"]].assign(gauge=s[at].astype(int), cost=float(rest.min()))
-
-    return costs.groupBy(*keys).applyInPandas(solve, schema)
+        for k in range(longest - 1, -1, -1):
+            if k + 1 < longest:
+                cost = np.abs(s[None, None, :] - s[None, :, None] - step[:, k + 1, None, None]) + rest[:, None, :]
+                more = size > k + 1
+                choice[:, k] = cost.argmin(2)
+                rest = np.where(more[:, None], cost.min(2), 0)
+            rest = np.where((size > k)[:, None], rest + np.abs(s[None, :] - prior[:, k, None]), 0)
+        at, gauge = rest.argmin(1), np.zeros((n, longest), np.int64)
+        for k in range(longest):
+            gauge[:, k] = s[at]
+            at = choice[np.arange(n), k, at]
+        return gauge, rest.min(1)
+
+    def run(batches):
+        for x in batches:
+            size = x["prior"].map(len).to_numpy()
+            gauges, sums = [None] * len(x), np.zeros(len(x))
+            for level in np.unique(np.frexp(size)[1]):  # padded to twice their length at most
+                whole = np.flatnonzero(np.frexp(size)[1] == level)
+                few = max(1, 4_000_000 // (int(size[whole].max()) * len(s)))
+                for rows in np.split(whole, range(few, len(whole), few)):
+                    wide = int(size[rows].max())
+                    pad = lambda c: np.stack([np.pad(np.asarray(v, np.int64), (0, wide - len(v))) for v in x[c].iloc[rows]])  # noqa: B023, E731
+                    got, least = solve(pad("prior"), pad("step"), size[rows])
+                    sums[rows] = least
+                    for r, g in zip(rows.tolist(), got, strict=True):
+                        gauges[r] = g[: size[r]]
+            yield x[[*keys, "pos"]].assign(gauge=gauges, cost=sums)
+
+    kinds = dict(costs.dtypes)
+    chains = costs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "prior", "step"))).alias("c"))
+    chains = chains.select(*keys, *(F.col(f"c.{f}").alias(f) for f in ("pos", "prior", "step")))
+    solved = chains.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", pos array<{kinds['pos']}>, gauge array<long>, cost double")
+    return solved.select(*keys, F.explode(F.arrays_zip("pos", "gauge")).alias("l"), "cost").select(*keys, "l.pos", "l.gauge", "cost")
 
 
 def greedy_links(candidates: DataFrame) -> DataFrame:

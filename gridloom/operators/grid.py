@@ -6,7 +6,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AXES = ("z", "y", "x")
@@ -58,6 +58,58 @@ def distance(df: DataFrame, feature: str, side: int, halo: int, axes: tuple[str,
     return out.withColumn("d2", F.nanvl("d2", F.lit(None).cast("double")))
 
 
+def nearest_features(df: DataFrame, features: dict[str, Column], side: int, reach: int, axes: tuple[str, ...] = AXES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """For every cell and each named feature the nearest cell that has it, within ``reach``:
+    name_d2, name_<axis> and name_<column> of the columns to carry, null where there is none;
+    ties go to the smallest coordinates.
+
+    Cells are dealt into cubes and features also to cubes within reach.  In a cube, squared
+    distance and place share one integer, which is separable: one axis after another."""
+    names = list(features)
+    marked = df.select(*axes, *carry, *(F.coalesce(f, F.lit(False)).alias(f"__f_{n}") for n, f in features.items()))
+    home = {a: F.floor(F.col(a) / side).cast("long") for a in axes}
+    steps = -(-reach // side)
+    far = marked.where(F.greatest(*(F.col(f"__f_{n}").cast("int") for n in names), F.lit(0)) > 0)
+    for a in axes:
+        far = far.withColumn(f"__c_{a}", F.explode(F.sequence(home[a] - steps, home[a] + steps)))
+        far = far.where((F.col(a) >= F.col(f"__c_{a}") * side - reach) & (F.col(a) < (F.col(f"__c_{a}") + 1) * side + reach))
+    own = marked.select("*", *(home[a].alias(f"__c_{a}") for a in axes), F.lit(True).alias("__own"))
+    other = F.lit(False)
+    for a in axes:
+        other = other | (F.col(f"__c_{a}") != home[a])
+    keys = [f"__c_{a}" for a in axes]
+    wide = side + 2 * reach
+    unit = wide ** len(axes)
+
+    def one(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        low = [int(k) * side - reach for k in key]
+        cell = tuple((x[a] - lo).to_numpy() for a, lo in zip(axes, low, strict=True))
+        flat = np.ravel_multi_index(cell, (wide,) * len(axes))
+        mine = np.flatnonzero(x["__own"].to_numpy())
+        out = x.iloc[mine][list(axes)].reset_index(drop=True)
+        for n in names:
+            has = np.flatnonzero(x[f"__f_{n}"].to_numpy())
+            best = np.full((wide,) * len(axes), np.iinfo(np.int64).max // 4, np.int64)
+            best.ravel()[flat[has]] = flat[has]
+            for k in range(len(axes)):
+                moved, at = np.moveaxis(best, k, -1), np.arange(wide, dtype=np.int64)
+                best = np.moveaxis(np.stack([(moved + (at - q) ** 2 * unit).min(-1) for q in range(wide)], -1), -1, k)
+            got = best.ravel()[flat[mine]]
+            d2, source = got // unit, got % unit
+            known = d2 <= reach * reach
+            out[f"{n}_d2"] = pd.array(np.where(known, d2, 0), "Int64")
+            row = np.zeros(unit, np.int64)
+            row[flat[has]] = has
+            for c in (*axes, *carry):
+                out[f"{n}_{c}"] = x[c].iloc[row[np.where(known, source, 0)]].reset_index(drop=True).astype("Int64")
+            out.loc[~known, [f"{n}_d2", *(f"{n}_{c}" for c in (*axes, *carry))]] = pd.NA
+        return out
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join([f"{a} {kinds[a]}" for a in axes] + [f"{n}_{c} long" for n in names for c in ("d2", *axes, *carry)])
+    return own.unionByName(far.where(other).withColumn("__own", F.lit(False))).groupBy(*keys).applyInPandas(one, schema)
+
+
 def exact_distance(df: DataFrame, feature: str, axes: tuple[str, ...] = AXES, start: float = 4.0) -> DataFrame:
     """Squared distance of every listed cell to the nearest feature cell, however far, and
     that cell (ties to the smallest coordinates); null where there is no feature at all."""
@@ -78,12 +130,22 @@ def tiles(low: tuple[int, ...], size: tuple[int, ...], side: int, overlap: int,
     return out.drop("_")
 
 
-def jacobian(df: DataFrame, key: str, span: int = 1) -> DataFrame:
+def jacobian(df: DataFrame, key: str, span: int = 1, side: int = 256) -> DataFrame:
     """Stretch of a vertex grid (key, row, col, x, y, z) by central differences: singular
-    values s1 >= s2 of the map from grid to space, distortion and area."""
-    r, c = Window.partitionBy(key, "col").orderBy("row"), Window.partitionBy(key, "row").orderBy("col")
-    d = lambda v, w: (F.lead(v, span).over(w) - F.lag(v, span).over(w)) / (2.0 * span)
-    g = df.withColumns({f"u{v}": d(v, c) for v in "xyz"} | {f"v{v}": d(v, r) for v in "xyz"})
+    values s1 >= s2 of the map from grid to space, distortion and area; null where a vertex
+    ``span`` away is not listed.
+
+    Grids are cut into blocks that hold the ``span`` vertices around them too."""
+    home = {a: F.floor(F.col(a) / side).cast("long") for a in ("row", "col")}
+    place = lambda da, db: F.struct((home["row"] + da).alias("i"), (home["col"] + db).alias("j"))
+    near = lambda a, d: F.pmod(F.col(a), F.lit(side)) < span if d < 0 else F.pmod(F.col(a), F.lit(side)) >= side - span
+    to = [place(0, 0)] + [F.when(near("row", d), place(d, 0)) for d in (-1, 1)] + [F.when(near("col", d), place(0, d)) for d in (-1, 1)]
+    dealt = df.withColumn("__to", F.explode(F.filter(F.array(*to), lambda x: x.isNotNull()))).withColumn("__own", (F.col("__to.i") == home["row"]) & (F.col("__to.j") == home["col"]))
+    dealt = dealt.withColumns({"__i": F.col("__to.i"), "__j": F.col("__to.j")}).drop("__to").repartition(key, "__i", "__j")
+    r, c = Window.partitionBy(key, "__i", "__j", "col").orderBy("row"), Window.partitionBy(key, "__i", "__j", "row").orderBy("col")
+    at = lambda v, w, by: F.max(v).over(w.rangeBetween(by, by))  # noqa: E731  (the one vertex there, if listed)
+    d = lambda v, w: (at(v, w, span) - at(v, w, -span)) / (2.0 * span)
+    g = dealt.withColumns({f"u{v}": d(v, c) for v in "xyz"} | {f"v{v}": d(v, r) for v in "xyz"}).where("__own").drop("__own", "__i", "__j")
     dot = lambda a, b: sum((F.col(a + v) * F.col(b + v) for v in "xyz"), F.lit(0.0))
     e, f, h = dot("u", "u"), dot("u", "v"), dot("v", "v")
     root = F.sqrt(F.pow(e - h, 2) + 4 * f * f)
@@ -125,24 +187,33 @@ def drop_small(df: DataFrame, least: int, axes: tuple[str, ...] = AXES) -> DataF
 
 
 def largest_rectangle(df: DataFrame, key: str, good: str) -> DataFrame:
-    """Largest axis-parallel rectangle of good cells of each grid (key, row, col); ties go to
-    the topmost, then leftmost.  A grid is one bounded group."""
+    """Largest axis-parallel rectangle of good cells of each grid (key, row, col), cells that
+    are not listed being bad; ties go to the topmost, then leftmost, then tallest.  All zeros
+    where no cell is good.
+
+    Heights of good cells above each cell come from runs along the columns; a row of heights
+    is the largest group, and rows only hand on their best rectangle."""
+    up = Window.partitionBy(key, "col").orderBy("row")
+    runs = df.where(good).select(key, "row", "col").distinct().withColumn("__run", F.col("row") - F.row_number().over(up))
+    tall = runs.withColumn("h", F.row_number().over(Window.partitionBy(key, "col", "__run").orderBy("row")))
 
     def one(k: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        g = np.zeros((int(x["row"].max()) + 1, int(x["col"].max()) + 1), bool)
-        g[x["row"], x["col"]] = x[good]
-        height = np.zeros(g.shape[1] + 1, int)
-        best = (0, 0, 0, 0, 0)
-        for r in range(g.shape[0]):
-            height[:-1] = np.where(g[r], height[:-1] + 1, 0)
-            stack: list[tuple[int, int]] = []
-            for c, h in enumerate(height.tolist()):
-                start = c
-                while stack and stack[-1][1] >= h:
-                    start, tall = stack.pop()
-                    best = max(best, (tall * (c - start), -(r - tall + 1), -start, tall, c - start))
-                stack.append((start, h))
-        area, top, left, tall, wide = best
-        return pd.DataFrame({key: [k[0]], "area": [area], "row": [-top], "col": [-left], "rows": [tall], "cols": [wide]})
-
-    return df.groupBy(key).applyInPandas(one, f"{key} {dict(df.dtypes)[key]}, area long, row long, col long, rows long, cols long")
+        x = x.sort_values("col")
+        best, open_ = (0, 0, 0, 0, 0), []
+        last = None
+        for c, h in [*zip(x["col"].tolist(), x["h"].tolist(), strict=True), (None, 0)]:
+            for at, height in ((last + 1, 0), (c, h)) if last is not None and c != last + 1 else ((c, h),):
+                start = at
+                while open_ and open_[-1][1] >= height:
+                    start, high = open_.pop()
+                    best = max(best, (high * (at - start), high - int(k[1]) - 1, -start, high, at - start))
+                if height:
+                    open_.append((start, height))
+            last = c
+        area, top, left, high, wide = best
+        return pd.DataFrame({key: [k[0]], "area": [area], "top": [top], "left": [left], "rows": [high], "cols": [wide]})
+
+    kind = dict(df.dtypes)[key]
+    best = tall.groupBy(key, "row").applyInPandas(one, f"{key} {kind}, area long, top long, left long, rows long, cols long").groupBy(key).agg(F.max(F.struct("area", "top", "left", "rows", "cols")).alias("m"))
+    got = lambda f: F.coalesce(f, F.lit(0).cast("long"))
+    return df.select(key).distinct().join(best, key, "left").select(key, got(F.col("m.area")).alias("area"), got(-F.col("m.top")).alias("row"), got(-F.col("m.left")).alias("col"), got(F.col("m.rows")).alias("rows"), got(F.col("m.cols")).alias("cols"))

@@ -146,3 +146,16 @@ def merge_close(df: DataFrame, key: str, at: str, height: str, apart: float) ->
             break
         hits = merged.select(key, "hits")
     return hits.select(key, F.explode("hits").alias("x")).select(key, F.col("x.at").alias(at), F.col("x.h").alias(height))
+
+
+def next_along(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], width: int) -> DataFrame:
+    """df with values (name -> column) of the next row of a line, null at its end, for lines
+    of any length: they are cut at multiples of ``width`` of the first order column, and the
+    last row of a piece looks at the first one of the next piece (one row a piece)."""
+    cut = df.withColumn("__piece", F.floor(F.col(order[0]) / width).cast("long"))
+    inside = Window.partitionBy(*keys, "__piece").orderBy(*order)
+    ahead = F.lead(F.struct(*(F.col(c).alias(n) for n, c in values.items())), 1).over(inside)
+    first = F.min(F.struct(*(F.col(o).alias(f"o{k}") for k, o in enumerate(order)), F.struct(*(F.col(c).alias(n) for n, c in values.items())).alias("v")))
+    heads = cut.groupBy(*keys, "__piece").agg(first.alias("__head")).withColumn("__after", F.lead("__head.v").over(Window.partitionBy(*keys).orderBy("__piece"))).drop("__head")
+    got = cut.withColumn("__next", ahead).join(heads, [*keys, "__piece"], "left").withColumn("__next", F.coalesce("__next", "__after"))
+    return got.select(*df.columns, *(F.col(f"__next.{n}").alias(n) for n in values))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.fields import known
+from gridloom.operators.lines import next_along
 
 
 def bbox(df: DataFrame, key: str, columns: dict[str, tuple[str, float]], valid: Column) -> DataFrame:
@@ -39,13 +40,16 @@ def touched_shards(df: DataFrame, axes: dict[str, Column], margin: float, side:
     return out
 
 
-def outward_share(df: DataFrame, row: list[str], column: list[str], inside: Column | None = None) -> DataFrame:
-    """Share of vertices of a grid (x, y) whose normal, by the differences to the next row
-    and the next column, points outward."""
-    w, v = Window.partitionBy(row[0]).orderBy(*row[1:]), Window.partitionBy(column[0]).orderBy(*column[1:])
-    d = lambda c, over: F.lead(c).over(over) - F.col(c)
-    n = df.select("x", "y", *(d(c, w).alias(f"u{c}") for c in "xyz"), *(d(c, v).alias(f"v{c}") for c in "xyz")).where("ux is not null and vx is not null")
+def outward_share(df: DataFrame, row: list[str], column: list[str], width: int = 65536) -> DataFrame:
+    """Share of vertices of a grid (x, y, z) whose normal, by the differences to the next
+    vertex of the row and of the column, points outward.  row, column: the key of a line,
+    then its order; lines are cut at multiples of ``width`` of the first order column."""
     c = F.col
+    n = df
+    for name, line in (("u", row), ("v", column)):
+        n = next_along(n, line[:1], line[1:], {f"{name}{a}": a for a in "xyz"}, width)
+        n = n.withColumns({f"{name}{a}": c(f"{name}{a}") - c(a) for a in "xyz"})
+    n = n.where("ux is not null and vx is not null")
     turn = c("x") * (c("uy") * c("vz") - c("uz") * c("vy")) + c("y") * (c("uz") * c("vx") - c("ux") * c("vz"))
     return n.agg(F.count("*").alias("n"), F.avg(known(turn > 0)).alias("outward"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans import commands, core, gauges, kernel_sql, kernels, volumes  # noqa: F401  (they register themselves)
+from gridloom.plans import bands, commands, core, gauges, kernel_sql, kernels, volumes  # noqa: F401  (they register themselves)
 from gridloom.plans import rules  # noqa: F401, I001  (after the texts that it is held against)
 from gridloom.plans.base import ORACLES, QUERIES
 

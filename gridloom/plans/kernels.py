@@ -50,13 +50,21 @@ def spanning_forest(t: Tables) -> DataFrame:
     return graph.spanning_forest(e)
 
 
-@query()
+@query("""with recursive c as (select l_orderkey as line, list(l_linenumber::bigint * 100000000 + l_partkey order by l_linenumber, l_partkey) as pos, list((l_suppkey % 5)::bigint order by l_linenumber, l_partkey) as prior, list((l_partkey % 3 - 1)::bigint order by l_linenumber, l_partkey) as step from lineitem group by 1),
+    r as (select line, pos, prior, step, len(pos)::bigint as k, list_transform(range(-1, 6), lambda s: abs(s - prior[len(pos)])) as cost, list_transform(range(-1, 6), lambda s: [s]) as path from c
+        union all select line, pos, prior, step, k - 1, list_transform(m, lambda x: list_min(x[2]) + abs(x[1][1] - prior[k - 1])), list_transform(m, lambda x: list_concat(x[1], path[list_position(x[2], list_min(x[2]))]))
+        from (select *, list_transform(range(-1, 6), lambda s: [[s], list_transform(range(-1, 6), lambda u: abs(u - s - step[k]) + cost[u + 2])]) as m from r where k > 1)),
+    b as (select line, pos, list_min(cost) as cost, path[list_position(cost, list_min(cost))] as path from r where k = 1)
+    select line, unnest(pos) as pos, unnest(path) as gauge, cost::double as cost from b""")
 def chain_gauges(t: Tables) -> DataFrame:
     rows = t.lineitem.select(F.col("l_orderkey").alias("line"), (F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey")).alias("pos"), F.pmod(F.col("l_suppkey"), F.lit(5)).cast("long").alias("prior"), (F.pmod(F.col("l_partkey"), F.lit(3)) - 1).cast("long").alias("step"))
     return graph.chain_gauges(rows, ["line"], [-1, 0, 1, 2, 3, 4, 5])
 
 
-@query()
+@query("""with recursive e as (select l_partkey as a, l_suppkey as b, min(l_extendedprice) as cost from lineitem group by 1, 2),
+    r as (select a, b, cost, 0 as round, false as taken from e
+        union all select a, b, cost, round, taken from (select *, bool_or(taken) over (partition by a) or bool_or(taken) over (partition by b) as shut from (select a, b, cost, round + 1 as round, row_number() over (partition by a order by cost, a, b) = 1 and row_number() over (partition by b order by cost, a, b) = 1 as taken from r where not taken)) where taken or not shut)
+    select a, b, cost from r where taken""")
 def fiber_link(t: Tables) -> DataFrame:
     c = t.lineitem.groupBy(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).agg(F.min("l_extendedprice").alias("cost"))
     return graph.greedy_links(c)
@@ -172,7 +180,10 @@ def scanprep_drop_small(t: Tables) -> DataFrame:
     return grid.drop_small(c, 3, ("a", "b"))
 
 
-@query()
+@query("""with t as (select c_custkey // 30 as r, c_custkey % 30 as c, c_custkey // 30 - row_number() over (partition by c_custkey % 30 order by c_custkey) as run from customer where c_acctbal > 0),
+    h as (select r, c, row_number() over (partition by c, run order by r) as h from t),
+    e as (select a.r, a.c as c1, b.c as c2, min(m.h) as tall from h a join h b on a.r = b.r and b.c >= a.c join h m on m.r = a.r and m.c between a.c and b.c group by all having count(*) = b.c - a.c + 1)
+    select 0 as sheet, tall * (c2 - c1 + 1) as area, r - tall + 1 as row, c1 as col, tall as rows, c2 - c1 + 1 as cols from e order by area desc, row, col, rows desc limit 1""")
 def sheet_cut(t: Tables) -> DataFrame:
     g = t.customer.select(F.lit(0).alias("sheet"), F.floor(F.col("c_custkey") / 30).cast("int").alias("row"), (F.col("c_custkey") % 30).cast("int").alias("col"), (F.col("c_acctbal") > 0).alias("good"))
     return grid.largest_rectangle(g, "sheet", "good")
