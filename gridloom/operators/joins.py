@@ -110,3 +110,29 @@ def lerp_on(points: DataFrame, knots: DataFrame, at: str, knot: str, values: lis
 def without(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """Held-out, finished or covered rows removed."""
     return df.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def closest_on_line(points: DataFrame, knots: DataFrame, same: list[str], at: str, near: str, width: float) -> DataFrame:
+    """points with ``near`` and ``apart``: the knot of equal keys whose value is closest, ties
+    to the smaller ``near``; points without any knot of their keys, or without a value, are
+    left out.
+
+    Points and knots are put in order together, one sort instead of a join of all with all.
+    Lines are cut at multiples of ``width``; a piece takes the closest knots outside of it
+    from the ends of the other pieces (one row a piece)."""
+    knot = F.struct(F.col(at).alias("v"), F.col(near).alias("near"))
+    single = knots.where(F.col(at).isNotNull()).groupBy(*same, at).agg(F.min(near).alias(near)).select(*same, F.col(at).alias("__at"), knot.alias("__knot"), F.lit(False).alias("__point"))
+    rows = points.where(F.col(at).isNotNull()).select(*same, F.col(at).alias("__at"), F.struct(*points.columns).alias("__row"), F.lit(True).alias("__point"))
+    both = rows.unionByName(single, allowMissingColumns=True).withColumn("__piece", bucket(F.col("__at"), width))
+    inside = Window.partitionBy(*same, "__piece")
+    below = F.last("__knot", True).over(inside.orderBy("__at", "__point"))
+    above = F.last("__knot", True).over(inside.orderBy(F.desc("__at"), "__point"))
+    ends = both.groupBy(*same, "__piece").agg(F.min("__knot").alias("low"), F.max("__knot").alias("high"))
+    line = Window.partitionBy(*same).orderBy("__piece")
+    before = F.last("high", True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("low", True).over(line.rowsBetween(1, Window.unboundedFollowing))
+    ends = ends.select(*same, "__piece", before.alias("__before"), after.alias("__after"))
+    got = both.withColumns({"__below": below, "__above": above}).where("__point").join(ends, [*same, "__piece"])
+    to = lambda k: F.when(k.isNotNull(), F.struct(F.abs(k["v"] - F.col("__at")).alias("apart"), k["near"].alias("near")))
+    best = F.array_min(F.array_compact(F.array(to(F.coalesce("__below", "__before")), to(F.coalesce("__above", "__after")))))
+    return got.withColumn("__best", best).where(F.col("__best").isNotNull()).select(*(F.col(f"__row.{c}").alias(c) for c in points.columns), F.col("__best.near").alias(near), F.col("__best.apart").alias("apart"))

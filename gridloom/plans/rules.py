@@ -560,3 +560,20 @@ def fiber_chain(t: Tables) -> DataFrame:
 def recto_peaks(t: Tables) -> DataFrame:
     found = rays.ruled_peaks(t.events.withColumn("material", c("value") >= 5), "user_id", "event_id", "value", "material", 0.8, 5.0, 20, 2.0)
     return _r(found, place=6, height=6, prominence=6)
+
+
+@by_operator()
+def surf_resample(t: Tables) -> DataFrame:
+    """The closest source of each point on its own line, null beyond 400."""
+    points = t.customer.select(c("c_custkey").alias("id"), c("c_nationkey").alias("line"), c("c_acctbal").alias("v"))
+    knots = t.supplier.select(c("s_suppkey").alias("src"), c("s_nationkey").alias("line"), c("s_acctbal").alias("v"))
+    got = joins.closest_on_line(points, knots, ["line"], "v", "src", 500.0)
+    return got.select("id", F.when(c("apart") <= 400, c("src")).alias("src"), F.round(F.least("apart", F.lit(400.0)), 6).alias("d"))
+
+
+@by_operator()
+def gt_anchors(t: Tables) -> DataFrame:
+    """Keys inside any of the boxes around anchors, by buckets of the boxes' size."""
+    boxes = t.orders.select((c("o_custkey") * 10).alias("lo"), (c("o_custkey") * 10 + 4).alias("hi")).distinct()
+    keys = t.lineitem.select("l_orderkey").where("l_orderkey % 3 <> 0").distinct()
+    return interval_join(keys, boxes, "l_orderkey", "lo", "hi", 10).select("l_orderkey").distinct()

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import band, grid, lines
+from gridloom.operators import band, grid, joins, lines
 
 
 def nearest(p, seeds, reach2):
@@ -146,3 +146,16 @@ def test_largest_rectangle_with_gaps(spark):
     for k, cells in grids.items():
         fits = [(h * w, -r, -c, h, w) for r in range(6) for c in range(8) for h in range(1, 7 - r) for w in range(1, 9 - c) if all(cells.get((i, j)) for i in range(r, r + h) for j in range(c, c + w))]
         assert got[k] == max(fits, default=(0, 0, 0, 0, 0))
+
+
+def test_closest_on_line(spark):
+    rng = random.Random(8)
+    points = [(i, rng.randrange(3), rng.choice([None, *(x / 2 for x in range(-60, 60))])) for i in range(300)]
+    knots = [(i, rng.choice([0, 1, 4]), rng.choice([None, *range(-40, 40)])) for i in range(50)]
+    p = spark.createDataFrame(points, "id int, k int, v double")
+    q = spark.createDataFrame([(i, k, None if v is None else float(v)) for i, k, v in knots], "src int, k int, v double")
+    for width in (3.0, 1000.0):
+        got = {r["id"]: (r["apart"], r["src"]) for r in joins.closest_on_line(p, q, ["k"], "v", "src", width).collect()}
+        want = {i: min(((abs(v - w), j) for j, m, w in knots if m == k and w is not None), default=None) for i, k, v in points if v is not None}
+        assert got == {i: x for i, x in want.items() if x}
+    assert joins.closest_on_line(p, q.limit(0), ["k"], "v", "src", 3.0).count() == 0
