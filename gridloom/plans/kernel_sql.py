@@ -54,8 +54,9 @@ def phase_raster(t: Tables) -> DataFrame:
 def wrapdist(t: Tables) -> DataFrame:
     """Distance to the nearest labelled value, null beyond the largest distance asked for."""
     q = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("a"))
-    near = joins.nearest(q, t.supplier.select(F.col("s_suppkey").alias("near"), F.col("s_acctbal").alias("a")), ["a"], "id", "near", 400.0)
-    return q.join(near, "id", "left").select("id", F.round(F.sqrt("d2"), 6).alias("d"))
+    knots = t.supplier.select(F.col("s_suppkey").alias("near"), F.col("s_acctbal").alias("a"))
+    near = joins.closest_on_line(q.select("a").distinct(), knots, [], "a", "near", 50.0).where("apart <= 400").select("a", "apart")
+    return q.join(near, "a", "left").select("id", F.round("apart", 6).alias("d"))
 
 
 # -- lines and rays ----------------------------------------------------------------------
