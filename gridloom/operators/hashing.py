@@ -103,9 +103,17 @@ def pack_cell(z: Column, y: Column, x: Column) -> Column:
     return F.shiftleft(low(z), 42).bitwiseOR(F.shiftleft(low(y), 21)).bitwiseOR(low(x)) + 1
 
 
-def unpack_cell(key: Column) -> tuple[Column, Column, Column]:
-    """Coordinates of a packed cell, negative ones too."""
+def _signed(c: Column) -> Column:
+    return F.when(c >= 1 << 20, c - (1 << 21)).otherwise(c)
+
+
+def cell_page(*axes: Column) -> list[Column]:
+    """What a packed cell leaves out of coordinates beyond 21 bits: 0 for all others."""
+    return [c.cast("long") - _signed(c.cast("long").bitwiseAND(F.lit((1 << 21) - 1))) for c in axes]
+
+
+def unpack_cell(key: Column, page: list[Column] | None = None) -> tuple[Column, Column, Column]:
+    """Coordinates of a packed cell, negative ones too; beyond 21 bits with its page."""
     k = key - 1
-    signed = lambda c: F.when(c >= 1 << 20, c - (1 << 21)).otherwise(c)
-    part = lambda n: signed(F.shiftright(k, n).bitwiseAND(F.lit((1 << 21) - 1)))
-    return part(42), part(21), part(0)
+    z, y, x = (_signed(F.shiftright(k, n).bitwiseAND(F.lit((1 << 21) - 1))) for n in (42, 21, 0))
+    return (z, y, x) if page is None else (z + page[0], y + page[1], x + page[2])
