@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.hashing import nth_random
 
-#: A metric table of so many boxes goes to every task; a larger one is joined.
+#: A metric table of so many boxes goes to every task; a larger one is dealt.
 HELD = 100_000
+#: Of a larger one a task holds so many boxes of a stratum, for one of so many shares of the
+#: draws; it goes through the numbers of its whole stratum and takes those that fall to it.
+CHUNK, SHARES = 1 << 18, 16
 
 
 def clean_set(df: DataFrame, ceil: str | None, least: float) -> DataFrame:
@@ -48,15 +51,27 @@ def bootstrap(a: DataFrame, b: DataFrame | None, box: str, stratum: str, metric:
     if not n:
         return spark.createDataFrame([], "draw long, ma double, mb double")
     if n > held:
-        picks = rows.select("pos", "cnt", "first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-
-        def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for x in batches:
-                r = nth_random(seed, x["draw"].to_numpy(np.int64) * n + x["pos"].to_numpy(np.int64) + 1)
-                yield pd.DataFrame({"draw": x["draw"], "pos": x["first"].to_numpy(np.int64) + (r % x["cnt"].to_numpy(np.uint64)).astype(np.int64)})
-
-        drawn = picks.mapInPandas(pick, "draw long, pos long").join(rows.select("pos", "va", "vb"), "pos")
-        return drawn.groupBy("draw").agg((F.sum("va") / n).alias("ma"), (F.sum("vb") / n).alias("mb"))
+        share = -(-draws // SHARES)
+
+        def part(x: pd.DataFrame) -> pd.DataFrame:
+            """What some draws of a stratum take from a chunk of it."""
+            x = x.sort_values("pos")
+            first, cnt, low, s = (int(x[k].iloc[0]) for k in ("first", "cnt", "pos", "share"))
+            va, vb, sums = x["va"].to_numpy(float), x["vb"].to_numpy(float), []
+            for k in range(share * s, min(draws, share * (s + 1))):
+                sa = sb = 0.0
+                for at in range(first, first + cnt, CHUNK):
+                    r = nth_random(seed, k * n + np.arange(at, min(at + CHUNK, first + cnt)) + 1) % np.uint64(cnt)
+                    pos = first + r.astype(np.int64) - low
+                    pos = pos[(pos >= 0) & (pos < len(va))]
+                    sa, sb = sa + va[pos].sum(), sb + vb[pos].sum()
+                sums.append((k, sa, sb))
+            return pd.DataFrame(sums, columns=["draw", "sa", "sb"])
+
+        shares = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // share)))
+        chunks = rows.withColumns({"chunk": F.floor((F.col("pos") - F.col("first")) / CHUNK), "share": shares})
+        sums = chunks.groupBy("first", "chunk", "share").applyInPandas(part, "draw long, sa double, sb double")
+        return sums.groupBy("draw").agg((F.sum("sa") / n).alias("ma"), F.when(F.lit(b is not None), F.sum("sb") / n).alias("mb"))
     table = rows.orderBy("pos").toPandas()  # at most `held` rows of five numbers
     sent = spark.sparkContext.broadcast([table[k].to_numpy() for k in ("cnt", "first", "va", "vb")])
 
