@@ -88,26 +88,27 @@ def dominant(points: DataFrame, axes: list[str], source: str, score: str, block:
     A source's score in a cubic block is its mean ``score`` there.  A point goes if another
     source has a point within ``reach`` along every axis whose block scores higher, or as
     high with the smaller source.  Adds ``alone``: no other source is near.  Points are
-    dealt into cells of the reach, the other side into the 3**n cells around."""
+    dealt into cells four times as wide as the reach, the other side into the cells that it
+    reaches, 1.5**n of them on average; both joins and groups stay where the cell lies."""
     cells = points.groupBy(source, *axes).agg(F.sum(F.col(score).cast("double")).alias("__sum"), F.count("*").alias("__n"))
     blocks = [F.floor(F.col(a) / block).alias(f"__b{k}") for k, a in enumerate(axes)]
     keys = [f"__b{k}" for k in range(len(axes))]
-    dealt = cells.select("*", *blocks)
-    scores = dealt.groupBy(source, *keys).agg((F.sum("__sum") / F.sum("__n")).alias("__s"))
-    mine = dealt.join(scores, [source, *keys]).select(source, *axes, "__s")
-    near, around = mine, mine.select(F.col(source).alias("__o"), F.col("__s").alias("__t"), *(F.col(a).alias(f"__{a}") for a in axes))
-    names = [f"__c{k}" for k in range(len(axes))]
-    for name, a in zip(names, axes, strict=True):
-        near = near.withColumn(name, F.floor(F.col(a) / max(reach, 1)))
-        home = F.floor(F.col(f"__{a}") / max(reach, 1))
-        around = around.withColumn(name, F.explode(F.array(home - 1, home, home + 1)))
+    each = Window.partitionBy(source, *keys)
+    mine = cells.select("*", *blocks).select(source, *axes, (F.sum("__sum").over(each) / F.sum("__n").over(each)).alias("__s"))
+    around = mine.select(F.col(source).alias("__o"), F.col("__s").alias("__t"), *(F.col(a).alias(f"__{a}") for a in axes))
+    names, near, width = [f"__c{k}" for k in range(len(axes))], mine, 4 * max(reach, 1)
     close = F.col("__o") != F.col(source)
-    for a in axes:
-        close = close & (F.abs(F.col(a) - F.col(f"__{a}")) <= reach)
+    for name, a in zip(names, axes, strict=True):
+        near = near.withColumn(name, F.floor(F.col(a) / width))
+        there = F.col(f"__{a}")
+        around = around.withColumn(name, F.explode(F.sequence(F.floor((there - reach) / width), F.floor((there + reach) / width))))
+        close = close & (F.abs(F.col(a) - there) <= reach)
+    around = around.select("__o", "__t", *(f"__{a}" for a in axes), *(F.col(k).alias(f"__n{k}") for k in names))
     beats = (F.col("__t") > F.col("__s")) | ((F.col("__t") == F.col("__s")) & (F.col("__o") < F.col(source)))
-    met = near.join(around, names).where(close).groupBy(source, *axes).agg(F.max(beats).alias("__beaten"))
-    out = mine.join(met, [source, *axes], "left").where(~F.coalesce("__beaten", F.lit(False)))
-    return out.select(source, *axes, F.col("__beaten").isNull().alias("alone"))
+    for k in names:
+        close = close & (F.col(k) == F.col(f"__n{k}"))
+    met = near.join(around, close, "left").groupBy(*names, source, *axes).agg(F.max(beats).alias("__beaten"))
+    return met.where(~F.coalesce("__beaten", F.lit(False))).select(source, *axes, F.col("__beaten").isNull().alias("alone"))
 
 
 def priority_cover(cells: DataFrame, item: str, cell: list[str], priority: str, cover: float) -> DataFrame:
