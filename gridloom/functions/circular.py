@@ -46,9 +46,9 @@ def weighted_phasor(code: Column, weight: Column, period: int = PERIOD) -> tuple
     return code_of(c, s, period), F.hypot(c, s) / total
 
 
-def spread(codes: Column, period: int = PERIOD) -> Column:
-    """Largest circular distance between any two codes of a short array."""
-    return F.aggregate(codes, F.lit(0), lambda m, a: F.greatest(m, F.aggregate(codes, F.lit(0), lambda n, b: F.greatest(n, F.abs(code_diff(a, b, period)).cast("int")))))
+def wider(codes: Column, tol: int, period: int = PERIOD) -> Column:
+    """Whether any two codes of a short array lie more than tol apart on the circle."""
+    return F.exists(codes, lambda a: F.exists(codes, lambda b: F.abs(code_diff(a, b, period)).cast("int") > tol))
 
 
 def all_of(*parts: Column) -> Column:

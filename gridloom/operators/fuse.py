@@ -2,7 +2,7 @@
 
 All merges are groupings of a union by the cell key: partial aggregation runs before the
 one shuffle, except where a rule depends on order or on all values together; those collect
-one short array a cell (as many values as there are sets).
+one short array a cell (as many values as there are sets, or as there are codes).
 """
 
 from __future__ import annotations
@@ -20,15 +20,18 @@ CODE_STEPS = 4
 def fuse_phase(df: DataFrame, keys: list[str], code: str, tol: int, period: int = PERIOD) -> DataFrame:
     """Circular mean of the known codes of a cell if all lie within tol of each other.
 
-    outcome: 'none' known, 'single', 'agree' or 'conflict' (code null)."""
-    known = df.groupBy(*keys).agg(F.sort_array(F.collect_list(code)).alias("codes"))
-    n = F.size("codes")
-    angle = lambda x: x * (2 * 3.141592653589793 / period)
-    total = lambda f: F.aggregate("codes", F.lit(0.0), lambda s, x: s + f(angle(x)))
-    far = circular.spread(F.col("codes"), period) > tol
+    outcome: 'none' known, 'single', 'agree' or 'conflict' (code null).  Rows are counted by
+    code first, so that a cell holds one entry a code, however many rows it has."""
+    each = df.groupBy(*keys, code).agg(F.count("*").alias("__n"))
+    some = F.when(F.col(code).isNotNull(), F.struct(F.col(code).alias("c"), F.col("__n").alias("n")))
+    known = each.groupBy(*keys).agg(F.sort_array(F.collect_list(some)).alias("codes"))
+    known = known.withColumn("n", F.aggregate("codes", F.lit(0).cast("long"), lambda s, x: s + x["n"]))
+    n, angle = F.col("n"), lambda x: x["c"] * (2 * 3.141592653589793 / period)
+    total = lambda f: F.aggregate("codes", F.lit(0.0), lambda s, x: s + x["n"] * f(angle(x)))
+    far = circular.wider(F.transform("codes", lambda x: x["c"]), tol, period)
     outcome = F.when(n == 0, "none").when(n == 1, "single").when(far, "conflict").otherwise("agree")
-    merged = F.when(n == 1, F.element_at("codes", 1)).when((n > 1) & ~far, circular.code_of(total(F.cos), total(F.sin), period))
-    return known.select(*keys, n.cast("long").alias("n_known"), outcome.alias("outcome"), merged.cast("int").alias("code"))
+    merged = F.when(n == 1, F.element_at("codes", 1)["c"]).when((n > 1) & ~far, circular.code_of(total(F.cos), total(F.sin), period))
+    return known.select(*keys, n.alias("n_known"), outcome.alias("outcome"), merged.cast("int").alias("code"))
 
 
 def sum_votes(df: DataFrame, keys: list[str], classes: list[str], most: int = VOTE_MOST) -> DataFrame:
