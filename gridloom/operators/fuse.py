@@ -59,11 +59,13 @@ def fold_codes(df: DataFrame, keys: list[str], order: str, code: str, steps: int
 
 def medoid(df: DataFrame, keys: list[str], code: str, weight: str, period: int = PERIOD) -> DataFrame:
     """The code of a cell with the least weighted sum of 1 - cos to all; ties go to the
-    heavier, then to the smaller code."""
-    rows = df.where(F.col(code).isNotNull()).groupBy(*keys).agg(F.collect_list(F.struct(F.col(code).alias("c"), F.col(weight).alias("w"))).alias("rows"))
+    heavier, then to the smaller code.  Rows are added up by code first, so that a cell holds
+    one entry a code, however many rows it has."""
+    each = df.where(F.col(code).isNotNull()).groupBy(*keys, code).agg(F.sum(weight).alias("__w"), F.max(weight).alias("__m"))
+    rows = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(code).alias("c"), F.col("__w").alias("w"), F.col("__m").alias("m")))).alias("rows"))
     angle = 2 * 3.141592653589793 / period
     cost = lambda a: F.round(F.aggregate("rows", F.lit(0.0), lambda s, b: s + b["w"] * (1 - F.cos((a["c"] - b["c"]) * angle))), 9)
-    best = F.array_min(F.transform("rows", lambda a: F.struct(cost(a).alias("cost"), (-a["w"]).alias("w"), a["c"].alias("c"))))
+    best = F.array_min(F.transform("rows", lambda a: F.struct(cost(a).alias("cost"), (-a["m"]).alias("w"), a["c"].alias("c"))))
     return rows.select(*keys, best["c"].alias("code"), best["cost"].alias("cost"))
 
 
