@@ -6,12 +6,16 @@ that it touches turns it into a hash or sort-merge join, whose skewed buckets Sp
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 #: A relation of so many rows of a few numbers may be broadcast.
 KNOTS = 10_000
+#: Rows that a row should meet in the first ring of a search.
+SEEN = 64
 
 
 def bucket(c: Column, width: float) -> Column:
@@ -58,29 +62,50 @@ def radius_pairs(a: DataFrame, b: DataFrame, axes: list[str], radius: float, suf
     return x.join(y, keys).drop(*keys).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
 
 
-def nearest(a: DataFrame, b: DataFrame, axes: list[str], id_a: str, id_b: str, radius: float | None = None, start: float = 1.0) -> DataFrame:
+def _first_ring(b: DataFrame, axes: list[str], radius: float) -> float:
+    """radius, halved until a row of b sees about ``SEEN`` others in the cells around it, were
+    they spread evenly within cells of the radius."""
+    sizes = b.groupBy(*(bucket(F.col(c), radius).alias(c) for c in axes)).agg(F.count("*").cast("double").alias("n"))
+    seen = (sizes.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("n")).first()["n"] or 0.0) * 3 ** len(axes)
+    halvings = 0
+    while seen > SEEN and halvings < 30:
+        seen, halvings = seen / 2 ** len(axes), halvings + 1
+    return radius / 2**halvings
+
+
+def nearest(a: DataFrame, b: DataFrame, axes: list[str], id_a: str, id_b: str, radius: float | None = None, start: float = 1.0, rank: Callable[[Column, Column], Column] | None = None, slack: float = 0.0) -> DataFrame:
     """For every row of a its nearest row of b, ties to the smaller id: exact, since a row
     within the radius lies in a neighbouring cell.
 
-    With a radius, rows without a neighbour in it are left out.  Without one, rings widen:
-    rows that found nothing within ``start`` ask again within twice as much, until all have
-    an answer (or b is empty)."""
-    if radius is not None:
-        pairs = radius_pairs(a, b, axes, radius)
-        best = pairs.groupBy(f"{id_a}_a").agg(F.min(F.struct("d2", f"{id_b}_b")).alias("best"))
-        return best.select(F.col(f"{id_a}_a").alias(id_a), F.col(f"best.{id_b}_b").alias(id_b), F.col("best.d2").alias("d2"))
+    Rings widen: rows that found nothing within ``start`` ask again within twice as much,
+    until all have an answer (or b is empty).  With a radius, the first ring is chosen by how
+    densely b lies, and rows without a neighbour within the radius are left out.  A ``rank``
+    of d2 and id takes the place of (d2, id); it must prefer no row whose d2 is larger by more
+    than ``slack``.  d2 is then still the least one."""
     from gridloom.operators.graph import checkpoint
 
-    left, found, reach = a.select(id_a, *axes), None, start
-    far = lambda df: df.agg(*(f(c).alias(f"{f.__name__}_{c}") for c in axes for f in (F.min, F.max))).first()
-    ends_a, ends_b = far(a), far(b)
-    if ends_a[0] is None or ends_b[0] is None:
-        return nearest(a, b, axes, id_a, id_b, start).limit(0)
-    widest = sum(max(abs(ends_a[f"max_{c}"] - ends_b[f"min_{c}"]), abs(ends_b[f"max_{c}"] - ends_a[f"min_{c}"])) ** 2 for c in axes) ** 0.5
+    def within(left: DataFrame, reach: float) -> DataFrame:
+        pairs, other = radius_pairs(left, b, axes, reach), F.col(f"{id_b}_b")
+        first = F.min(F.struct("d2", f"{id_b}_b")) if rank is None else F.min(F.struct(rank(F.col("d2"), other).alias("__r"), f"{id_b}_b"))
+        best = pairs.groupBy(f"{id_a}_a").agg(first.alias("best"), F.min("d2").alias("d2"))
+        return best.select(F.col(f"{id_a}_a").alias(id_a), F.col(f"best.{id_b}_b").alias(id_b), "d2")
+
+    left, found = a.select(id_a, *axes), None
+    if radius is not None:
+        reach, widest = _first_ring(b, axes, radius), radius
+    else:
+        far = lambda df: df.agg(*(f(c).alias(f"{f.__name__}_{c}") for c in axes for f in (F.min, F.max))).first()
+        reach, ends_a, ends_b = start, far(a), far(b)
+        if ends_a[0] is None or ends_b[0] is None:
+            return within(left, start).limit(0)
+        widest = sum(max(abs(ends_a[f"max_{c}"] - ends_b[f"min_{c}"]), abs(ends_b[f"max_{c}"] - ends_a[f"min_{c}"])) ** 2 for c in axes) ** 0.5
     while True:
-        got = checkpoint(nearest(left, b, axes, id_a, id_b, reach))
+        got = within(left, reach)
+        if radius is not None and reach >= radius:
+            return got if found is None else found.unionByName(got)
+        got = checkpoint(got.where(F.col("d2") + slack <= reach * reach))
         found = got if found is None else found.unionByName(got)
-        if reach > widest:
+        if radius is None and reach > widest + slack:
             return found
         left = checkpoint(left.join(got.select(id_a), id_a, "left_anti"))
         if not left.limit(1).count():

@@ -20,7 +20,8 @@ _P = "2 * pi() / 252"
 def fiber_contacts(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
     p = t.customer.select(k.alias("id"), (k % 211).cast("double").alias("a"), (F.col("c_acctbal") / 40).alias("b"), F.col("c_nationkey").alias("t"))
-    near = joins.nearest(p.where("id % 2 = 0"), p.where("id % 2 = 1").withColumnRenamed("id", "other"), ["a", "b"], "id", "other", 15.0)
+    rank = lambda d2, other: d2 * F.lit(1e6) + other / F.lit(1e6)
+    near = joins.nearest(p.where("id % 2 = 0"), p.where("id % 2 = 1").withColumnRenamed("id", "other"), ["a", "b"], "id", "other", 15.0, rank=rank, slack=1e-3)
     both = near.join(p.select("id", "t"), "id").join(p.select(F.col("id").alias("other"), F.col("t").alias("vt")), "other")
     return both.groupBy(F.floor(F.sqrt("d2") / 3).alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("t") - F.col("vt")), 6).alias("turn"))
 
