@@ -145,49 +145,79 @@ def greedy_links(candidates: DataFrame) -> DataFrame:
     return taken
 
 
-def end_links(pieces: DataFrame, gap: float, cos_least: float, lateral: float) -> DataFrame:
+def end_links(pieces: DataFrame, gap: float, cos_least: float, lateral: float, reach: float | None = None) -> DataFrame:
     """Candidate links between ends of pieces: rows (run, end, family, x, y, z, tx, ty, tz)
     with unit tangents that point outward.  Ends of unlike runs of one family link if they
     are within the gap, face each other, and lie near each other's tangent line; the cost
-    adds up the three shares.  Ends are dealt into cells of the gap."""
+    adds up the three shares.  Ends are looked for within the gap or a smaller
+    reach, and dealt into cells of four reaches and those that they reach."""
     c, axes = F.col, "xyz"
+    reach = gap if reach is None else reach
     names = [f"__c{a}" for a in axes]
-    left = pieces.select(*(c(k).alias(f"{k}_a") for k in pieces.columns), *(F.floor(c(a) / gap).alias(n) for a, n in zip(axes, names, strict=True)))
+    left = pieces.select(*(c(k).alias(f"{k}_a") for k in pieces.columns), *(F.floor(c(a) / (4 * reach)).alias(n) for a, n in zip(axes, names, strict=True)))
     right = pieces.select(*(c(k).alias(f"{k}_b") for k in pieces.columns))
     for a, n in zip(axes, names, strict=True):
-        home = F.floor(c(f"{a}_b") / gap)
-        right = right.withColumn(n, F.explode(F.array(home - 1, home, home + 1)))
+        low, high = (F.floor((c(f"{a}_b") + d * reach * 1.000001) / (4 * reach)) for d in (-1, 1))
+        right = right.withColumn(n, F.explode(F.sequence(low, high)))
     first = F.struct("run_a", "end_a") < F.struct("run_b", "end_b")
-    both = left.join(right, names).where((c("family_a") == c("family_b")) & (c("run_a") != c("run_b")) & first)
+    meet = [left[n] == right[n] for n in names]
+    both = left.join(right, [*meet, c("family_a") == c("family_b"), c("run_a") != c("run_b"), first])
     dot = lambda p, q: sum((p(a) * q(a) for a in axes), F.lit(0.0))
     v, ta, tb = (lambda a: c(f"{a}_b") - c(f"{a}_a")), (lambda a: c(f"t{a}_a")), (lambda a: c(f"t{a}_b"))
     both = both.withColumns({"g": F.sqrt(dot(v, v)), "face": -dot(ta, tb), "pa": dot(v, ta), "pb": -dot(v, tb)})
     off = lambda p: F.sqrt(F.greatest(F.lit(0.0), c("g") * c("g") - c(p) * c(p)))
     both = both.withColumn("lat", F.greatest(off("pa"), off("pb")))
     ahead = (c("g") < 2) | ((c("pa") >= cos_least * c("g")) & (c("pb") >= cos_least * c("g")))
-    good = both.where((c("g") <= gap) & (c("face") >= cos_least) & ahead & (c("lat") <= lateral))
+    good = both.where((c("g") <= reach) & (c("face") >= cos_least) & ahead & (c("lat") <= lateral))
     return good.select("run_a", "end_a", "run_b", "end_b", (c("g") / gap + (1 - c("face")) / (1 - cos_least) + c("lat") / lateral).alias("cost"), "g", "lat")
 
 
 def chain_links(links: DataFrame) -> DataFrame:
     """Links (run_a, end_a, run_b, end_b, cost) taken by rising cost, so that every end has
-    one mate at most and no chain closes on itself.
+    one mate at most and no chain closes on itself.  Columns ca and cb may name chains that
+    runs belong to already.
 
     A round takes the links that are the cheapest of both chains they join: whatever could
     come between them later costs more, so the result equals going through all in order."""
-    order = F.struct("cost", "run_a", "end_a", "run_b", "end_b")
-    live = checkpoint(links.select("run_a", "end_a", "run_b", "end_b", "cost").withColumns({"ca": F.col("run_a"), "cb": F.col("run_b")}).where("ca <> cb"))
-    taken = live.select("run_a", "end_a", "run_b", "end_b", "cost").limit(0)
+    ends = ["run_a", "end_a", "run_b", "end_b"]
+    order = F.struct("cost", *ends)
+    chain = {f"c{s}": F.coalesce(f"c{s}", f"run_{s}") if f"c{s}" in links.columns else F.col(f"run_{s}") for s in "ab"}
+    live = checkpoint(links.withColumns(chain).select(*ends, "cost", "ca", "cb").where("ca <> cb"))
+    taken = live.select(*ends, "cost").limit(0)
     while live.limit(1).count():
         low = live.select(F.explode(F.array("ca", "cb")).alias("chain"), order.alias("o")).groupBy("chain").agg(F.min("o").alias("o"))
-        both = low.groupBy("o").agg(F.count("*").alias("n")).where("n = 2").select("o.run_a", "o.end_a", "o.run_b", "o.end_b", "o.cost")
-        both = checkpoint(both)
-        taken = checkpoint(taken.unionByName(both))
-        shut = both.select(F.explode(F.array(F.struct(F.col("run_a").alias("r"), F.col("end_a").alias("e")), F.struct(F.col("run_b").alias("r"), F.col("end_b").alias("e")))).alias("x")).select("x.r", "x.e")
+        # a chain takes one link a round, so that chains join in pairs
+        both = checkpoint(low.groupBy("o").agg(F.count("*").alias("n"), F.min("chain").alias("into"), F.max("chain").alias("chain")).where("n = 2").select("o.*", "into", "chain"))
+        taken = taken.unionByName(both.select(*ends, "cost"))
         for side in "ab":
-            live = live.join(shut.select(F.col("r").alias(f"run_{side}"), F.col("e").alias(f"end_{side}")), [f"run_{side}", f"end_{side}"], "left_anti")
-        part = components(taken, "run_a", "run_b")
-        to = lambda s: part.select(F.col("node").alias(f"run_{s}"), F.col("component").alias(f"n{s}"))
-        live = live.select("run_a", "end_a", "run_b", "end_b", "cost").join(to("a"), "run_a", "left").join(to("b"), "run_b", "left")
-        live = checkpoint(live.withColumns({"ca": F.coalesce("na", "run_a"), "cb": F.coalesce("nb", "run_b")}).drop("na", "nb").where("ca <> cb"))
+            shut = both.select(F.inline(F.array(*(F.struct(F.col(f"run_{s}").alias(f"run_{side}"), F.col(f"end_{s}").alias(f"end_{side}")) for s in "ab"))))
+            live = live.join(shut, [f"run_{side}", f"end_{side}"], "left_anti")
+            live = live.join(both.select(F.col("chain").alias(f"c{side}"), F.col("into").alias("__into")), f"c{side}", "left").withColumn(f"c{side}", F.coalesce("__into", f"c{side}")).drop("__into")
+        live = checkpoint(live.where("ca <> cb"))
     return taken
+
+
+def chain_ends(pieces: DataFrame, gap: float, cos_least: float, lateral: float) -> DataFrame:
+    """chain_links of end_links, without all candidates at once.
+
+    A link of gap g costs at least g of the whole gap.  So ends within a small reach are
+    looked for first, and of their links those are taken that cost no more than any link
+    further off; then the reach doubles, for the ends that are left open."""
+    from gridloom.operators.joins import first_ring
+
+    open_ends, reach = checkpoint(pieces), first_ring(pieces, list("xyz"), gap)
+    taken = None
+    while True:
+        links = end_links(open_ends, gap, cos_least, lateral, reach)
+        if reach < gap:
+            links = links.where(F.col("cost") <= reach / gap - 1e-6)  # unit tangents are so but for rounding
+        if taken is not None:
+            part = components(taken, "run_a", "run_b")
+            for side in "ab":
+                links = links.join(part.select(F.col("node").alias(f"run_{side}"), F.col("component").alias(f"c{side}")), f"run_{side}", "left")
+        new = chain_links(links)
+        taken = new if taken is None else checkpoint(taken.unionByName(new))
+        if reach >= gap:
+            return taken
+        shut = new.select(F.inline(F.array(*(F.struct(F.col(f"run_{s}").alias("run"), F.col(f"end_{s}").alias("end")) for s in "ab"))))
+        open_ends, reach = checkpoint(open_ends.join(shut, ["run", "end"], "left_anti")), reach * 2

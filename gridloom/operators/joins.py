@@ -62,7 +62,7 @@ def radius_pairs(a: DataFrame, b: DataFrame, axes: list[str], radius: float, suf
     return x.join(y, keys).drop(*keys).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
 
 
-def _first_ring(b: DataFrame, axes: list[str], radius: float) -> float:
+def first_ring(b: DataFrame, axes: list[str], radius: float) -> float:
     """radius, halved until a row of b sees about ``SEEN`` others in the cells around it, were
     they spread evenly within cells of the radius."""
     sizes = b.groupBy(*(bucket(F.col(c), radius).alias(c) for c in axes)).agg(F.count("*").cast("double").alias("n"))
@@ -92,7 +92,7 @@ def nearest(a: DataFrame, b: DataFrame, axes: list[str], id_a: str, id_b: str, r
 
     left, found = a.select(id_a, *axes), None
     if radius is not None:
-        reach, widest = _first_ring(b, axes, radius), radius
+        reach, widest = first_ring(b, axes, radius), radius
     else:
         far = lambda df: df.agg(*(f(c).alias(f"{f.__name__}_{c}") for c in axes for f in (F.min, F.max))).first()
         reach, ends_a, ends_b = start, far(a), far(b)
