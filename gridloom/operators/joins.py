@@ -62,13 +62,13 @@ def radius_pairs(a: DataFrame, b: DataFrame, axes: list[str], radius: float, suf
     return x.join(y, keys).drop(*keys).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
 
 
-def first_ring(b: DataFrame, axes: list[str], radius: float) -> float:
-    """radius, halved until a row of b sees about ``SEEN`` others in the cells around it, were
+def first_ring(b: DataFrame, axes: list[str], radius: float, most: float = SEEN) -> float:
+    """radius, halved until a row of b sees about ``most`` others in the cells around it, were
     they spread evenly within cells of the radius."""
     sizes = b.groupBy(*(bucket(F.col(c), radius).alias(c) for c in axes)).agg(F.count("*").cast("double").alias("n"))
     seen = (sizes.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("n")).first()["n"] or 0.0) * 3 ** len(axes)
     halvings = 0
-    while seen > SEEN and halvings < 30:
+    while seen > most and halvings < 30:
         seen, halvings = seen / 2 ** len(axes), halvings + 1
     return radius / 2**halvings
 
