@@ -86,12 +86,12 @@ def spanning_forest(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return chosen
 
 
-def chain_gauges(costs: DataFrame, keys: list[str], shifts: list[int], ties: list[str] | None = None) -> DataFrame:
+def chain_gauges(costs: DataFrame, keys: list[str], shifts: list[int], ties: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """Exact integer gauges along chains: rows (keys, pos, prior, step) where prior is the
     preferred gauge of a link and step the preferred change from the link before; the sum
-    of absolute deviations is least, ties to the smaller gauges.  Links of one pos follow each
-    other by the columns ``ties``.  A chain is one row of arrays; chains of like length are
-    solved side by side."""
+    of absolute deviations is least, ties to the smaller gauges.  Links follow each
+    other by pos or the columns ``order``, those of one place by the columns ``ties``.  A chain is
+    one row of arrays; chains of like length are solved side by side."""
     s = np.array(sorted(shifts), np.int64)
 
     def solve(prior: np.ndarray, step: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +129,7 @@ def chain_gauges(costs: DataFrame, keys: list[str], shifts: list[int], ties: lis
             yield x[[*keys, "pos"]].assign(gauge=gauges, cost=sums)
 
     kinds = dict(costs.dtypes)
-    chains = costs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", *(ties or []), "prior", "step"))).alias("c"))
+    chains = costs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*(order or []), "pos", *(ties or []), "prior", "step"))).alias("c"))
     chains = chains.select(*keys, *(F.col(f"c.{f}").alias(f) for f in ("pos", "prior", "step")))
     solved = chains.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", pos array<{kinds['pos']}>, gauge array<long>, cost double")
     return solved.select(*keys, F.explode(F.arrays_zip("pos", "gauge")).alias("l"), "cost").select(*keys, "l.pos", "l.gauge", "cost")

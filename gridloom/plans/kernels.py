@@ -57,8 +57,8 @@ def spanning_forest(t: Tables) -> DataFrame:
     b as (select line, pos, list_min(cost) as cost, path[list_position(cost, list_min(cost))] as path from r where k = 1)
     select line, unnest(pos) as pos, unnest(path) as gauge, cost::double as cost from b""")
 def chain_gauges(t: Tables) -> DataFrame:
-    rows = t.lineitem.select(F.col("l_orderkey").alias("line"), (F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey")).alias("pos"), F.pmod(F.col("l_suppkey"), F.lit(5)).cast("long").alias("prior"), (F.pmod(F.col("l_partkey"), F.lit(3)) - 1).cast("long").alias("step"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return graph.chain_gauges(rows, ["line"], [-1, 0, 1, 2, 3, 4, 5], ["file", "row"])  # links of one pos as the table has them
+    rows = t.lineitem.select(F.col("l_orderkey").alias("line"), (F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey")).alias("pos"), (F.col("l_suppkey") % 5).cast("long").alias("prior"), (F.col("l_partkey") % 3 - 1).cast("long").alias("step"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "l_linenumber", "l_partkey")
+    return graph.chain_gauges(rows, ["line"], [-1, 0, 1, 2, 3, 4, 5], ["file", "row"], ["l_linenumber", "l_partkey"])  # links of one place as the table has them
 
 
 @query("""with recursive e as (select l_partkey as a, l_suppkey as b, min(l_extendedprice) as cost from lineitem group by 1, 2),
